@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_files
+from . import exact_dedup, media, packing, secrets, token_files
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.equal_text_groups(documents(spark, sf_dir))
 
@@ -24,11 +28,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op4(spark, documents(spark, sf_dir))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op10(spark, documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_secrets": op1_secrets,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_packing": op3_packing,
         "op4_token_files": op4_token_files,
+        "op10_media": op10_media,
     }
 
 
