@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, media, packing, secrets, token_files
+from . import exact_dedup, language_id, line_dedup, media, packing, secrets, token_files
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op6(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op7(spark, documents(spark, sf_dir))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op10(spark, documents(spark, sf_dir))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Query]:
         "op3_packing": op3_packing,
         "op4_token_files": op4_token_files,
         "op6_language_id": op6_language_id,
+        "op7_line_dedup": op7_line_dedup,
         "op10_media": op10_media,
     }
 
