@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, media, packing, secrets, token_files
+from . import exact_dedup, language_id, line_dedup, media, near_dedup, packing, secrets, token_files
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op4(spark, documents(spark, sf_dir))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(spark, documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op6(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_packing": op3_packing,
         "op4_token_files": op4_token_files,
+        "op5_near_dedup": op5_near_dedup,
         "op6_language_id": op6_language_id,
         "op7_line_dedup": op7_line_dedup,
         "op10_media": op10_media,
