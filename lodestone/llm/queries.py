@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, lm_scoring, media, near_dedup, packing, secrets, token_files
+from . import exact_dedup, language_id, line_dedup, lm_scoring, media, near_dedup, packing, secrets, sentence_pieces, token_files
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op7(spark, documents(spark, sf_dir))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.op8(documents(spark, sf_dir))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.op9(spark, documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op5_near_dedup": op5_near_dedup,
         "op6_language_id": op6_language_id,
         "op7_line_dedup": op7_line_dedup,
+        "op8_sentence_pieces": op8_sentence_pieces,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_media": op10_media,
     }
