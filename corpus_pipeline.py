@@ -1,17 +1,66 @@
-"""A corpus pipeline of five operators over ``documents``."""
+"""A corpus pipeline over ``documents``, of five of the operators.
+
+Each stage takes what its predecessor kept and returns the columns of
+``documents`` (the last one the packed pieces); ``run`` writes every stage's
+result to the shared folder and reads it back, so a lost executor costs one
+stage at most.
+
+* language: documents whose language cannot be told (no letters) go.
+* lines: lines that three or more documents share go, but for the document of
+  the largest id; ``n_chars`` follows the text.
+* near: one document of each group of near-duplicates stays.
+* secrets: every secret is masked; ``n_chars`` follows the text.
+* packing: whole documents as pieces of sequences of 4096 tokens.
+
+Null texts have no letters and go with the first stage.  Other columns pass
+through.  An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import language_id, line_dedup, near_dedup, packing, secrets
+from lodestone.llm.common import materialise, run_folder
+
+
+def _with_text(docs: DataFrame, text, columns: list[str], of: str = "") -> DataFrame:
+    """The columns of ``docs`` (or of its struct), their text replaced."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return docs.select(*(new.get(c, F.col(f"{of}`{c}`")).alias(c) for c in columns))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    return language_id.accepted(docs, language_id.train(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    return _with_text(line_dedup.line_dedup(spark, docs), F.col("kept_text"), docs.columns, "row.")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    return near_dedup.representatives(spark, docs)
+
+
+def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    return _with_text(secrets.redacted(docs), F.col("text"), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    return packing.pack_rows(docs)
+
 
-STAGES: list = []
+STAGES = [("language", language), ("lines", lines), ("near", near), ("secrets", secret), ("packing", pack)]
 
+#: Models, hashes and sequences are not SQL; tests hold a brute-force version against the result.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each on what its predecessor kept."""
+    """All stages in turn, each on the written result of the one before."""
+    folder = run_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), folder, name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -132,6 +132,16 @@ def map_batches(frame: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict
     return frame.mapInArrow(run, schema)
 
 
+def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids`` (one column); null equals null.
+
+    The rows travel as one struct, so their column names clash with nothing.
+    """
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    wanted = ids.toDF("id").distinct()
+    return whole.join(wanted, F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("id")), "left_semi").select("row.*")
+
+
 def whole_text(column: str = "text"):
     """The contracts' reading of a text: null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

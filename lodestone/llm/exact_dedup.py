@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import keep_ids, whole_text
 
 #: Salts that a group of equal texts is dealt over; a power of two.
 SALTS = 64
@@ -61,8 +61,7 @@ def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their own columns only."""
-    stays = equal_text_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+    return keep_ids(docs, equal_text_groups(docs, id_col, text_col).where("kept").select(id_col), id_col)
 
 
 def _salt():

@@ -282,18 +282,18 @@ class LineIndex:
         return map_batches(dealt.select("doc_id", "digest", "shard"), work, "doc_id long, digest binary")
 
     def apply(self, docs: DataFrame, references: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """The rows with ``_n_lines``, ``_n_dropped`` and ``_kept_text`` added."""
+        """(row, n_lines, n_dropped, kept_text): each row as a struct, and its lines."""
         shortest = self.min_length
-        own = self.drops(references).groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("digest").alias("_drop"))
-        joined = docs.join(own, F.col(id_col).cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
+        own = self.drops(references).groupBy("doc_id").agg(F.collect_set("digest").alias("gone"))
+        whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        joined = whole.join(own, F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("doc_id")), "left")
 
         @F.pandas_udf("n_lines long, n_dropped long, kept_text string")
         def kept(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
             rows = [keep_lines(t, drop, shortest) for t, drop in zip(texts, drops, strict=True)]
             return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept_text"])
 
-        found = joined.withColumn("_kept", kept(whole_text(text_col), F.col("_drop"))).drop("_drop")
-        return found.select("*", F.col("_kept.n_lines").alias("_n_lines"), F.col("_kept.n_dropped").alias("_n_dropped"), F.col("_kept.kept_text").alias("_kept_text")).drop("_kept")
+        return joined.select("row", kept(whole_text(f"row.`{text_col}`"), F.col("gone")).alias("kept")).select("row", "kept.*")
 
 
 def keep_lines(text: str, drop, min_length: int = MIN_LENGTH) -> tuple[int, int, str]:
@@ -330,4 +330,4 @@ def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The query's digest."""
     found = line_dedup(spark, docs.select("doc_id", "text"))
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept_text", 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

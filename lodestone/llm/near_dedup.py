@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, run_folder, whole_text
+from .common import keep_ids, map_batches, materialise, run_folder, whole_text
 from .graph import connected_components
 from .shingles import shingle_sets
 
@@ -168,5 +168,5 @@ def release(spark: SparkSession) -> None:
 
 def representatives(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one of each group, with their own columns."""
-    stays = components(spark, docs.select(id_col, text_col), id_col, text_col).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    found = components(spark, docs.select(id_col, text_col), id_col, text_col)
+    return keep_ids(docs, found.where("kept").select("doc_id"), id_col)

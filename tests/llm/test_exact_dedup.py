@@ -24,7 +24,7 @@ def test_matches_brute_force(spark, sf_dir):
 
 def test_edges(spark):
     rows = [(5, "a  b"), (3, "a\n\x0bb"), (9, "a b"), (9, "a b"), (None, "a b"), (None, None), (None, ""), (1, "  "), (2, "\t"), (4, "A b"), (6, "a\xa0b"), (7, " a b"), (8, "x" * 200_000), (10, "x" * 200_000), (11, "  " * 3 + "q")]
-    docs = spark.createDataFrame([(i, t, "k", "d") for i, t in rows], "doc_id long, text string, kept string, _digest string")
+    docs = spark.createDataFrame([(i, t, "k", "d") for i, t in rows], "doc_id long, text string, kept string, id string")
     assert sorted(map(tuple, equal_text_groups(docs).collect()), key=str) == brute(rows)
     kept = deduplicate(docs)
     assert kept.columns == docs.columns

@@ -54,7 +54,7 @@ def test_deleting_documents_restores_decisions(spark):
     frame = lambda ids: spark.createDataFrame([(i, f"{LONG}\nown line number {i} of this test\n{'even' if i % 2 == 0 else 'odd'} lines are shared too") for i in ids], "doc_id long, text string")
 
     def decided(docs, references):
-        return {r.doc_id: (r._n_dropped, r._kept_text) for r in index.apply(docs, references).collect()}
+        return {r.row.doc_id: (r.n_dropped, r.kept_text) for r in index.apply(docs, references).collect()}
 
     first = frame(range(6))
     references = index.insert(first)
