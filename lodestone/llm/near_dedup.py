@@ -3,18 +3,23 @@
 1. Each text's set of shingle hashes gives its size, a digest of the set and
    its ``SKETCH`` smallest hashes (one hash function).  Rows with equal sets
    are one class; only its least id goes on.
-2. Inverted lists of retained values generate candidates.  A list is keyed by a
-   run of neighbouring values of the sketch, so that a passage that many texts
-   share makes lists only of texts that it dominates: runs of three for sets
-   over ``SHORT * 3/4``, of two for sets up to ``SHORT`` (a pair of either
-   kind shares a kind).  For whole sets a shared run is certain at a similarity
-   of 0.75; for longer ones all runs differ with a chance near 0.75 ** 64.
-3. Each member is paired with its list's pivot, chosen by the list's key, so
-   candidates are no more than list entries.  Pairs whose union sketch
-   estimates far too little are dropped; the rest is decided on full sets.
-4. Links make components.  A pair that shares a list can still be missed where
-   neither is the pivot and they aren't yet in one component: exactly those
-   pairs are generated next, filtered and decided in the same way.
+2. Inverted lists of retained values generate candidates. A pair at the
+   threshold shares at least ``overlap(n)`` values of its sketches, so if each
+   text enters only its rarest ``size - overlap + 1`` values (rarest over all
+   sketches, the same order for all), the pair still meets in a list. Values of
+   passages that many texts share come last and seldom make lists. For sets
+   within a sketch this is exact; for a larger pair exactly at the threshold
+   it fails with a chance of 10 ** -6, and less above it.
+3. Each member is paired with its list's pivot, the text with the fewest values
+   of its own (an original rather than an altered copy), so candidates are no
+   more than list entries. Pairs whose union sketch estimates far too little
+   are dropped; the rest is decided on full sets.
+4. Links make components. Two texts of a list can still be similar where
+   neither is the pivot and they aren't yet in one component. Texts of lists
+   that hold several components are taken again with their whole sets: each
+   enters the lists of the rarest quarter of its set, in which a similar pair
+   must meet, and pairs of two components whose places in the list leave room
+   for enough common shingles are decided on full sets. This step is exact.
 
 Nothing is capped.  Defined results: null or blank texts have the empty set
 and are linked with nothing.  Rows that repeat an id are one node.  Null ids
@@ -30,23 +35,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_ids, map_batches, materialise, run_folder, whole_text
+from .common import drop_folder, keep_ids, map_batches, materialise, run_folder, whole_text
 from .graph import connected_components
 from .shingles import shingle_sets
 
-#: Similarity in hundredths, retained values, and the size up to which runs of two are used.
+#: Similarity in hundredths, retained values, and those that a pair shares at least if either set is larger.
 SIMILAR = 75
-SKETCH = 64
-SHORT = 64
-#: A pair at the threshold is estimated below this once in 10 ** 9.
-LEAST_ESTIMATE = 0.4
+SKETCH = 128
+SHARED_LARGE, SHARED_MIXED = 72, 85
+#: A pair at the threshold is estimated below this with a chance of 10 ** -6.
+LEAST_ESTIMATE = 0.55
 
 
-def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, set digest (null if empty), sketch."""
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", retain: int | None = SKETCH) -> DataFrame:
+    """Per row: doc_id, n_shingles, set digest (null if empty), sketch (None: the whole set)."""
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -56,40 +61,55 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 for own in shingle_sets(texts[low : low + 2000]):
                     out["n_shingles"].append(len(own))
                     out["digest"].append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                    out["sketch"].append(own[:SKETCH].view(np.int64))
+                    out["sketch"].append(own[:retain].view(np.int64))
                 yield out
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     return map_batches(rows, work, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
-def list_entries(classes: DataFrame) -> DataFrame:
-    """(key, id, n) of each class representative in each of its lists."""
-    runs = lambda k, when: F.expr(
-        f"if({when} and size(sketch) >= {k}, transform(sequence(0, size(sketch) - {k}), i -> xxhash64({k}, {', '.join(f'sketch[i + {j}]' for j in range(k))})), array())"
-    )
-    keys = F.concat(runs(2, f"n between 3 and {SHORT}"), runs(3, f"4 * n > 3 * {SHORT}"))
-    return classes.select("id", "n", F.explode(keys).alias("key"))
+def list_entries(classes: DataFrame, whole: bool = False) -> DataFrame:
+    """(key, id, n, own, at): each text in the lists of its rarest values.
+
+    ``own`` counts the values that no other sketch retains, ``at`` is the
+    value's place among the others. ``whole``: the sketches are full sets.
+    """
+    values = classes.select("id", "n", F.size("sketch").alias("_s"), F.explode("sketch").alias("key"))
+    shared = values.groupBy("key").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    held = values.join(shared, "key")
+    text = Window.partitionBy("id", "n")
+    place = held.withColumn("own", F.col("_s") - F.count(F.lit(1)).over(text)).withColumn("at", F.row_number().over(text.orderBy("_df", "key")))
+    overlap = F.ceil(F.col("n") * SIMILAR / 100)
+    if not whole:
+        overlap = F.when(F.col("n") > SKETCH, F.lit(SHARED_LARGE)).otherwise(F.least(overlap, F.lit(SHARED_MIXED)))
+    return place.where(F.col("own") + F.col("at") <= F.col("_s") - overlap + 1).select("key", "id", "n", "own", "at")
+
+
+def near_sizes(a: str, b: str) -> str:
+    """Sizes that a similar pair can have."""
+    return f"100 * {a} >= {SIMILAR} * {b} and 100 * {b} >= {SIMILAR} * {a}"
 
 
 def pivot_pairs(entries: DataFrame) -> DataFrame:
     """(a, b), a < b: each list's members with its pivot, each pair once."""
-    # xor with the key orders the members of each list in a way of its own, and is undone by a second.
-    lists = entries.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("_p"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    pairs = entries.join(lists, "key").select("id", F.col("_p").bitwiseXOR(F.col("key")).alias("_p")).where("id <> _p")
-    return pairs.select(F.least("id", "_p").alias("a"), F.greatest("id", "_p").alias("b")).distinct()
-
-
-def rest_pairs(entries: DataFrame, components: DataFrame, decided: DataFrame) -> DataFrame:
-    """Pairs that share a list, lie in two components and aren't decided yet."""
-    long_lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 2").select("key")
-    own = entries.join(long_lists, "key", "left_semi").join(components, F.col("id") == F.col("node"), "left")
-    own = own.select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    open_lists = own.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low <> _high").select("key")
-    own = own.join(open_lists, "key", "left_semi")
-    left, right = own.alias("l"), own.alias("r")
-    near = f"l.key = r.key and l.id < r.id and l.c <> r.c and 100 * l.n >= {SIMILAR} * r.n and 100 * r.n >= {SIMILAR} * l.n"
-    pairs = left.join(right, F.expr(near)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    lists = entries.groupBy("key").agg(F.min(F.struct("own", "id", "n")).alias("_p"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    lists = lists.select("key", F.col("_p.id").alias("_id"), F.col("_p.n").alias("_n"))
+    pairs = entries.join(lists, "key").where(f"id <> _id and {near_sizes('n', '_n')}")
+    return pairs.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+
+
+def rest_pairs(entries: DataFrame, found: DataFrame, decided: DataFrame, docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
+    """Pairs of two components that step 4 has to decide."""
+    labelled = entries.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    lists = labelled.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low <> _high").select("key")
+    texts = materialise(labelled.join(lists, "key", "left_semi").select("id", "c").distinct(), folder, "open")
+    whole = docs.join(texts.select(F.col("id").alias("_open")), F.col(id_col).cast("long") == F.col("_open"), "left_semi")
+    again = list_entries(profiles(whole, id_col, text_col, None).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), True)
+    own = materialise(again.join(texts, "id"), folder, "open-entries")
+    # Common shingles: before this one in the order of rarity, itself, and after it; similar sets have three sevenths of their sizes' sum.
+    room = "7 * (least(l.at, r.at) + least(l.n - l.own - l.at, r.n - r.own - r.at)) >= 3 * (l.n + r.n)"
+    near = f"l.key = r.key and l.id < r.id and l.c <> r.c and {near_sizes('l.n', 'r.n')} and {room}"
+    pairs = own.alias("l").join(own.alias("r"), F.expr(near)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     return pairs.join(decided, ["a", "b"], "left_anti")
 
 
@@ -103,11 +123,10 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose sizes allow and whose union sketches suggest a link."""
-    own = classes.select("id", "n", "sketch")
-    one = pairs.join(own.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("sketch").alias("_sa")), "a")
-    two = one.join(own.select(F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("sketch").alias("_sb")), "b")
-    two = two.where(f"100 * _na >= {SIMILAR} * _nb and 100 * _nb >= {SIMILAR} * _na")
+    """The pairs whose union sketches suggest a link."""
+    own = classes.select("id", "sketch")
+    one = pairs.join(own.select(F.col("id").alias("a"), F.col("sketch").alias("_sa")), "a")
+    two = one.join(own.select(F.col("id").alias("b"), F.col("sketch").alias("_sb")), "b")
 
     @F.pandas_udf("double")
     def estimated(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -138,20 +157,22 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
 def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     folder = run_folder(spark, "near")
-    rows = materialise(profiles(docs, id_col, text_col), folder, "profiles")
-    grouped = rows.where("digest is not null and doc_id is not null").groupBy("digest")
+    sketched = materialise(profiles(docs, id_col, text_col), folder, "profiles")
+    grouped = sketched.where("digest is not null and doc_id is not null").groupBy("digest")
     classes = materialise(grouped.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), folder, "classes")
-    # A row's id can stand for several sets where ids repeat; the digest keeps its class.
-    entries = list_entries(classes)
+    rows = materialise(sketched.drop("sketch"), folder, "rows")
+    drop_folder(spark, f"{folder}/profiles")
+    release(spark)
+    entries = materialise(list_entries(classes), folder, "entries")
     pairs = materialise(pivot_pairs(entries), folder, "pairs")
     release(spark)
     links = materialise(linked(materialise(likely(pairs, classes), folder, "likely"), docs, id_col, text_col), folder, "links")
     release(spark)
     found = connected_components(links, folder)
-    rest = materialise(rest_pairs(entries, found, pairs), folder, "rest")
-    more_likely = materialise(likely(rest, classes), folder, "more-likely")
-    if not more_likely.isEmpty():
-        more = materialise(linked(more_likely, docs, id_col, text_col), folder, "more-links")
+    rest = materialise(rest_pairs(entries, found, pairs, docs, folder, id_col, text_col), folder, "rest")
+    release(spark)
+    if not rest.isEmpty():
+        more = materialise(linked(rest, docs, id_col, text_col), folder, "more-links")
         found = connected_components(links.unionAll(more), folder)
     labels = classes.join(found, F.col("id") == F.col("node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "id").alias("_component"))
     release(spark)

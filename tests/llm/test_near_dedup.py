@@ -105,7 +105,7 @@ def test_estimate():
         side = rng.random(len(every)) < 0.5
         a, b = every[shared | side], every[shared | ~side]
         true = len(np.intersect1d(a, b)) / len(every)
-        assert estimate(a[:64], b[:64]) == pytest.approx(true, abs=0.25)
+        assert estimate(a[:128], b[:128]) == pytest.approx(true, abs=0.25)
 
 
 def test_components(spark):
