@@ -1 +1 @@
-
+"""Column functions: text rules, statistics, vectors."""

@@ -1 +1 @@
-
+"""Sources and sinks of the corpus, the evaluation files, the index and the log."""

@@ -1 +1 @@
-
+"""Structured Streaming twins of the log and cache operators (an extension)."""
