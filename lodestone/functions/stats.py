@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,10 +64,8 @@ def confusion(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return grid.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@F.pandas_udf("double")
-def sign_test(wins: pd.Series, losses: pd.Series) -> pd.Series:
+def sign_test(wins: Column, losses: Column) -> Column:
     """Two-sided exact binomial p value; 1.0 without a win or loss."""
-    import math
 
     def p(w: int, x: int) -> float:
         n, k = w + x, min(w, x)
@@ -75,7 +75,11 @@ def sign_test(wins: pd.Series, losses: pd.Series) -> pd.Series:
         top = max(logs)
         return min(1.0, 2 * math.exp(top) * sum(math.exp(v - top) for v in logs))
 
-    return pd.Series([p(int(w), int(x)) for w, x in zip(wins, losses, strict=True)], dtype=float)
+    @F.pandas_udf("double")
+    def tested(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([p(int(w), int(x)) for w, x in zip(a, b, strict=True)], dtype=float)
+
+    return tested(wins, losses)
 
 
 def histogram(frame: DataFrame, value: str, bins: int = 30) -> DataFrame:

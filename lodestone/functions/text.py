@@ -58,10 +58,14 @@ def normal_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
-def compatible(texts: pd.Series) -> pd.Series:
+def compatible(text: Column) -> Column:
     """Unicode NFKC, which has no built-in function."""
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    @F.pandas_udf("string")
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return normal(text)
 
 
 def normal_quote(text: Column, ascii_only: bool = False) -> Column:

@@ -123,7 +123,7 @@ def paired_compare(before: DataFrame, after: DataFrame, key: str, value: str) ->
         _count(both & (F.col("_b") < F.col("_a"))).alias("losses"),
         _count(both & (F.col("_b") == F.col("_a"))).alias("ties"),
     )
-    return out.withColumn("p_value", sign_test("wins", "losses"))
+    return out.withColumn("p_value", sign_test(F.col("wins"), F.col("losses")))
 
 
 def budget_prefix(items: DataFrame, keys: list[str], order: str, cost: str, cap: float) -> DataFrame:
