@@ -106,8 +106,8 @@ def rest_pairs(entries: DataFrame, found: DataFrame, decided: DataFrame, docs: D
     whole = docs.join(texts.select(F.col("id").alias("_open")), F.col(id_col).cast("long") == F.col("_open"), "left_semi")
     again = list_entries(profiles(whole, id_col, text_col, None).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), True)
     own = materialise(again.join(texts, "id"), folder, "open-entries")
-    # Common shingles: before this one in the order of rarity, itself, and after it; similar sets have three sevenths of their sizes' sum.
-    room = "7 * (least(l.at, r.at) + least(l.n - l.own - l.at, r.n - r.own - r.at)) >= 3 * (l.n + r.n)"
+    # At its first list in the order of rarity a pair has this value and later ones to share; similar sets share three sevenths of their sizes' sum.
+    room = "7 * (1 + least(l.n - l.own - l.at, r.n - r.own - r.at)) >= 3 * (l.n + r.n)"
     near = f"l.key = r.key and l.id < r.id and l.c <> r.c and {near_sizes('l.n', 'r.n')} and {room}"
     pairs = own.alias("l").join(own.alias("r"), F.expr(near)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     return pairs.join(decided, ["a", "b"], "left_anti")
