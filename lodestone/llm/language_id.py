@@ -167,13 +167,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose language can be told, with their own columns."""
+    """The rows that aren't ``und``, with their own columns.
+
+    A model that learned no language rejects texts without a letter only.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def told(texts: pd.Series) -> pd.Series:
-        found = shared.value.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.Series([lang != UNKNOWN for lang, _, _ in found], dtype=bool)
+        rows = [t if isinstance(t, str) else None for t in texts]
+        if not shared.value.languages:
+            return pd.Series([bool(t and _LETTER.search(t)) for t in rows], dtype=bool)
+        return pd.Series([lang != UNKNOWN for lang, _, _ in shared.value.predict(rows)], dtype=bool)
 
     return docs.where(told(F.col(text_col)))
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents
 from lodestone.llm.language_id import accepted, codewords, fit, op6, predict, train
@@ -30,6 +31,8 @@ def test_edges(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
     one = predict(docs, train(docs.where("lang = 'en'")))
     assert {r.lang_pred for r in one.collect()} == {"und", "en"}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert accepted(unlabelled, train(unlabelled)).count() == 5
     kept = accepted(docs, train(docs))
     assert kept.columns == docs.columns and kept.count() == 5
 
