@@ -174,9 +174,15 @@ def citation_url(download: Column, landing: Column, page: Column) -> Column:
 
 
 def ratio_text(k: Column, n: Column) -> Column:
-    """``k/n (p%)``, half a percent to the even side."""
-    share = F.format_string("%d/%d (%.0f%%)", k, n, F.bround(100 * k / n, 0).cast("double"))
-    return F.when(n == 0, F.lit("n/a")).otherwise(share)
+    """``k/n (p%)``, half a percent to the even side; no share of nothing."""
+    share = F.format_string(" (%.0f%%)", F.bround(F.try_divide(100 * k.cast("double"), n), 0))
+    return F.concat(F.format_string("%d/%d", k, n), F.when(n > 0, share).otherwise(F.lit("")))
+
+
+def interval_text(low: Column, high: Column) -> Column:
+    """``a%-b%`` of an interval, ``n/a`` where there is none."""
+    text = F.format_string("%.0f%%-%.0f%%", F.bround(low * 100, 0), F.bround(high * 100, 0))
+    return F.when(low.isNull(), F.lit("n/a")).otherwise(text)
 
 
 def agent_decision(text: Column, question: Column) -> Column:

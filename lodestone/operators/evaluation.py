@@ -158,3 +158,9 @@ def explorer(items: DataFrame, baseline: DataFrame, labels: DataFrame, judges: l
     wide = own.agg(F.min("label"))
     closed = baseline.select("id", F.col("answer").alias("closed_answer"))
     return items.join(closed, "id", "left").join(wide, "id", "left")
+
+
+def first_items(items: DataFrame, n: int, order: str, kind: str | None = None) -> DataFrame:
+    """The first n items in file order, of one type if given."""
+    own = items if kind is None else items.where(F.col("type") == kind)
+    return own.orderBy(order).limit(n)

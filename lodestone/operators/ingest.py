@@ -88,3 +88,15 @@ def ocr_elements(pages: DataFrame) -> DataFrame:
 def numbered(parts: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
     return parts.select("doc_id", F.row_number().over(order).cast("long").alias("elem_no"), "kind", "text", "page")
+
+
+def corpus_elements(manifest: DataFrame, lines: DataFrame, page_counts: DataFrame, ocr_pages: DataFrame) -> DataFrame:
+    """Elements of all manifest entries whose pages were read.
+
+    Entries whose ``text_layer`` is ``ocr`` come from recognised pages, all
+    others from lines with sizes; documents outside the manifest are left out.
+    """
+    scanned = F.col("text_layer").eqNullSafe("ocr")
+    by = lambda when: manifest.where(when).select(F.col("id").alias("doc_id"))
+    printed = lines.join(by(~scanned), "doc_id", "left_semi")
+    return elements(printed, page_counts).unionByName(ocr_elements(ocr_pages.join(by(scanned), "doc_id", "left_semi")))

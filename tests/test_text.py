@@ -64,3 +64,9 @@ def test_decisions(spark):
     assert one(spark, T.agent_decision(F.col("t"), F.lit("q")), t="SUFFICIENT").sufficient
     assert one(spark, T.agent_decision(F.col("t"), F.lit("q")), t="insufficient: more on x").query == "more on x"
     assert one(spark, T.agent_decision(F.col("t"), F.lit("q")), t="INSUFFICIENT").query == "q"
+
+
+def test_figures_as_text(spark):
+    frame = spark.createDataFrame([(40, 60, 0.54, 0.777), (0, 0, None, None)], "k int, n int, a double, b double")
+    got = frame.select(T.ratio_text(F.col("k"), F.col("n")).alias("r"), T.interval_text(F.col("a"), F.col("b")).alias("i")).collect()
+    assert [tuple(r) for r in got] == [("40/60 (67%)", "54%-78%"), ("0/0", "n/a")]
