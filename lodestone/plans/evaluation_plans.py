@@ -150,7 +150,7 @@ def sign_test(spark, sf_dir):
     return counted.withColumn("p_value", F.round(stats.sign_test(F.col("wins"), F.col("losses")), 9))
 
 
-@query("""SELECT event_id, user_id, running FROM (SELECT *, lag(running, 1, 0) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM
+@query("""SELECT event_id, user_id, CAST(running AS BIGINT) AS running FROM (SELECT *, lag(running, 1, 0) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM
     (SELECT event_id, user_id, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM events)) WHERE before <= 50000""")
 def budget_prefix(spark, sf_dir):
     """Costs in hundredths, so that running sums are exact in both engines."""

@@ -119,12 +119,12 @@ def overlap_tail(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.overlap_tail(F.col("text"), 32).alias("tail"))
 
 
-@query(r"SELECT doc_id, generate_subscripts(s, 1) - 1 AS sentence_no, unnest(s) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)")
+@query(r"SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS sentence_no, unnest(s) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)")
 def sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", T.SENTENCE_GAP)).alias("sentence_no", "sentence"))
 
 
-@query("""SELECT doc_id, i AS window_no, array_to_string(w[i * 80 + 1 : i * 80 + 100], ' ') AS words FROM
+@query("""SELECT doc_id, CAST(i AS INT) AS window_no, array_to_string(w[i * 80 + 1 : i * 80 + 100], ' ') AS words FROM
     (SELECT doc_id, w, unnest(generate_series(0, greatest(CAST(ceil((len(w) - 100) / 80) AS INT), 0))) AS i FROM word_lists WHERE len(w) > 0)""")
 def token_windows(spark, sf_dir):
     windows = T.token_windows(F.col("text"), 100, 20)

@@ -57,7 +57,7 @@ LOG = """SELECT event_id AS id, {epoch} AS timestamp, concat('question ', user_i
 NOW = 1_705_000_000
 
 SQL = {
-    "raw_lines": "SELECT doc_id, source, generate_subscripts(w, 1) - 1 AS l, unnest(w) AS raw FROM (SELECT *, string_split(text, chr(10)) AS w FROM documents)",
+    "raw_lines": "SELECT doc_id, source, CAST(generate_subscripts(w, 1) - 1 AS INT) AS l, unnest(w) AS raw FROM (SELECT *, string_split(text, chr(10)) AS w FROM documents)",
     "lines": LINES,
     "answers": ANSWERS.format(nl="chr(10)", words=WORDS_OF.format(g=", 'g'")),
     "contexts": CONTEXTS.format(string="VARCHAR"),
@@ -67,7 +67,7 @@ SQL = {
     # Pages of citations, one row each: array positions by unnesting both.
     "tokens": r"SELECT answer_id, generate_subscripts(t, 1) AS k, unnest(t) AS token FROM (SELECT answer_id, regexp_extract_all(answer, '\[[\w\-\.]+,\s*p\.\d+(?:-\d+)?(?:,[^\]]*)?\]') AS t FROM answers)",
     "spans": r"SELECT answer_id, k, regexp_extract(token, '\[([\w\-\.]+),', 1) AS doc_id, CAST(regexp_extract(token, 'p\.(\d+)', 1) AS INT) AS a, CAST(coalesce(nullif(regexp_extract(token, 'p\.\d+-(\d+)', 1), ''), regexp_extract(token, 'p\.(\d+)', 1)) AS INT) AS b FROM tokens",
-    "cites": "SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY k, page) AS cite_no, doc_id, page FROM (SELECT answer_id, k, doc_id, unnest(generate_series(a, b)) AS page FROM spans WHERE b >= a)",
+    "cites": "SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY k, page) AS cite_no, doc_id, page FROM (SELECT answer_id, k, doc_id, CAST(unnest(generate_series(a, b)) AS INT) AS page FROM spans WHERE b >= a)",
     "verified": """SELECT c.*, EXISTS (SELECT 1 FROM contexts x WHERE x.answer_id = c.answer_id AND x.doc_id = c.doc_id AND c.page BETWEEN x.page_start AND x.page_end) AS verified,
         (SELECT x.section FROM contexts x WHERE x.answer_id = c.answer_id AND x.doc_id = c.doc_id AND c.page BETWEEN x.page_start AND x.page_end ORDER BY x.page_start, x.chunk_id LIMIT 1) AS section FROM cites c""",
     "terms": "SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[/.][a-z0-9]+)*')) AS term FROM documents",
