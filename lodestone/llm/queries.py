@@ -67,6 +67,10 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: A-Z to a-z and nothing else, as the contracts lower.
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": r"""
@@ -75,4 +79,25 @@ def oracle_sql() -> dict[str, str]:
             ), winners AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY t)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
             FROM rows JOIN winners USING (t)""",
+        "op5_near_dedup": rf"""
+            WITH RECURSIVE words AS (
+                SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format(x="coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+            ), sets AS (
+                SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                    ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM words)
+            ), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+            ), shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+            ), links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)
+            ), reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+            ), least AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+            SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id, d.doc_id <= coalesce(c, d.doc_id) AS kept
+            FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON x = d.doc_id""",
+        "op7_line_dedup": rf"""
+            WITH lines AS (
+                SELECT doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents)
+            ), keyed AS (SELECT *, {_LOWER.format(x="regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')")} AS key FROM lines
+            ), frequent AS (SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keep <> doc_id) AS n_dropped,
+                sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (keep IS NULL OR keep = doc_id), '')) AS kept_sha256
+            FROM keyed LEFT JOIN frequent USING (key) GROUP BY doc_id""",
     }
