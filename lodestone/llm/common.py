@@ -59,6 +59,15 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keep_only(spark: SparkSession, folder: str, names: set[str]) -> None:
+    """Remove the tables of a run folder that its result doesn't read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(where):
+        if status.getPath().getName() not in names:
+            store.delete(status.getPath(), True)
+
+
 def _local(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[len("file:"):].lstrip("/")

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_folder, keep_ids, map_batches, materialise, run_folder, whole_text
+from .common import drop_folder, keep_ids, keep_only, map_batches, materialise, run_folder, whole_text
 from .graph import connected_components
 from .shingles import shingle_sets
 
@@ -174,7 +174,9 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     if not rest.isEmpty():
         more = materialise(linked(rest, docs, id_col, text_col), folder, "more-links")
         found = connected_components(links.unionAll(more), folder)
-    labels = classes.join(found, F.col("id") == F.col("node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "id").alias("_component"))
+    own = classes.select("digest", "id").join(found, F.col("id") == F.col("node"), "left")
+    labels = materialise(own.select(F.col("digest").alias("_digest"), F.coalesce("component", "id").alias("_component")), folder, "labels")
+    keep_only(spark, folder, {"rows", "labels"})
     release(spark)
     out = rows.join(labels, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
