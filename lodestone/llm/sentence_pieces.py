@@ -107,7 +107,7 @@ class Lattice:
 
     def build(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First node and length of each unit; cumulative chances and ids of the pieces that end at each node, by length."""
-        order = sorted(range(len(units)), key=lambda i: -len(units[i]))
+        order = np.argsort(np.fromiter(map(len, units), np.int64, len(units)), kind="stable")[::-1].tolist()
         lengths = np.array([len(units[i]) for i in order])
         points = np.frombuffer("".join([units[i] for i in order]).encode("utf-32-le"), "<u4")
         firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -127,21 +127,25 @@ class Lattice:
                 break
             found = self._find(_span_hashes(prefix, at - (size - 1), at + 1))
             ids[node[at], size - 1] = found
-            weight[node[at], size - 1] = np.where(found >= 0, self.weights[found], 0.0)
+            hit = np.flatnonzero(found >= 0)
+            weight[node[at[hit]], size - 1] = self.weights[found[hit]]
         bare = np.flatnonzero(ids[node, 0] < 0)
         ids[node[bare], 0] = _BY_BYTES + points[bare].astype(np.int32)
         weight[node[bare], 0] = _BYTES
-        chance = np.zeros((nodes, span), np.float32)
+        chance = np.ones((nodes, span), np.float32)
         alpha = np.zeros(nodes + span)
         alpha[bases] = 1.0
         back = np.arange(1, span + 1)
         shorter = -lengths  # ascending
         for step in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
             own = bases[: int(np.searchsorted(shorter, -step, side="right"))] + step
-            ways = alpha[own[:, None] - back] * weight[own]  # beyond a unit's start the weight is 0
-            total = np.cumsum(ways, axis=1)
-            alpha[own] = total[:, -1]
-            chance[own] = total / total[:, -1:]
+            reach = min(step, span)  # no piece begins before its unit
+            total = alpha[own[:, None] - back[:reach]]
+            total *= weight[own, :reach]
+            np.cumsum(total, axis=1, out=total)
+            alpha[own] = last = total[:, -1].copy()
+            total /= last[:, None]
+            chance[own, :reach] = total
             if step % 8 == 0:  # only ratios within a piece's reach matter
                 window = own[:, None] - np.arange(min(span, step + 1))
                 alpha[window] /= alpha[own][:, None]
