@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import language_id, line_dedup, near_dedup, packing, secrets
-from lodestone.llm.common import materialise, run_folder
+from lodestone.llm.common import bound_batches, materialise, run_folder
 
 
 def _with_text(docs: DataFrame, text, columns: list[str], of: str = "") -> DataFrame:
@@ -32,6 +32,7 @@ def _with_text(docs: DataFrame, text, columns: list[str], of: str = "") -> DataF
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    bound_batches(spark)
     return language_id.accepted(docs, language_id.train(docs))
 
 
@@ -44,6 +45,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noq
 
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    bound_batches(spark)
     return _with_text(secrets.redacted(docs), F.col("text"), docs.columns)
 
 

@@ -17,8 +17,23 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Rows of whole texts that go to a Python worker at once, at most.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_ROWS``: rows here are whole documents.
+
+    The setting is the session's; a smaller one that is there already stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table, read by Spark so any store will do."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -132,6 +147,7 @@ def map_batches(frame: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    bound_batches(frame.sparkSession)
     kinds = StructType.fromDDL(schema)
     arrow = to_arrow_schema(kinds)
 

@@ -17,7 +17,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Distinct runs that one worker keeps at most, and texts encoded together.
-CACHE_RUNS = 700_000
+CACHE_RUNS = 500_000
 BATCH_BYTES = 4_000_000
 
 
