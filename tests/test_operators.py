@@ -56,6 +56,15 @@ def test_packer():
         chunking.Packer(target=0)
 
 
+def test_cosine_takes_questions_in_blocks(spark, monkeypatch):
+    chunks = spark.createDataFrame([("a", [0.0, 5.0]), ("b", [3.0, 0.0])], "chunk_id string, vector array<double>")
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "question_id long, vector array<double>")
+    whole = rows(retrieval.cosine_scores(asked, chunks), "question_id", "chunk_id")
+    monkeypatch.setattr(retrieval, "MOST_QUESTIONS", 2)
+    assert rows(retrieval.cosine_scores(asked, chunks), "question_id", "chunk_id") == whole and len(whole) == 10
+    assert retrieval.cosine_scores(asked.limit(0), chunks).count() == 0
+
+
 def test_cosine(spark):
     chunks = spark.createDataFrame([("a", [0.0, 5.0]), ("b", [3.0, 0.0]), ("c", [-1.0, 0.0]), ("z", [0.0, 0.0])], "chunk_id string, vector array<double>")
     questions = spark.createDataFrame([(1, [1.0, 0.0])], "question_id int, vector array<double>")
