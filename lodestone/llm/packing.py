@@ -12,7 +12,8 @@ memory is bounded by a block.  A task's last block ends in sequences of
 descending powers of two, which need no padding.
 
 Defined results: null or empty texts are documents of the end id alone (one
-piece).  Repeated rows and ids are separate documents.  An empty table gives
+piece).  A text of any length is encoded whole and cut into as many sequences
+as it fills; its task holds its ids until then.  Repeated rows and ids are separate documents.  An empty table gives
 an empty result.  Sequence ids are unique over tasks, not consecutive: the
 task's number in the upper bits, the sequence's in the lower 33.
 """
@@ -140,10 +141,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, capaci
                     tokens = sum(n for _, _, n in held)
         yield from emit(pack_block(held, True, capacity)[0])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")), work, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("text")), work, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
-def _encoded(own, texts: list[str]) -> Iterator[bytes]:
+def _encoded(own, texts: list[bytes]) -> Iterator[bytes]:
     for start in range(0, len(texts), 1000):
         yield from own.encode(texts[start : start + 1000])
 

@@ -4,14 +4,17 @@ A shard is three files: ``.bin`` holds the ids of its documents in ascending
 id order (16 bits while the vocabulary allows it, else 32), ``.idx`` the
 64-bit offset of each document and the end, ``.doc`` their 64-bit doc ids.
 Shards follow each other in id order; a shard's base, the ids before it, is
-the prefix sum over the shards' totals.  Only the shard list (one small row a
-shard) reaches the driver.  Files appear under their final names when whole,
-so a task that runs again replaces them with equal ones.
+the prefix sum over the shards' totals.  A task begins a new shard after
+``SHARD_TOKENS`` ids or ``SHARD_DOCUMENTS`` documents, so a shard's size (and
+what a task holds of it) doesn't grow with the table.  Only the shard list
+(one small row a shard) reaches the driver.  A run of a task writes files of
+its own names and lists them when they are whole.
 
 Defined results: null or empty texts are documents of the end id alone.  Rows
-that repeat an id are separate documents side by side, in order of their
-text; null ids are refused, since the files have no place for them.  An empty
-table gives no shard and an empty result.
+that repeat an id are separate documents side by side, by their partition and
+text, and may lie in several ranges; null ids are refused, since the files
+have no place for them.  A text of any length is one document of one shard,
+held whole by its task.  An empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, map_file, run_folder, whole_text, write_file
-from .tokens import default_vocabulary, encoder
+from .tokens import ChunkEncoder, default_vocabulary, encoder
 
+#: Ids and documents after which a shard ends.
+SHARD_TOKENS, SHARD_DOCUMENTS = 1 << 26, 1 << 20
 
 @dataclass(frozen=True)
 class Shard:
@@ -41,52 +47,56 @@ class Shard:
     width: int
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> list[Shard]:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> list[Shard]:
     """Encode whole texts and write them as shards; returns their list."""
     path = vocabulary or default_vocabulary()
     ordered = docs.select(
         F.when(F.col(id_col).isNull(), F.raise_error(F.lit("a document without an id"))).otherwise(F.col(id_col)).cast("long").alias("doc_id"),
-        whole_text(text_col).alias("text"),
+        whole_text(text_col).cast("binary").alias("text"),
+        F.spark_partition_id().alias("_part"),  # splits the rows of one id
     )
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.repartitionByRange("doc_id", "_part").sortWithinPartitions("doc_id", "_part", "text").select("doc_id", "text")
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         own = encoder(path)
         tail = np.array([end_id], dtype=own.dtype).tobytes()
-        ids: list[bytes] = []
-        doc_ids: list[int] = []
-        lengths: list[int] = []
-        name = f"{folder}/{uuid.uuid4().hex}"
-
-        def body() -> Iterator[bytes]:
-            for batch in batches:
-                doc_ids.extend(batch["doc_id"])
-                for found in own.encode(batch["text"]):
-                    lengths.append(len(found) // own.dtype.itemsize + 1)
-                    yield found + tail
-
-        first = next(chunks := body(), None)
-        if first is None:
-            return
-        ids.append(first)
-        write_file(f"{name}.bin", _chain(ids, chunks))
-        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        write_file(f"{name}.idx", iter([offsets.astype("<i8").tobytes()]))
-        write_file(f"{name}.doc", iter([np.array(doc_ids, dtype="<i8").tobytes()]))
-        yield {"name": [name], "first_doc": [doc_ids[0]], "documents": [len(doc_ids)], "tokens": [int(offsets[-1])], "width": [own.dtype.itemsize]}
-
-    # One row a shard: their number is the number of partitions, not of documents.
-    rows = map_batches(ordered, work, "name string, first_doc long, documents long, tokens long, width int").collect()
+        part = TaskContext.get().partitionId()
+        rows = _documents(batches, own, tail)
+        shard = 0
+        while (first := next(rows, None)) is not None:
+            name = f"{folder}/{uuid.uuid4().hex}"
+            doc_ids: list[int] = []
+            ends: list[int] = []
+            write_file(f"{name}.bin", _shard_body(first, rows, own.dtype.itemsize, shard_tokens, doc_ids, ends))
+            write_file(f"{name}.idx", iter([np.array([0, *ends], dtype="<i8").tobytes()]))
+            write_file(f"{name}.doc", iter([np.array(doc_ids, dtype="<i8").tobytes()]))
+            yield {"part": [part], "shard": [shard], "name": [name], "first_doc": [doc_ids[0]], "documents": [len(doc_ids)], "tokens": [ends[-1]], "width": [own.dtype.itemsize]}
+            shard += 1
+
+    # One row a shard of ``SHARD_TOKENS`` ids, or a task.
+    rows = map_batches(ordered, work, "part int, shard int, name string, first_doc long, documents long, tokens long, width int").collect()
     shards, base = [], 0
-    for row in sorted(rows, key=lambda r: r.first_doc):
+    for row in sorted(rows, key=lambda r: (r.part, r.shard)):
         shards.append(Shard(row["name"], row.first_doc, base, row.documents, row.tokens, row.width))
         base += row.tokens
     return shards
 
 
-def _chain(first: list[bytes], rest: Iterator[bytes]) -> Iterator[bytes]:
-    yield first.pop()
-    yield from rest
+def _documents(batches: Iterator[dict], own: ChunkEncoder, tail: bytes) -> Iterator[tuple[int, bytes]]:
+    for batch in batches:
+        for doc_id, found in zip(batch["doc_id"], own.encode(batch["text"]), strict=True):
+            yield doc_id, found + tail
+
+
+def _shard_body(first: tuple[int, bytes], rest: Iterator[tuple[int, bytes]], width: int, most: int, doc_ids: list[int], ends: list[int]) -> Iterator[bytes]:
+    """A shard's ids; notes its documents and where each ends."""
+    row: tuple[int, bytes] | None = first
+    end = 0
+    while row is not None:
+        doc_ids.append(row[0])
+        ends.append(end := end + len(row[1]) // width)
+        yield row[1]
+        row = next(rest, None) if end < most and len(ends) < SHARD_DOCUMENTS else None
 
 
 def read_shard(shard: Shard) -> Iterator[tuple[int, int, np.ndarray]]:

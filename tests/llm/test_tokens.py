@@ -9,7 +9,7 @@ from lodestone.llm import packing, token_files
 from lodestone.llm.common import documents, run_folder
 from lodestone.llm.tokens import ChunkEncoder, default_vocabulary
 
-ODD = ["", None, "   \n\t ", "Don't STOP, it's 1234 ... <|endoftext|>x", "É́ ﬁ İstanbul ΣΑΣ K \x1c\x85\xa0z", "日本語 テキスト한글", "a" * 30_000, "word " * 20_000, "x\x0by\x0cz", "1,2.3 a.b,c. end,"]
+ODD = ["", None, "   \n\t ", "Don't STOP, it's 1234 ... <|endoftext|>x", "É́ ﬁ İstanbul ΣΑΣ K \x1c\x85\xa0z", "日本語 テキスト한글", "a" * 30_000, "word " * 20_000, "x\x0by\x0cz", "1,2.3 a.b,c. end,", "<|EndOfText|> a<|ENDOFTEXT|>b <|endoftext|>", "it's' 's can't. a_b (c) x's!! É,*** ß&&& a............ ab'''"]
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +23,9 @@ def ids_of(library, text):
 
 def test_encoder_equals_library(library, spark, sf_dir):
     texts = ODD + [r.text for r in documents(spark, sf_dir).select("text").collect()]
-    for capacity in (50, 700_000):
+    for capacity in (500, 20_000, 160_000_000):
         own = ChunkEncoder(default_vocabulary(), capacity)
-        for _ in range(2):
+        for _ in range(3):
             found = own.encode(texts)
             assert [np.frombuffer(f, own.dtype).tolist() for f in found] == [ids_of(library, t) for t in texts]
 
@@ -98,3 +98,30 @@ def test_token_files(library, spark, sf_dir):
     assert [r.start for r in sorted(token_files.op4(spark, twice).collect())] == [0, 2]
     with pytest.raises(Exception, match="without an id"):
         token_files.write_token_files(frame(spark, ["a"]).selectExpr("cast(null as long) doc_id", "text"), run_folder(spark, "t"))
+
+
+def test_small_shards_follow_each_other(library, spark, sf_dir):
+    docs = documents(spark, sf_dir).limit(100)
+    same = docs.selectExpr("CASE WHEN doc_id % 3 = 0 THEN 7 ELSE doc_id END AS doc_id", "text")
+    shards = token_files.write_token_files(same, run_folder(spark, "t"), shard_tokens=5000)
+    assert len(shards) > 8 and all(a.base + a.tokens == b.base for a, b in zip(shards, shards[1:]))
+    assert max(s.tokens for s in shards if s.documents > 1) < 5000 + max(len(ids_of(library, r.text)) + 1 for r in same.collect())
+    got = token_files.token_file_rows(spark, shards).collect()
+    starts = {r.start: r for r in got}
+    assert len(starts) == len(got) == 100
+    ordered = [starts[s].doc_id for s in sorted(starts)]
+    assert ordered == sorted(ordered)
+    want = sorted((r.doc_id, len(ids_of(library, r.text)) + 1) for r in same.collect())
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == want
+
+
+def test_cache_keeps_what_comes_again():
+    own = ChunkEncoder(default_vocabulary(), 100_000)
+    learned = []
+    learn = own._learn
+    own._learn = lambda runs: learned.append(set(runs)) or learn(runs)
+    common = [f"often{i:c}".encode() for i in range(97, 122)]
+    for batch in range(40):
+        own.encode([b" ".join(common), " ".join(f"rare{batch}x{i}" for i in range(100)).encode(), b"y" * 10_000])
+        assert own.held <= own.capacity
+    assert all(not learned[i] & set(common) for i in range(1, 40)) and all(b"y" * 10_000 in runs for runs in learned)
