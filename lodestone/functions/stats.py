@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,9 +72,14 @@ def sign_test(wins: Column, losses: Column) -> Column:
         n, k = w + x, min(w, x)
         if n == 0:
             return 1.0
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-        top = max(logs)
-        return min(1.0, 2 * math.exp(top) * sum(math.exp(v - top) for v in logs))
+        top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+        # Terms from the greatest down, until they no longer count: some roots of n of them.
+        total, term, i = 1.0, 1.0, k
+        while i > 0 and term > total * 1e-17:
+            at = np.arange(i, max(0, i - 4096), -1, dtype=np.float64)
+            parts = term * np.cumprod(at / (n - at + 1))
+            total, term, i = total + float(parts.sum()), float(parts[-1]), i - len(at)
+        return min(1.0, 2 * math.exp(top) * total)
 
     @F.pandas_udf("double")
     def tested(a: pd.Series, b: pd.Series) -> pd.Series:

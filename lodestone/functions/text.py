@@ -68,9 +68,9 @@ def compatible(text: Column) -> Column:
     return normal(text)
 
 
-def normal_quote(text: Column, ascii_only: bool = False) -> Column:
+def normal_quote(text: Column) -> Column:
     """NFKC, lower case, hyphens at line ends joined, a-z 0-9 % only."""
-    joined = F.regexp_replace(F.lower(text if ascii_only else compatible(text)), r"-\s*\n\s*", "")
+    joined = F.regexp_replace(F.lower(compatible(text)), r"-\s*\n\s*", "")
     return F.trim(F.regexp_replace(joined, r"[^a-z0-9%]+", " "))
 
 

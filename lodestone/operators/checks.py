@@ -69,17 +69,19 @@ def duplicates(frame: DataFrame, key: str) -> DataFrame:
     return frame.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def quote_hits(quotes: DataFrame, pages: DataFrame, ascii_only: bool = False) -> DataFrame:
+def quote_hits(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """The quotes (quote_id, doc_id, page, quote) with ``found``: on the page, or over its end.
 
     The next page is the one with the next number, not the next row.
     """
-    own = pages.select("doc_id", "page", normal_quote(F.col("text"), ascii_only).alias("_here"))
+    own = pages.select("doc_id", "page", normal_quote(F.col("text")).alias("_here"))
     after = own.select("doc_id", (F.col("page") - 1).alias("page"), F.col("_here").alias("_next"))
-    out = quotes.join(own, ["doc_id", "page"], "left").join(after, ["doc_id", "page"], "left")
-    quote = normal_quote(F.col("quote"), ascii_only)
-    there = F.col("_here").contains(quote) | F.concat("_here", F.lit(" "), F.coalesce("_next", F.lit(""))).contains(quote)
-    return out.withColumn("found", F.coalesce(there, F.lit(False))).drop("_here", "_next")
+    both = own.join(after, ["doc_id", "page"], "left")
+    # Both are normalised before the join, each once.
+    asked = quotes.withColumn("_quote", normal_quote(F.col("quote")))
+    out = asked.join(both, ["doc_id", "page"], "left")
+    there = F.col("_here").contains(F.col("_quote")) | F.concat("_here", F.lit(" "), F.coalesce("_next", F.lit(""))).contains(F.col("_quote"))
+    return out.withColumn("found", F.coalesce(there, F.lit(False))).drop("_here", "_next", "_quote")
 
 
 def question_errors(questions: DataFrame, known: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
@@ -125,5 +127,23 @@ def question_errors(questions: DataFrame, known: DataFrame | None = None, pages:
         hits = quote_hits(listed.where(~bad), pages).where("not found")
         out = out.unionByName(hits.select("id", F.concat(F.lit("quote not found on "), "doc_id", F.lit(" p."), F.col("page").cast("string")).alias("error")))
     named = questions.where(F.col("type").isin("single", "threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("question").rlike(NAMED_INSTRUMENT).cast("int")).alias("k"))
+    counts = questions.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    dev = questions.agg(F.coalesce(F.max(F.col("id").startswith("d")), F.lit(False)).alias("_dev"))
+    out = out.unionByName(type_count_errors(counts, dev))
     share = named.where("n > 0 and k / n > 0.25").select(F.lit("").alias("id"), F.format_string("%d/%d single+threshold questions name an instrument (max 25%%)", "k", "n").alias("error"))
     return out.unionByName(share)
+
+
+def type_count_errors(counts: DataFrame, dev: DataFrame) -> DataFrame:
+    """One error where a development file's questions of a type are not as many as they should be.
+
+    ``counts`` is (type, n), ``dev`` one row: whether any id is a development one.
+    """
+    held = counts.agg(F.coalesce(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("type").isin(*TYPE_COUNTS), F.struct("type", "n"))))), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))).alias("_m"), F.coalesce(F.max(~F.col("type").isin(*TYPE_COUNTS)), F.lit(False)).alias("_other"))
+    known = {t: F.coalesce(F.try_element_at("_m", F.lit(t)), F.lit(0)) for t in TYPE_COUNTS}
+    wrong = F.col("_other")
+    for t, n in TYPE_COUNTS.items():
+        wrong = wrong | (known[t] != n)
+    shown = F.concat_ws(", ", *(F.concat(F.lit(f"{t} "), known[t].cast("string"), F.lit(f" of {n}")) for t, n in TYPE_COUNTS.items()))
+    both = held.crossJoin(F.broadcast(dev))  # one row each
+    return both.where(F.col("_dev") & wrong).select(F.lit("").alias("id"), F.concat(F.lit("type counts: "), shown).alias("error"))

@@ -18,12 +18,17 @@ STATUS_VERBS = {
     "historical_snapshot": "a dated historical snapshot that may not reflect later amendments",
     "unknown": "of unconfirmed current status",
 }
+#: Pages of a cited range that are listed at once.
+PAGES_AT_ONCE = 10_000
 
 
 def extract(answers: DataFrame, text: str = "answer") -> DataFrame:
     """(answer_id, cite_no, doc_id, page): ranges page by page, reversed ones none."""
     tokens = answers.select("answer_id", F.posexplode(T.citations(F.col(text))).alias("_token", "_c")).where("_c.last >= _c.first")
-    pages = tokens.select("answer_id", "_token", F.col("_c.doc_id").alias("doc_id"), F.explode(F.sequence("_c.first", "_c.last")).alias("page"))
+    # In blocks, so that no array grows with a range that an answer names.
+    blocks = tokens.select("answer_id", "_token", F.col("_c.doc_id").alias("doc_id"), F.col("_c.last").alias("_last"), F.explode(F.sequence("_c.first", "_c.last", F.lit(PAGES_AT_ONCE))).alias("_from"))
+    last = F.when(F.col("_from") > F.col("_last") - (PAGES_AT_ONCE - 1), F.col("_last")).otherwise(F.col("_from") + (PAGES_AT_ONCE - 1))
+    pages = blocks.select("answer_id", "_token", "doc_id", F.explode(F.sequence("_from", last)).alias("page"))
     order = Window.partitionBy("answer_id").orderBy("_token", "page")
     return pages.select("answer_id", F.row_number().over(order).cast("long").alias("cite_no"), "doc_id", "page")
 
@@ -50,19 +55,31 @@ def with_reference(verified: DataFrame, manifest: DataFrame) -> DataFrame:
     return out.withColumn("section_ref", reference).drop("authority_level", "section")
 
 
+def _covers(ranges: Column, first: Column, last: Column) -> Column:
+    """Whether ranges of pages hold every page of one: each in order reaches on from the ones before."""
+    ordered = F.array_sort(F.transform(ranges, lambda p: F.struct(p["page_start"].alias("a"), p["page_end"].alias("b"))))
+    reached = F.aggregate(ordered, first.cast("long") - 1, lambda to, p: F.when(p["a"] <= to + 1, F.greatest(to, p["b"].cast("long"))).otherwise(to))
+    return reached >= last
+
+
 def validate(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     """(answer_id, refused, refusal_reason, served): the first rule that fails."""
-    cites = verify(extract(answers), contexts).groupBy("answer_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.col("verified").cast("int")).alias("_all"))
-    own = answers.join(cites, "answer_id", "left").withColumn("_t", T.strip(F.col("answer")))
+    # An answer is read once and carried along: a model behind it may not give the same reply twice.
+    pages = contexts.groupBy("answer_id").agg(F.collect_set(F.struct("doc_id", "page_start", "page_end")).alias("_pages"))
+    own = answers.join(pages, "answer_id", "left").withColumn("_t", T.strip(F.col("answer")))
+    cited = F.filter(T.citations(F.col("answer")), lambda c: c["last"] >= c["first"])
+    own = own.withColumn("_cited", cited)
+    seen = lambda c: F.filter(F.coalesce("_pages", F.array().cast(pages.schema["_pages"].dataType)), lambda p: (p["doc_id"] == c["doc_id"]) & (p["page_start"] <= c["last"]) & (p["page_end"] >= c["first"]))
+    own = own.withColumn("_n", F.size("_cited")).withColumn("_all", F.forall("_cited", lambda c: _covers(seen(c), c["first"], c["last"])))
     text: Column = F.col("_t")
     uncited = F.exists(F.split(text, "\n"), lambda line: (T.strip(line) != "") & ~F.regexp_replace(line, rf"{T.SPACE}$", "").rlike(T.ENDS_IN_CITATION))
     reason = (
         F.when(text == T.REFUSAL, F.lit("model_refusal"))
         .when(F.lower(text).contains(T.REFUSAL.lower()), F.lit("malformed_refusal"))
-        .when(F.col("_n").isNull() & text.rlike(T.CITATION_SHAPED), F.lit("malformed_citation"))
-        .when(F.col("_n").isNull(), F.lit("missing_citation"))
+        .when((F.col("_n") == 0) & text.rlike(T.CITATION_SHAPED), F.lit("malformed_citation"))
+        .when(F.col("_n") == 0, F.lit("missing_citation"))
         .when(uncited, F.lit("uncited_line"))
-        .when(F.col("_all") == 0, F.lit("unverified_citation"))
+        .when(~F.col("_all"), F.lit("unverified_citation"))
     )
     out = own.withColumn("refusal_reason", reason)
     served = F.when(F.col("refusal_reason").isNull(), F.col("_t")).otherwise(F.lit(T.REFUSAL))

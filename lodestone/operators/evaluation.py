@@ -59,6 +59,11 @@ def run_metrics(items: DataFrame) -> DataFrame:
     )
 
 
+def judged_by_both(one: DataFrame, two: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, a, b): the two judges' labels of what both have judged."""
+    return one.select(key, F.col(label).alias("a")).join(two.select(key, F.col(label).alias("b")), key)
+
+
 def refusal_histogram(items: DataFrame) -> DataFrame:
     return items.where("refused").groupBy("refusal_reason").agg(F.count(F.lit(1)).alias("n"))
 

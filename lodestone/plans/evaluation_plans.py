@@ -74,21 +74,14 @@ HOLDS = "SELECT b.item_id AS question_id, d.doc_id AS chunk_id FROM benchmark b
 
 
 def _relevant(spark, sf_dir):
-    """Documents that hold a benchmark text: benchmark is a stated set of fixed size."""
-    questions, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    first = F.substring("text", 1, 30)
-    # An equi join on a document's lines that begin as the question does, then the whole text.
-    lines = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.substring(x, 1, 30)))).alias("_s"))
-    head = F.element_at(F.split(first, "\n"), 1)
-    asked = questions.select(F.col("item_id").alias("question_id"), F.col("text").alias("_q"), head.alias("_s"))
-    return lines.join(asked, "_s").where(F.col("text").contains(F.col("_q"))).select("question_id", F.col("doc_id").alias("chunk_id")).distinct()
-
+    """Documents that hold a benchmark text."""
+    from ..operators import retrieval as R
 
-LINE_HOLDS = f"SELECT DISTINCT h.question_id, h.chunk_id FROM ({HOLDS}) h JOIN raw_lines r ON r.doc_id = h.chunk_id JOIN benchmark b ON b.item_id = h.question_id WHERE substr(r.raw, 1, 30) = string_split(substr(b.text, 1, 30), chr(10))[1]"
+    return R.holding(inputs.questions(spark, sf_dir), inputs.chunks(spark, sf_dir))
 
 
 @query(f"""SELECT item_id AS question_id, first_rank, round(coalesce(1e0 / first_rank, 0), 6) AS reciprocal FROM benchmark LEFT JOIN
-    (SELECT question_id, min(rank) AS first_rank FROM (SELECT * FROM bm25_ranked WHERE rank <= 10) JOIN ({LINE_HOLDS}) USING (question_id, chunk_id) GROUP BY question_id) ON question_id = item_id""")
+    (SELECT question_id, min(rank) AS first_rank FROM (SELECT * FROM bm25_ranked WHERE rank <= 10) JOIN ({HOLDS}) USING (question_id, chunk_id) GROUP BY question_id) ON question_id = item_id""")
 def retrieval_mrr(spark, sf_dir):
     from ..operators import retrieval as R
 
@@ -108,10 +101,16 @@ def retrieval_bench(spark, sf_dir):
     return E.retrieval_table(results, ["config", "strategy", "rerank"])
 
 
-@query("""WITH t AS (SELECT count(*) AS n, avg(CASE WHEN quality = toxic THEN 1e0 ELSE 0 END) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels)
+#: Two judges' labels of the same texts: the second one judged some others, too.
+JUDGES = ("SELECT doc_id, quality AS label FROM labels", "SELECT doc_id, CASE WHEN length(text) % 3 = 0 THEN 1 ELSE 0 END AS label FROM documents")
+
+
+@query(f"""WITH t AS (SELECT count(*) AS n, avg(CASE WHEN a.label = b.label THEN 1e0 ELSE 0 END) AS po, avg(a.label) * avg(b.label) + (1 - avg(a.label)) * (1 - avg(b.label)) AS pe FROM ({JUDGES[0]}) a JOIN ({JUDGES[1]}) b USING (doc_id))
     SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM t""")
 def kappa(spark, sf_dir):
-    return stats.kappa(table(spark, sf_dir, "labels"), "quality", "toxic").select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
+    one = inputs._sql(spark, JUDGES[0], labels=table(spark, sf_dir, "labels"))
+    two = inputs._sql(spark, JUDGES[1], documents=table(spark, sf_dir, "documents"))
+    return stats.kappa(E.judged_by_both(one, two, "doc_id", "label"), "a", "b").select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
 
 
 @query("""SELECT a, b, count(doc_id) AS n FROM (SELECT 0 AS a UNION ALL SELECT 1) CROSS JOIN (SELECT 0 AS b UNION ALL SELECT 1) LEFT JOIN labels ON quality = a AND toxic = b GROUP BY a, b""")
@@ -142,11 +141,11 @@ def paired_compare(spark, sf_dir):
     return found.drop("p_value").withColumns({c: F.round(c, 6) for c in ("mean_before", "mean_after")})
 
 
-@query("""WITH p AS (SELECT lang, count(*) FILTER (quality > toxic) % 40 AS w, count(*) FILTER (quality < toxic) AS l FROM labels JOIN documents USING (doc_id) GROUP BY lang), t AS (SELECT lang, w, l, unnest(generate_series(0, CAST(least(w, l) AS INT))) AS i FROM p)
+@query("""WITH p AS (SELECT lang, count(*) FILTER (quality > toxic) AS w, count(*) FILTER (quality < toxic) AS l FROM labels JOIN documents USING (doc_id) GROUP BY lang), t AS (SELECT lang, w, l, unnest(generate_series(0, CAST(least(w, l) AS INT))) AS i FROM p)
     SELECT lang, w AS wins, l AS losses, round(CASE WHEN w + l = 0 THEN 1 ELSE least(1, 2 * sum(exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2)))) END, 9) AS p_value FROM t GROUP BY lang, w, l""")
 def sign_test(spark, sf_dir):
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    counted = joined.groupBy("lang").agg((F.sum((F.col("quality") > F.col("toxic")).cast("long")) % 40).alias("wins"), F.sum((F.col("quality") < F.col("toxic")).cast("long")).alias("losses"))
+    counted = joined.groupBy("lang").agg(F.sum((F.col("quality") > F.col("toxic")).cast("long")).alias("wins"), F.sum((F.col("quality") < F.col("toxic")).cast("long")).alias("losses"))
     return counted.withColumn("p_value", F.round(stats.sign_test(F.col("wins"), F.col("losses")), 9))
 
 
@@ -194,11 +193,11 @@ def hash_sample(spark, sf_dir):
     return E.hash_sample(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "review-1", 20)
 
 
-@query("""WITH i AS (SELECT item_id AS id, refused AND item_id % 50 = 0 AS refused FROM items), n AS (SELECT greatest(12 - count(*), 0) AS room FROM i WHERE refused)
+@query("""WITH i AS (SELECT item_id AS id, refused FROM items), n AS (SELECT greatest(12 - count(*), 0) AS room FROM i WHERE refused)
     SELECT id, refused FROM (SELECT *, row_number() OVER (PARTITION BY refused ORDER BY id) AS r FROM i) CROSS JOIN n WHERE refused OR r <= room""")
 def fixture_sample(spark, sf_dir):
     """A sampling operator; the limit is the feature."""
-    return E.fixture_sample(inputs.items(spark, sf_dir).selectExpr("item_id AS id", "refused AND item_id % 50 = 0 AS refused"))
+    return E.fixture_sample(inputs.items(spark, sf_dir).selectExpr("item_id AS id", "refused"))
 
 
 @query("""SELECT i.item_id AS id, concat('a', i.item_id) AS answer, CASE WHEN i.item_id % 3 > 0 THEN concat('b', i.item_id) END AS closed_answer,

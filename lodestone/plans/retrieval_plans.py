@@ -17,8 +17,8 @@ def shown(ranked, *more):
     return ranked.select("question_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), *more)
 
 
-def _cosine(spark, sf_dir):
-    return R.cosine_scores(inputs.vector_questions(spark, sf_dir), inputs.vectors(spark, sf_dir))
+def _cosine(spark, sf_dir, k=None):
+    return R.cosine_scores(inputs.vector_questions(spark, sf_dir), inputs.vectors(spark, sf_dir), k)
 
 
 def _bm25(spark, sf_dir):
@@ -27,13 +27,13 @@ def _bm25(spark, sf_dir):
 
 @query(f"SELECT {SHOWN} FROM cosine_ranked WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
-    return shown(R.top(_cosine(spark, sf_dir), 10))
+    return shown(R.top(_cosine(spark, sf_dir, 10), 10))
 
 
 @query(f"SELECT {SHOWN} FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM cosine WHERE doc_id IN (1, 3, 5)) WHERE rank <= 10")
 def cosine_filtered(spark, sf_dir):
     chosen = inputs.vectors(spark, sf_dir).where(F.col("doc_id").isin(1, 3, 5))
-    return shown(R.top(R.cosine_scores(inputs.vector_questions(spark, sf_dir), chosen), 10))
+    return shown(R.cosine_top(inputs.vector_questions(spark, sf_dir), chosen, 10))
 
 
 @query(f"SELECT {SHOWN} FROM bm25_ranked WHERE rank <= 5")
@@ -49,7 +49,7 @@ BOTH = "SELECT question_id, chunk_id, rank FROM cosine_ranked WHERE rank <= 50 U
 @query(f"SELECT {SHOWN} FROM ({FUSED.format(lists=BOTH)}) WHERE rank <= 10")
 def hybrid(spark, sf_dir):
     """Vectors and texts share their ids, as chunks of one index would."""
-    return shown(R.fuse([R.top(_cosine(spark, sf_dir), 50), R.top(_bm25(spark, sf_dir), 50)], 10))
+    return shown(R.fuse([R.top(_cosine(spark, sf_dir, 50), 50), R.top(_bm25(spark, sf_dir), 50)], 10))
 
 
 BY_LABEL = "SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY chunk_id DESC) AS rank FROM cosine WHERE doc_id = 2"
@@ -57,17 +57,17 @@ BY_LABEL = "SELECT question_id, chunk_id, row_number() OVER (PARTITION BY questi
 
 @query(f"SELECT {SHOWN} FROM ({FUSED.format(lists=f'SELECT question_id, chunk_id, rank FROM cosine_ranked WHERE rank <= 20 UNION ALL SELECT * FROM ({BY_LABEL}) WHERE rank <= 20')}) WHERE rank <= 10")
 def rrf_fusion(spark, sf_dir):
-    scores = _cosine(spark, sf_dir)
+    asked, vectors = inputs.vector_questions(spark, sf_dir), inputs.vectors(spark, sf_dir)
     order = Window.partitionBy("question_id").orderBy(F.col("chunk_id").desc())
-    other = scores.where("doc_id = 2").withColumn("rank", F.row_number().over(order)).where("rank <= 20")
-    return shown(R.fuse([R.top(scores, 20), other], 10))
+    other = R.cosine_scores(asked, vectors.where("doc_id = 2")).withColumn("rank", F.row_number().over(order)).where("rank <= 20")
+    return shown(R.fuse([R.cosine_top(asked, vectors, 20), other], 10))
 
 
 @query(f"""SELECT {SHOWN} FROM (SELECT question_id, chunk_id, second AS score, row_number() OVER (PARTITION BY question_id ORDER BY round(second, 9) DESC, chunk_id) AS rank FROM
     (SELECT *, score * 0.5e0 + CAST(chunk_id % 7 AS DOUBLE) / 10e0 AS second FROM cosine_ranked WHERE rank <= 20)) WHERE rank <= 5""")
 def rerank_topk(spark, sf_dir):
     """A pool of twenty under a made-up scorer, cut to five."""
-    pool = R.top(_cosine(spark, sf_dir), R.POOL)
+    pool = R.top(_cosine(spark, sf_dir, R.POOL), R.POOL)
     return shown(R.rerank(pool, lambda c: c["score"] * 0.5 + (c["chunk_id"] % 7).cast("double") / 10, 5))
 
 
@@ -77,7 +77,7 @@ def _resolved(spark, sf_dir):
     return named.withColumn("manifest_ord", F.col("doc_id"))
 
 
-RESOLVED = "SELECT DISTINCT question_id, unnest([question_id % 10, (question_id * 3 + 1) % 10]) AS doc_id FROM (SELECT vec_id AS question_id FROM embeddings WHERE vec_id < 20)"
+RESOLVED = "SELECT DISTINCT question_id, unnest([question_id % 10, (question_id * 3 + 1) % 10]) AS doc_id FROM (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 50 = 0)"
 CANDIDATES = f"""SELECT question_id, chunk_id, doc_id, score, named, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY round(score, 9) DESC, chunk_id) AS nth FROM
     (SELECT c.*, n.doc_id IS NOT NULL AS named, row_number() OVER (PARTITION BY c.question_id, n.doc_id IS NOT NULL ORDER BY round(score, 9) DESC, chunk_id) AS among
      FROM cosine_ranked c LEFT JOIN ({RESOLVED}) n USING (question_id, doc_id)) WHERE rank <= 20 OR (named AND among <= 20)"""
@@ -86,9 +86,9 @@ BALANCED = f"""SELECT *, named AND nth = 1 AS reserved, row_number() OVER (PARTI
 
 
 def _balanced(spark, sf_dir):
-    scores, resolved = _cosine(spark, sf_dir), _resolved(spark, sf_dir)
-    pool = R.top(scores, R.POOL).drop("rank")
-    named = R.top(scores.join(resolved.drop("manifest_ord"), ["question_id", "doc_id"], "left_semi"), R.POOL).drop("rank")
+    asked, vectors, resolved = inputs.vector_questions(spark, sf_dir), inputs.vectors(spark, sf_dir), _resolved(spark, sf_dir)
+    pool = R.cosine_top(asked, vectors, R.POOL).drop("rank")
+    named = R.top(R.named_scores(asked, vectors, resolved), R.POOL).drop("rank").select(pool.columns)
     return R.named_balanced(pool, named.select(pool.columns), resolved, 5), pool.unionByName(named), resolved
 
 
@@ -121,8 +121,8 @@ def page_stab(spark, sf_dir):
     SELECT * FROM held UNION ALL SELECT question_id, chunk_id, 5 + row_number() OVER (PARTITION BY question_id ORDER BY rank) FROM more m
     WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.question_id = m.question_id AND h.chunk_id = m.chunk_id)""")
 def merge_new(spark, sf_dir):
-    scores = _cosine(spark, sf_dir)
-    out = R.merge_new(R.top(scores, 5), R.top(scores.where("chunk_id % 2 = 0"), 5))
+    asked, vectors = inputs.vector_questions(spark, sf_dir), inputs.vectors(spark, sf_dir)
+    out = R.merge_new(R.cosine_top(asked, vectors, 5), R.cosine_top(asked, vectors.where("chunk_id % 2 = 0"), 5))
     return out.select("question_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 

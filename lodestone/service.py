@@ -10,11 +10,12 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import question_key
 from .operators import citations, retrieval, usage
+from .session import written
 from .sources import index
 from .sources.settings import Privacy
 
@@ -32,11 +33,15 @@ class Service:
     k: int = 5
     privacy: Privacy = Privacy()
     clock: Callable[[], float] = time.time
+    scorer: Callable[[DataFrame], Column] | None = None
+    #: (alias, doc_id, manifest_ord), for ``named_balanced``.
+    names: DataFrame | None = None
 
     def contexts(self, questions: DataFrame) -> DataFrame:
         """The chunks that each question (question_id, question) is answered from."""
         chunks = index.read_index(self.spark, self.index_folder).withColumnRenamed("chunk_hash", "chunk_id")
-        ranked = retrieval.retrieve(questions, chunks, self.k, self.strategy).select("question_id", "chunk_id", "rank")
+        resolved = retrieval.resolve_names(questions, self.names) if self.names is not None else None
+        ranked = retrieval.retrieve(questions, chunks, self.k, self.strategy, scorer=self.scorer, resolved=resolved).select("question_id", "chunk_id", "rank")
         return ranked.join(chunks.select("chunk_id", "doc_id", "page_start", "page_end", "section", "text"), "chunk_id").withColumnRenamed("question_id", "answer_id")
 
     def ask(self, questions: DataFrame, cache: DataFrame) -> DataFrame:
@@ -51,7 +56,9 @@ class Service:
             found = self.contexts(misses)
             context = citations.format_context(found, self.manifest)
             asked = self.answer(misses.withColumnRenamed("question_id", "answer_id").join(context, "answer_id"))
-            checked = citations.validate(asked.select("answer_id", "answer"), found).withColumnRenamed("answer_id", "question_id")
+            # Written once: every later step reads the same reply.
+            asked = written(asked.select("answer_id", "answer"), "answers")
+            checked = citations.validate(asked, found).withColumnRenamed("answer_id", "question_id")
             whole = misses.join(checked, "question_id", "left").withColumn("answer", F.coalesce("served", F.lit(citations.T.REFUSAL)))
             judged.append(whole.select("question_id", F.coalesce("refused", F.lit(True)).alias("refused"), F.when(F.col("refused").isNull(), "no_context").otherwise(F.col("refusal_reason")).alias("refusal_reason")))
             return whole
@@ -65,6 +72,15 @@ class Service:
         new = answered.where("not cache_hit and not refused").select(question_key(F.lit(self.fingerprint), F.col("question")).alias("question_hash"), "answer", F.lit(now).alias("created_at"), F.lit(now + ttl).alias("expires_at"))
         return usage.upsert(cache, new)
 
+    def timed(self, questions: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``ask`` and its log rows, one a question, hits and misses alike, with the batch's time shared out."""
+        began = time.perf_counter()
+        answered = written(self.ask(questions, cache), "asked")
+        took = 1000 * (time.perf_counter() - began) / max(1, answered.count())
+        row = answered.withColumns({"timestamp": F.lit(self.clock()), "latency_ms": F.lit(took), "refused": F.col("refused").cast("int"), "content_logged": F.lit(int(self.privacy.content))})
+        shown = ["question", "answer"] if self.privacy.content else []
+        return answered, row.select("timestamp", *shown, "content_logged", "refused", "refusal_reason", F.col("cache_hit").cast("int").alias("cache_hit"), F.col("flagged_injection").cast("int").alias("flagged_injection"), "latency_ms")
+
     def stats(self, log: DataFrame) -> dict:
         return usage.log_stats(log).first().asDict()
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "lodestone", **options: str) -> SparkSession:
@@ -22,3 +26,20 @@ def session(name: str = "lodestone", **options: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(frame: DataFrame, what: str) -> DataFrame:
+    """The frame written to the folder that driver and executors share, and read back.
+
+    That is ``spark.checkpoint.dir``; a local session without it takes a
+    temporary one, on a cluster the setting is required.
+    """
+    spark = frame.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.match(r"local(\[[^-]*)?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    path = f"{folder.rstrip('/')}/lodestone-{what}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.chunking import latest_by_hash
 from ..operators.indexing import check_ids, index_diff
 
-RECORD = "build.json"
+RECORD = r"build-\d+\.json"
 
 
 def canonical(value: object) -> str:
@@ -32,27 +33,30 @@ def _file(spark: SparkSession, path: str):
 
 
 def read_record(spark: SparkSession, folder: str) -> dict:
-    """The build record; empty where there is none or it is malformed."""
-    where, store = _file(spark, f"{folder}/{RECORD}")
+    """The build record of the highest number that is whole; empty where there is none."""
+    where, store = _file(spark, folder)
     if not store.exists(where):
         return {}
-    text = "\n".join(r.value for r in spark.read.text(f"{folder}/{RECORD}").collect())
-    try:
-        found = json.loads(text)
-    except ValueError:
-        return {}
-    return found if isinstance(found, dict) else {}
+    names = [status.getPath().getName() for status in store.listStatus(where)]
+    for name in sorted((n for n in names if re.fullmatch(RECORD, n)), key=lambda n: int(n.split("-")[1].split(".")[0]), reverse=True):
+        text = "\n".join(r.value for r in spark.read.text(f"{folder}/{name}").collect())  # one small file
+        try:
+            found = json.loads(text)
+        except ValueError:
+            continue
+        if isinstance(found, dict):
+            return found
+    return {}
 
 
 def write_record(spark: SparkSession, folder: str, record: dict) -> None:
-    """Written beside and then renamed, so readers see the old or the new one."""
-    new, store = _file(spark, f"{folder}/.{RECORD}.new")
+    """A new file of the record's number, renamed when whole: nothing is deleted, so some record is always in force."""
+    number = int(record.get("number", 0))
+    new, store = _file(spark, f"{folder}/.build-{number}.new")
     out = store.create(new, True)
     out.write(bytearray(canonical(record).encode()))
     out.close()
-    final, _ = _file(spark, f"{folder}/{RECORD}")
-    if store.exists(final):
-        store.delete(final, False)
+    final, _ = _file(spark, f"{folder}/build-{number}.json")
     if not store.rename(new, final):
         raise OSError(f"{final} could not be written")
 

@@ -1,7 +1,11 @@
+import math
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import stats
+from lodestone.functions import stats, text
 from lodestone.operators import answering, checks, chunking, citations, evaluation, indexing, ingest, retrieval, usage
 
 REFUSAL = "I don't have a source for that."
@@ -191,3 +195,32 @@ def test_repair_and_requery():
     assert answering.complete("q", [], None, check, REFUSAL).reason == "no_context"
     found, asked = answering.requery("q", lambda q: [q, "same"], lambda q, held: "INSUFFICIENT: more")
     assert asked == ["q", "more", "more"] and found == ["q", "same", "more"]
+
+
+def test_sign_test_of_any_size(spark):
+    pairs = [(0, 0), (3, 0), (5, 5), (1834, 37), (12_000, 11_800), (2_000_000, 1_999_000), (10**9, 10**9 - 10)]
+    got = spark.createDataFrame(pairs, "w long, l long").select(stats.sign_test(F.col("w"), F.col("l")).alias("p")).collect()
+    for (w, x), r in zip(pairs, got, strict=True):
+        n = w + x
+        if n < 30_000:
+            want = min(1.0, 2 * sum(math.comb(n, i) for i in range(min(w, x) + 1)) / 2**n) if n else 1.0
+            assert abs(r.p - want) < 1e-9
+        else:
+            assert abs(r.p - math.erfc(abs(abs(w - x) - 1) / math.sqrt(n) / math.sqrt(2))) < 1e-4
+
+
+def test_quotes_of_compatibility_characters(spark):
+    texts = ["Ｆｕｌｌ ｗｉｄｔｈ ５%", "ﬁne oﬀer", "x²", "K", "E\u0301t\u00e9", "soft-\n hyphen", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.normal_quote(F.col("t")).alias("n")).orderBy("i").collect()
+    want = [t and re.sub(r"[^a-z0-9%]+", " ", re.sub(r"-\s*\n\s*", "", unicodedata.normalize("NFKC", t).lower())).strip() for t in texts]
+    assert [r.n for r in got] == want
+
+
+def test_ranges_of_pages(spark):
+    answers = spark.createDataFrame([(1, "A [d1, p.1-4]."), (2, "A [d1, p.2-3]"), (3, "A [d1, p.1-999999999]"), (4, "A [d1, p.1-5]")], "answer_id int, answer string")
+    contexts = spark.createDataFrame([(i, "c1", "d1", 1, 2, None) for i in (1, 2, 3, 4)] + [(i, "c2", "d1", 2, 4, None) for i in (1, 2, 3)] + [(4, "c3", "d1", 4, 5, None)], "answer_id int, chunk_id string, doc_id string, page_start int, page_end int, section string")
+    got = {r.answer_id: r.refusal_reason for r in citations.validate(answers, contexts).collect()}
+    assert got == {1: "uncited_line", 2: None, 3: "unverified_citation", 4: "unverified_citation"}
+    wide = spark.createDataFrame([(1, "A [d1, p.5-25004]")], "answer_id int, answer string")
+    found = citations.extract(wide)
+    assert found.count() == 25_000 and found.agg(F.min("page"), F.max("page"), F.max("cite_no")).first() == (5, 25_004, 25_000)

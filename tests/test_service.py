@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import REFUSAL, question_key
@@ -40,3 +41,70 @@ def test_corpus_elements(spark):
     counts = spark.createDataFrame([(d, 1) for d in "abx"], "doc_id string, n long")
     got = ingest.corpus_elements(manifest, lines, counts, pages)
     assert {r.text for r in got.collect()} == {"text of a", "scan of b"}
+
+
+def test_one_reply_a_question(spark, tmp_path):
+    """A model that never answers alike: every verdict is on the reply that is served, asked for once."""
+    import random
+
+    folder = str(tmp_path / "i")
+    chunks = spark.createDataFrame([(f"c{i}", i, f"d{i}", 1, 2, None, f"word{i} rules") for i in range(20)], "chunk_hash string, position int, doc_id string, page_start int, page_end int, section string, text string")
+    index.rebuild(chunks, folder, lambda rows: rows, "f")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    @F.udf("string")
+    def reply(question):
+        with open(calls / "log", "a") as out:
+            out.write(f"{question}\n")
+        number = question.split()[0][4:]
+        return random.choice([f"Ten. [d{number}, p.{random.randint(1, 9)}]", "Ten, I think.", "Ten (p. 4)"])
+
+    manifest = spark.createDataFrame([("d1", "Act", "2020-01-01", "A", "T")], "id string, document_type string, published_date string, issuing_authority string, title string")
+    service = Service(spark, folder, manifest, lambda rows: rows.withColumn("answer", reply.asNondeterministic()("question")), "f", clock=lambda: 100.0)
+    questions = spark.createDataFrame([(i, f"word{i} what?") for i in range(20)], "question_id int, question string")
+    cache = spark.createDataFrame([], "question_hash string, answer string, created_at double, expires_at double")
+    answered, log = service.timed(questions, cache)
+    for r in answered.collect():
+        page = int(r.answer.split("p.")[1][:-1]) if "p." in r.answer else 0
+        assert (r.refusal_reason is None) == (0 < page <= 2) and r.refused == (r.answer == REFUSAL)
+        assert r.refusal_reason in (None, "unverified_citation", "missing_citation", "malformed_citation")
+    assert log.count() == 20 and "question" not in log.columns and log.where("latency_ms > 0").count() == 20
+    after = service.remember(answered, cache, 50.0)
+    assert after.count() == answered.where("not refused").count()
+    assert len((calls / "log").read_text().splitlines()) == 20
+
+
+def test_dispatcher(spark):
+    from lodestone.operators import retrieval as R
+
+    chunks = spark.createDataFrame([("a1", "a", "capital of banks", [1.0, 0.0]), ("a2", "a", "capital rules", [0.9, 0.1]), ("b1", "b", "liquidity of banks", [0.0, 1.0]), ("b2", "b", "other", [0.1, 0.9])], "chunk_id string, doc_id string, text string, vector array<double>")
+    asked = spark.createDataFrame([(1, "capital of banks", [1.0, 0.05])], "question_id int, question string, vector array<double>")
+    ids = lambda frame: [r.chunk_id for r in frame.orderBy("rank").collect()]
+    assert ids(R.retrieve(asked, chunks, 2)) == ["a1", "a2"]
+    assert ids(R.retrieve(asked, chunks, 2, doc_ids=["b"])) == ["b2", "b1"]
+    assert ids(R.retrieve(asked, chunks, 2, "bm25", doc_ids=["b"])) == ["b1"]
+    whole = {r.chunk_id: r.score for r in R.bm25_scores(asked, chunks).collect()}
+    assert R.bm25_scores(asked, chunks, ["b"]).first().score == whole["b1"]
+    assert ids(R.retrieve(asked, chunks, 1, "hybrid", scorer=lambda c: F.when(F.col("chunk_id") == "b2", 1.0).otherwise(0.0))) == ["b2"]
+    resolved = spark.createDataFrame([(1, "b", 0)], "question_id int, doc_id string, manifest_ord int")
+    assert ids(R.retrieve(asked, chunks, 2, "named_balanced", resolved=resolved)) == ["b2", "a1"]
+    many = spark.createDataFrame([(f"c{i:03}", [1.0, i % 7 / 10]) for i in range(500)], "chunk_id string, vector array<double>")
+    some = spark.createDataFrame([(i, [1.0, i / 5]) for i in range(9)] + [(9, [0.0, 0.0])], "question_id int, vector array<double>")
+    want = sorted((r.question_id, r["rank"], r.chunk_id) for r in R.top(R.cosine_scores(some, many), 12).collect())
+    assert sorted((r.question_id, r["rank"], r.chunk_id) for r in R.cosine_top(some, many, 12).collect()) == want
+    for bad in (lambda: R.retrieve(asked, chunks, 2, "x"), lambda: R.retrieve(asked, chunks, 2, "named_balanced")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_holding(spark, monkeypatch):
+    from lodestone.operators import retrieval as R
+
+    texts = ["x the cat sat y", "the cat", "", None, "cat\nsat on", "aaa"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string")
+    questions = spark.createDataFrame(list(enumerate(["the cat", "cat\nsat", "aa", "", None, "the cat", "zzz"])), "question_id int, question string")
+    want = sorted((q.question_id, c.chunk_id) for q in questions.collect() for c in chunks.collect() if q.question and c.text and q.question in c.text)
+    assert sorted(map(tuple, R.holding(questions, chunks).collect())) == want
+    monkeypatch.setattr(R, "MOST_QUESTIONS", 2)
+    assert sorted(map(tuple, R.holding(questions, chunks).collect())) == want and R.holding(questions.limit(0), chunks).count() == 0

@@ -34,7 +34,8 @@ def test_question_files(spark, tmp_path):
     known = spark.createDataFrame([("d1",)], "doc_id string")
     pages = spark.createDataFrame([("d1", 1, "So the least capital"), ("d1", 2, "of a bank is ten. More")], "doc_id string, page int, text string")
     got = {(r.id, r.error) for r in checks.question_errors(questions, known, pages).collect()}
-    assert got == {("d02", "question must be 25-300 chars and end in '?'"), ("d02", "answerable item has no evidence")}
+    assert got == {("d02", "question must be 25-300 chars and end in '?'"), ("d02", "answerable item has no evidence"),
+                   ("", "type counts: single 2 of 12, threshold 0 of 6, status 0 of 5, multi 0 of 8, unanswerable 0 of 6, false_premise 0 of 3")}
 
 
 def test_nested_items_history_and_tables(spark, tmp_path):
