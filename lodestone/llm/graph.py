@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Tasks that the edges of one node are dealt over.
+SALTS = 16
+
 
 def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (src, dst; both not null).
@@ -28,9 +31,9 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
         number += 1
         both = now.unionAll(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         near = both.groupBy("src").agg(F.min("dst").alias("near")).select("src", F.least("src", "near").alias("near"))
-        large = both.join(near, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("near").alias("dst"))
+        large = _beside(both, near).where("dst > src").select(F.col("dst").alias("src"), F.col("near").alias("dst"))
         least = large.groupBy("src").agg(F.min("dst").alias("near"))
-        small = large.join(least, "src").select(F.explode(F.array(F.struct("src", F.col("near").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("near").alias("dst")))).alias("e"))
+        small = _beside(large.select("src", "dst"), least).select(F.explode(F.array(F.struct("src", F.col("near").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("near").alias("dst")))).alias("e"))
         after = materialise(small.select("e.src", "e.dst").where("src <> dst").distinct(), folder, f"stars-{run}-{number}")
         if (state := _state(after)) == seen:
             break
@@ -39,6 +42,17 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionAll(roots)
 
 
+def _beside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each edge with its ``src``'s row of ``nodes``.
+
+    The centre of a large component has a large share of all edges, so edges
+    are salted by their other end and each node has a row a salt.
+    """
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
+    copies = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["src", "_salt"]).drop("_salt")
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("x")).first()
     return row.n, row.x

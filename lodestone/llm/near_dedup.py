@@ -18,10 +18,13 @@
    neither is the pivot and they aren't yet in one component. Texts of lists
    that hold several components are taken again with their whole sets: each
    enters the lists of the rarest quarter of its set, in which a similar pair
-   must meet, and pairs of two components whose places in the list leave room
-   for enough common shingles are decided on full sets. This step is exact.
+   must meet, and pairs of two components whose sizes and places in the list
+   leave room for enough common shingles are decided on full sets. Entries
+   whose place leaves no room for any partner's size are dropped before pairs
+   are formed. This step is exact.
 
-Nothing is capped.  Defined results: null or blank texts have the empty set
+Nothing is capped; a text of any length is one set of its shingles, 8 bytes
+each, in its task.  Defined results: null or blank texts have the empty set
 and are linked with nothing.  Rows that repeat an id are one node.  Null ids
 have their set's size, a null component and stay.  An empty table gives an
 empty result.
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +50,8 @@ from .shingles import shingle_sets
 SIMILAR = 75
 SKETCH = 128
 SHARED_LARGE, SHARED_MIXED = 72, 85
+#: Sizes of one band differ by this factor at most.
+BAND = 1.05
 #: A pair at the threshold is estimated below this with a chance of 10 ** -6.
 LEAST_ESTIMATE = 0.55
 
@@ -106,11 +112,31 @@ def rest_pairs(entries: DataFrame, found: DataFrame, decided: DataFrame, docs: D
     whole = docs.join(texts.select(F.col("id").alias("_open")), F.col(id_col).cast("long") == F.col("_open"), "left_semi")
     again = list_entries(profiles(whole, id_col, text_col, None).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), True)
     own = materialise(again.join(texts, "id"), folder, "open-entries")
-    # At its first list in the order of rarity a pair has this value and later ones to share; similar sets share three sevenths of their sizes' sum.
-    room = "7 * (1 + least(l.n - l.own - l.at, r.n - r.own - r.at)) >= 3 * (l.n + r.n)"
-    near = f"l.key = r.key and l.id < r.id and l.c <> r.c and {near_sizes('l.n', 'r.n')} and {room}"
-    pairs = own.alias("l").join(own.alias("r"), F.expr(near)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    return pairs.join(decided, ["a", "b"], "left_anti")
+    return banded_pairs(own).join(decided, ["a", "b"], "left_anti")
+
+
+def banded_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b) of entries (key, id, n, own, at, c) of one list that can be similar and are not one component.
+
+    At its first list in the order of rarity a pair has this value and later
+    ones to share, and similar sets share three sevenths of their sizes' sum.
+    Sizes fall into bands. An entry is dealt to the bands of the sizes that a
+    partner can have, and only where its own place leaves room for the least of
+    them: texts of one template that differ too much are dropped here, before
+    any pair is formed.
+    """
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND) + 1e-9).cast("int")
+    low = lambda b: F.pow(F.lit(BAND), b.cast("double")) * (1 - 1e-6)
+    sized = entries.withColumn("_b", band(F.col("n"))).withColumn("_left", F.col("n") - F.col("own") - F.col("at") + 1)
+    steps = F.sequence(F.lit(0), F.lit(math.ceil(math.log(100 / SIMILAR) / math.log(BAND)) + 1))
+    room = lambda other: 7 * F.col("_left") >= 3 * (F.col("n") + F.greatest(low(other), F.col("n") * SIMILAR / 100 * (1 - 1e-6)))
+    smaller = sized.withColumn("_o", F.explode(F.transform(steps, lambda i: F.col("_b") + i))).where(room(F.col("_o")) & (low(F.col("_o")) * SIMILAR <= F.col("n") * 100))
+    larger = sized.withColumn("_o", F.explode(F.transform(steps, lambda i: F.col("_b") - i))).where(room(F.col("_o")))
+    left = smaller.select("key", F.col("_b").alias("x"), F.col("_o").alias("y"), "id", "n", "c", "_left").alias("l")
+    right = larger.select("key", F.col("_o").alias("x"), F.col("_b").alias("y"), "id", "n", "c", "_left").alias("r")
+    fits = f"l.key = r.key and l.x = r.x and l.y = r.y and (l.n < r.n or l.n = r.n and l.id < r.id) and l.c <> r.c and {near_sizes('l.n', 'r.n')}"
+    met = left.join(right, F.expr(f"{fits} and 7 * least(l._left, r._left) >= 3 * (l.n + r.n)"))
+    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> float:

@@ -7,6 +7,7 @@ sequence as its only shingle, a text without words the empty set.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ import numpy as np
 WORDS = 5
 #: Texts are hashed together up to so many bytes; a longer one alone.
 GROUP_BYTES = 1 << 20
+#: Bytes of a word from which it has a cryptographic hash.
+LONG_WORD = 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U64 = np.uint64
 _MIX = (_U64(0xBF58476D1CE4E5B9), _U64(0x94D049BB133111EB))
@@ -52,6 +55,10 @@ def _group(texts: list[bytes]) -> list[np.ndarray]:
     lowered *= power[: len(raw)]
     total = np.cumsum(lowered, dtype=_U64)
     words = mix((total[ends - 1] - total[starts - 1]) * inverse[starts])
+    # Powers modulo 2 ** 64 cannot tell apart some long words, whatever the base.
+    for at in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        own = raw[starts[at] : ends[at]].tobytes().lower()
+        words[at] = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little")
     bounds = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
     if len(words) >= WORDS:
         runs = words[: len(words) - WORDS + 1] * _PLACES[0]

@@ -2,9 +2,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents, run_folder
 from lodestone.llm.graph import connected_components
+from lodestone.llm import near_dedup
 from lodestone.llm.near_dedup import components, estimate, representatives
 from lodestone.llm.shingles import shingle_sets
 
@@ -115,3 +117,35 @@ def test_components(spark):
     assert rows == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(100, 140), 100), **dict.fromkeys(range(200, 203), 200)}
     none = connected_components(spark.createDataFrame([], "src long, dst long"), run_folder(spark, "g"))
     assert none.count() == 0
+
+
+def test_long_words_differ():
+    a = "x"
+    for _ in range(11):
+        a += a.translate(str.maketrans("xy", "yx"))
+    b = a.translate(str.maketrans("xy", "yx"))
+    one, two, again = shingle_sets([a, b, a.upper()])
+    assert one.tobytes() != two.tobytes() and one.tobytes() == again.tobytes()
+
+
+def test_templates_make_no_pairs(spark):
+    """Pages of one template without a link: entries that leave no room go before pairs are formed."""
+    rng = np.random.default_rng(2)
+    for count in (200, 400):
+        docs = spark.createDataFrame(list(enumerate(family(rng, 300, count, 12))), "doc_id long, text string")
+        sets = near_dedup.profiles(docs, retain=None).selectExpr("doc_id as id", "n_shingles as n", "sketch")
+        entries = near_dedup.list_entries(sets, True).withColumn("c", F.col("id"))
+        assert near_dedup.banded_pairs(entries).count() <= 4 * count
+
+
+def test_banded_pairs_lose_no_link(spark):
+    rng = np.random.default_rng(8)
+    texts = [t for words, copies, edits in ((40, 15, 1), (60, 20, 3), (90, 20, 4), (120, 10, 5)) for t in family(rng, words, copies, edits)]
+    texts += [" ".join(t.split()[: len(t.split()) * int(rng.integers(70, 100)) // 100]) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = near_dedup.profiles(docs, retain=None).selectExpr("doc_id as id", "n_shingles as n", "sketch")
+    got = {tuple(r) for r in near_dedup.banded_pairs(near_dedup.list_entries(sets, True).withColumn("c", F.col("id"))).collect()}
+    own = [shingles(t) for t in texts]
+    want = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if 100 * len(own[i] & own[j]) >= 75 * len(own[i] | own[j])}
+    # Equal sets are one class in the operator.
+    assert len(want) > 50 and want <= got
