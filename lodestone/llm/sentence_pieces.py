@@ -1,7 +1,8 @@
 """SentencePiece encoding by sampling from the piece lattice, and decoding.
 
-A text is cut at its spaces into units, each a space mark and what follows up
-to the next space; no piece of the supported models spans two units.  A
+A text, with a space before it, is cut into units, each a run of spaces and
+what follows up to the next one; pieces that have a space mark after another
+character (word-spanning ones) are not used, so no piece spans two units.  A
 unit's lattice has an edge for each piece that matches and, for characters
 without a piece, one for its UTF-8 bytes.  Forward filtering sums the weights
 of all ways to each position, backward sampling draws a way from its end, so
@@ -10,9 +11,17 @@ a segmentation comes up in proportion to the product of its pieces' weights:
 
 Draws are hashes of (seed, row key, unit number, step): the same row gives the
 same pieces in any batch, partition or attempt.  Lattices are built once for
-each distinct unit of a batch, all of a batch in step, and sampled for all
+each distinct unit of a group, all of a group in step, and sampled for all
 its units together in numpy.
 
+A group holds units of ``GROUP_BYTES``, so a long text is sampled in several.
+A unit of more than ``LONG_UNIT`` characters (a text without spaces) is read
+alone, in windows of ``WINDOW`` characters that carry the sums of the places a
+piece reaches back to.  There each place has a draw of its own (hashed from its
+number), so the piece that would end there is drawn on the way, and the way
+back only follows them: five bytes a character are kept, and the time is
+linear.
+
 Decoding joins the pieces' bytes, turns space marks of pieces to spaces and
 drops the first; it gives back every text exactly, control characters, runs
 of spaces and the mark's own character included.
@@ -24,6 +33,7 @@ pieces.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +47,9 @@ MARK = "▁"
 ALPHA = 0.7
 #: Bytes of text whose units are sampled together.
 GROUP_BYTES = 1 << 20
+#: Characters from which a unit is read alone, and those of a window.
+LONG_UNIT, WINDOW = 4096, 1 << 14
+_UNIT = re.compile(rb"\x20+[^\x20]*")
 _U64 = np.uint64
 #: Weight per character that keeps sums near one, and of an edge over bytes.
 _SCALE, _BYTES = 2.2, 1e-7
@@ -59,7 +72,7 @@ class Lattice:
         own = sentencepiece.SentencePieceProcessor(model_file=model)
         size = own.get_piece_size()
         pieces = [own.id_to_piece(i) for i in range(size)]
-        usual = [i for i in range(size) if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i) or own.is_unused(i)) and MARK not in pieces[i][1:]]
+        usual = [i for i in range(size) if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i) or own.is_unused(i)) and MARK not in pieces[i].lstrip(MARK)]
         self.byte_ids = np.zeros(256, np.int32)
         for i in range(size):
             if own.is_byte(i):
@@ -114,9 +127,7 @@ class Lattice:
         bases = firsts + np.arange(len(units))  # a unit has one node more than characters
         inside = np.arange(len(points)) - np.repeat(firsts, lengths)
         node = np.arange(len(points)) + np.repeat(np.arange(len(units)), lengths) + 1
-        hashed = points.copy()
-        hashed[(points == ord(MARK)) & (inside > 0)] = 0  # the mark's own character is text, for which there are bytes
-        prefix = _prefix(hashed)
+        prefix = _prefix(_marked(points))
         span = self.longest
         nodes = len(points) + len(units)
         ids = np.full((nodes, span), -1, np.int32)
@@ -155,17 +166,35 @@ class Lattice:
 
     def sample(self, texts: list[bytes], keys: list[int | None], seed: int = 0) -> list[np.ndarray]:
         """Sampled ids of each text."""
-        words = [t.split(b" ") if t else [] for t in texts]
-        counts = np.array([len(w) for w in words])
-        flat = [w for own in words for w in own]
-        if not flat:
-            return [np.zeros(0, np.int32) for _ in texts]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        group: list[tuple[int, int, bytes]] = []  # text, number of the unit, unit
+        held = 0
+        rows = [_row_hash(k, seed) for k in keys]
+        for at, text in enumerate(texts):
+            for number, unit in enumerate(_UNIT.findall(b" " + text) if text else ()):
+                if len(unit) > LONG_UNIT and len(decoded := unit.decode()) > LONG_UNIT:
+                    self._sample_group(group, rows, out)
+                    group, held = [], 0
+                    out[at].append(self._sample_long(decoded, _states(np.array([rows[at]], _U64), np.array([number]))[0]))
+                    continue
+                group.append((at, number, unit))
+                held += len(unit)
+                if held > GROUP_BYTES:
+                    self._sample_group(group, rows, out)
+                    group, held = [], 0
+        self._sample_group(group, rows, out)
+        return [np.concatenate(parts) if parts else np.zeros(0, np.int32) for parts in out]
+
+    def _sample_group(self, group: list[tuple[int, int, bytes]], rows: list[int], to: list[list[np.ndarray]]) -> None:
+        """Append each text's ids of the group's units."""
+        if not group:
+            return
+        texts, numbers, flat = zip(*group, strict=True)
         index = {w: i for i, w in enumerate(dict.fromkeys(flat))}
         unit = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        bases, lengths, chance, ids = self.build([MARK + w.decode() for w in index])
-        row = np.array([_row_hash(k, seed) for k in keys], dtype=_U64)
-        number = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-        state = mix(np.repeat(row, counts) + number.astype(_U64) * _U64(0xD1B54A32D192ED03))
+        bases, lengths, chance, ids = self.build([w.decode() for w in index])
+        text_of = np.array(texts)
+        state = _states(np.array(rows, dtype=_U64)[text_of], np.array(numbers))
         start = bases[unit]
         now = start + lengths[unit]
         active = np.arange(len(flat))
@@ -185,9 +214,62 @@ class Lattice:
         out = np.empty(int(ends[-1]), np.int32)
         for number, (own, found) in enumerate(drawn):
             out[ends[own] - 1 - number] = found
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        out, cuts = self._spell(out, cuts)
-        return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        firsts = np.flatnonzero(np.append(True, text_of[1:] != text_of[:-1]))
+        out, cuts = self._spell(out, np.append(0, ends)[np.append(firsts, len(flat))])
+        for at, a, b in zip(text_of[firsts].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            to[at].append(out[a:b])
+
+    def _sample_long(self, unit: str, state: np.uint64) -> np.ndarray:
+        """Ids of one unit of any length."""
+        length, span = len(unit), self.longest
+        sizes = np.zeros(length, np.uint8)
+        ids = np.zeros(length, np.int32)
+        sums = [1.0]  # of the last places, the latest last
+        for low in range(0, length, WINDOW):
+            high = min(length, low + WINDOW)
+            before = min(low, span - 1)
+            points = np.frombuffer(unit[low - before : high].encode("utf-32-le"), "<u4")
+            prefix = _prefix(_marked(points))
+            ends = np.arange(before + 1, len(points) + 1)
+            found = np.full((high - low, span), -1, np.int32)
+            for size in range(1, span + 1):
+                at = np.flatnonzero(ends >= size)
+                found[at, size - 1] = self._find(_span_hashes(prefix, ends[at] - size, ends[at]))
+            bare = np.flatnonzero(found[:, 0] < 0)
+            weight = np.where(found >= 0, self.weights[found], 0.0)
+            found[bare, 0] = _BY_BYTES + points[before:][bare].astype(np.int32)
+            weight[bare, 0] = _BYTES
+            place, size = np.nonzero(found >= 0)
+            edges = np.searchsorted(place, np.arange(high - low + 1)).tolist()
+            steps, weights = size.tolist(), weight[place, size].tolist()
+            number = np.arange(low, high).astype(_U64)
+            draws = ((mix(state + (number + _U64(1)) * _U64(0x8CB92BA72F3D8DD7)) >> _U64(11)).astype(np.float64) / (1 << 53)).tolist()
+            chosen = []
+            for at in range(high - low):
+                first, last = edges[at], edges[at + 1]
+                ways = [sums[-1 - steps[e]] * weights[e] for e in range(first, last)]
+                total = sum(ways)
+                left = draws[at] * total
+                pick = last - 1
+                for e, way in enumerate(ways, first):
+                    left -= way
+                    if left < 0:
+                        pick = e
+                        break
+                chosen.append(steps[pick])
+                sums.append(total)
+                if not 1e-100 < total < 1e100:  # only ratios matter
+                    sums = [s / total for s in sums[-span:]]
+                elif len(sums) > 4 * span:
+                    del sums[:-span]
+            sizes[low:high] = chosen
+            ids[low:high] = found[np.arange(high - low), sizes[low:high]]
+        ends_at, at, back = [], length, sizes
+        while at > 0:
+            ends_at.append(at - 1)
+            at -= int(back[at - 1]) + 1
+        out = ids[np.array(ends_at[::-1])]
+        return self._spell(out, np.array([0, len(out)]))[0]
 
     def _spell(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece as the ids of their bytes."""
@@ -209,6 +291,18 @@ class Lattice:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode()
 
 
+def _marked(points: np.ndarray) -> np.ndarray:
+    """What is looked up: spaces as marks; the mark's own character is text, for which there are bytes."""
+    out = points.copy()
+    out[points == ord(MARK)] = 0
+    out[points == 32] = ord(MARK)
+    return out
+
+
+def _states(rows: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return mix(rows + numbers.astype(_U64) * _U64(0xD1B54A32D192ED03))
+
+
 def _prefix(points: np.ndarray) -> np.ndarray:
     power, _ = _tables(len(points) + 1)
     return np.concatenate([[_EMPTY], np.cumsum((points.astype(_U64) + _U64(1)) * power[: len(points)], dtype=_U64)])
@@ -241,24 +335,23 @@ def encode(docs: DataFrame, model: str | None = None, alpha: float = ALPHA, seed
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         own = lattice(path, alpha)
         for batch in batches:
-            group: list[bytes] = []
-            keys: list[int | None] = []
-            held = 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                raw = text.encode()
-                if group and held + len(raw) > GROUP_BYTES:
-                    yield {"doc_id": keys, "ids": [i.astype("<i4").tobytes() for i in own.sample(group, keys, seed)]}
-                    group, keys, held = [], [], 0
-                group.append(raw)
-                keys.append(doc_id)
-                held += len(raw)
-            if group:
-                yield {"doc_id": keys, "ids": [i.astype("<i4").tobytes() for i in own.sample(group, keys, seed)]}
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+            low = held = 0
+            for at, text in enumerate(batch["text"]):
+                if held and held + len(text) > GROUP_BYTES:
+                    yield _encoded(own, batch, low, at, seed)
+                    low, held = at, 0
+                held += len(text)
+            yield _encoded(own, batch, low, len(batch["text"]), seed)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
     return map_batches(rows, work, "doc_id long, ids binary")
 
 
+def _encoded(own: Lattice, batch: dict, low: int, high: int, seed: int) -> dict:
+    ids = own.sample(batch["text"][low:high], batch["doc_id"][low:high], seed)
+    return {"doc_id": batch["doc_id"][low:high], "ids": [i.astype("<i4").tobytes() for i in ids]}
+
+
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """Rows of ``encode`` as doc_id, ids and their text."""
     path = model or default_model()

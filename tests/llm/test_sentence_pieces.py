@@ -1,4 +1,6 @@
 import hashlib
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -51,7 +53,7 @@ def ways(own, unit):
     return {ids: w / total for ids, w in found}
 
 
-@pytest.mark.parametrize("word", ["there", "nation", "aé\n", "inging"])
+@pytest.mark.parametrize("word", ["there", "nation", "aé\n", "inging", "  b", "   "])
 def test_samples_follow_the_lattice(own, word):
     want = ways(own, " " + word)
     draws = 20_000
@@ -61,6 +63,42 @@ def test_samples_follow_the_lattice(own, word):
         assert abs(got[ids] / draws - chance) < 0.02
 
 
+@pytest.mark.parametrize("word", ["there", "inging", "aé\n", "   b"])
+def test_long_units_follow_the_lattice(own, word, monkeypatch):
+    monkeypatch.setattr(sp, "LONG_UNIT", 3)
+    monkeypatch.setattr(sp, "WINDOW", 2)
+    want = ways(own, " " + word)
+    draws = 5000
+    got = Counter(tuple(ids.tolist()) for ids in own.sample([word.encode()] * draws, list(range(draws))))
+    assert set(got) <= set(want)
+    for ids, chance in want.items():
+        assert abs(got[ids] / draws - chance) < 0.04
+
+
+def test_windows_and_groups_change_nothing(own, monkeypatch):
+    text = ("日本語テキスト한글abcdefghi" * 2000 + "  x " + "long words here " * 3000).encode()
+    whole = own.sample([text, b"a b"], [7, 8])
+    assert own.decode(whole[0].tolist()) == text.decode()
+    monkeypatch.setattr(sp, "WINDOW", 1000)
+    monkeypatch.setattr(sp, "GROUP_BYTES", 5000)
+    assert [x.tolist() for x in own.sample([text, b"a b"], [7, 8])] == [x.tolist() for x in whole]
+
+
+def test_text_without_blanks_in_bounded_memory(own):
+    script = """
+import resource, sys, time
+from lodestone.llm import sentence_pieces as sp
+own = sp.lattice(sp.default_model())
+text = ("日本語テキスト한글abcdefghijklmnop" * 200_000).encode()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids = own.sample([text], [1])[0]
+assert own.decode(ids.tolist()).encode() == text
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, len(text) >> 20)
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, check=True).stdout.split()
+    assert int(out[1]) >= 8 and int(out[0]) < 900
+
+
 def test_query(spark, sf_dir):
     docs = documents(spark, sf_dir)
     texts = {r.doc_id: r.text for r in docs.collect()}
