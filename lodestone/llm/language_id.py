@@ -6,15 +6,20 @@ text's language is the codeword nearest to its classifiers' outputs, each
 column weighted by how well it separated the fitting sample; a second language
 almost as near marks the answer as ambiguous.
 
-The classifiers are fitted on at most ``SAMPLE_PER_LANGUAGE`` labelled texts a
-language, chosen by the hash of their ids, so their number (and what the
-driver holds) is bounded whatever the table's size.  Predictions read whole
-texts and nothing else.
+The classifiers are fitted on a sample: at most ``SAMPLE_PER_LANGUAGE``
+labelled texts a language and about ``SAMPLE_ROWS`` in all (but one a
+language), chosen by hashes of ids and texts.  The executors turn the chosen
+texts into n-gram counts, so what the driver holds is bounded by the number of
+rows whatever their length, and the equations by the number of buckets.
+Predictions read whole texts and nothing else.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0 and not ambiguous.  With no labelled text at all every text is ``und``; with
-one language every text with a letter is that language.  Null ids are never
-held out.  Repeated rows and other columns don't matter.
+one language every text with a letter is that language.  Of languages equally
+near the first by name is taken, and is ambiguous.  Null ids are never held
+out.  Repeated rows and ids count as rows each, in the sample too; equal rows
+come last there.  Texts of any length are counted whole, each in one task.
+Other columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,20 +35,22 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-SAMPLE_PER_LANGUAGE = 400
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 400, 1 << 14
 #: Languages that can be learned; more of them would be refused.
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 4096
 BUCKETS = 1 << 12
 RIDGE = 1e-3
 #: Two languages this near in score are ambiguous.
 MARGIN = 0.05
+#: Below this score a text's language isn't told.
+LEAST_SCORE = 0.3
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTERS = bytes(32 if not (chr(b).isalpha() and b < 128 or b >= 128) else ord(chr(b).lower()) if b < 128 else b for b in range(256))
 
 
 def histogram(text: str) -> np.ndarray:
-    """Counts of the hashed byte 1-, 2- and 3-grams of a text's letters."""
+    """Counts of the hashed byte 2- and 3-grams of a text's letters."""
     raw = np.frombuffer(b" " + text.encode().translate(_NOT_LETTERS) + b" ", np.uint8).astype(np.uint32)
     pairs = raw[:-1] * np.uint32(257) + raw[1:]
     triples = pairs[:-1] * np.uint32(263) + raw[2:]
@@ -56,7 +63,11 @@ def histogram(text: str) -> np.ndarray:
 
 def features(texts: list[str]) -> np.ndarray:
     """Rows of square roots of counts, scaled to length one."""
-    rows = np.sqrt(np.stack([histogram(t) for t in texts])).astype(np.float32)
+    return scaled_counts(np.stack([histogram(t) for t in texts]))
+
+
+def scaled_counts(counts: np.ndarray) -> np.ndarray:
+    rows = np.sqrt(counts).astype(np.float32)
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)
 
 
@@ -69,8 +80,8 @@ def codewords(classes: int) -> np.ndarray:
         return np.array(columns, dtype=float).T
     length = 15 * int(np.ceil(np.log2(classes)))
     rng = np.random.default_rng(classes)
-    tried = [np.where(rng.random((classes, length)) < 0.5, 1.0, -1.0) for _ in range(50)]
-    return max(tried, key=lambda c: np.min((c[:, None] != c[None]).sum(-1) + length * np.eye(classes)))
+    tried = [np.where(rng.random((classes, length)) < 0.5, 1.0, -1.0) for _ in range(50 if classes <= 512 else 4)]
+    return max(tried, key=lambda c: np.min((length - c @ c.T) / 2 + length * np.eye(classes)))
 
 
 @dataclass(frozen=True)
@@ -103,54 +114,83 @@ class Model:
 def fit(samples: list[tuple[str, str]]) -> Model:
     """A model of (text, language) pairs."""
     samples = [(t, lang) for t, lang in samples if t and lang is not None and _LETTER.search(t)]
-    languages = tuple(sorted({lang for _, lang in samples}))
+    return fit_features(features([t for t, _ in samples]) if samples else np.zeros((0, BUCKETS), np.float32), [lang for _, lang in samples])
+
+
+def fit_features(rows: np.ndarray, of: list[str]) -> Model:
+    """A model of texts' features and languages."""
+    languages = tuple(sorted(set(of)))
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     code = codewords(len(languages))
-    if not samples:
+    if not languages:
         return Model((), code, np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
-    rows = features([t for t, _ in samples])
-    labels = np.array([languages.index(lang) for _, lang in samples])
+    number = {lang: i for i, lang in enumerate(languages)}
+    labels = np.array([number[lang] for lang in of])
     # Each language counts alike, however many samples it has.
     weight = 1.0 / np.bincount(labels)[labels] / len(languages)
     targets = code[labels]
     mean = weight @ rows
     bias = weight @ targets
-    scaled = (rows - mean) * np.sqrt(weight)[:, None]
-    wanted = (targets - bias) * np.sqrt(weight)[:, None]
-    # The dual form: as many equations as samples.
-    gram = scaled.astype(np.float64) @ scaled.T
-    weights = scaled.T @ np.linalg.solve(gram + RIDGE * np.eye(len(gram)) * max(np.trace(gram) / len(gram), 1e-9), wanted)
+    root = np.sqrt(weight)[:, None]
+    wanted = (targets - bias) * root
+    ridge = RIDGE * max(float(weight @ ((rows - mean) ** 2).sum(axis=1)) / len(rows), 1e-9)
+    if len(rows) <= BUCKETS:  # as many equations as samples
+        scaled = ((rows - mean) * root).astype(np.float64)
+        weights = scaled.T @ np.linalg.solve(scaled @ scaled.T + ridge * np.eye(len(rows)), wanted)
+    else:  # as many as buckets, however many samples
+        gram, product = np.zeros((BUCKETS, BUCKETS)), np.zeros((BUCKETS, code.shape[1]))
+        for low in range(0, len(rows), 1024):
+            part = ((rows[low : low + 1024] - mean) * root[low : low + 1024]).astype(np.float64)
+            gram += part.T @ part
+            product += part.T @ wanted[low : low + 1024]
+        gram[np.diag_indices(BUCKETS)] += ridge
+        weights = np.linalg.solve(gram, product)
     bias = bias - mean @ weights
-    outputs = rows @ weights + bias
+    outputs = rows @ weights.astype(np.float32) + bias
     wrong = weight @ (np.sign(outputs) != targets)
     trust = np.log((1 - wrong + 0.01) / (wrong + 0.01)).clip(0.05)
     return Model(languages, code, weights.astype(np.float32), bias, trust)
 
 
-def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` texts of each language, by their ids' hash."""
+def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[str]]:
+    """Features and languages of a bounded sample, chosen by hashes of ids and texts."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    chosen = chosen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language)
-    # The smallest hash left out bounds the sample: a filter that the scan of the texts applies without a shuffle.
-    bounds = {r.lang: r.h for r in chosen.groupBy("lang").agg(F.max("_h").alias("h")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(bounds) > MAX_LANGUAGES:
+    labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    langs = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).count()
+    if langs > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not bounds:
-        return []
-    wanted = F.lit(False)
-    for lang, h in bounds.items():
-        wanted = wanted | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= h))
-    rows = docs.where("text is not null").where(wanted).select("text", "lang", "doc_id").collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r.text))]
+    each = max(1, min(per_language, most // max(1, langs)))
+    order = Window.partitionBy("lang").orderBy("_h")
+    chosen = labelled.select("lang", F.xxhash64("doc_id").alias("_h"))
+    chosen = chosen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each)
+    # The largest hash chosen is a filter that the scan of the texts applies; rows that share an id are told apart after it.
+    bounds = chosen.groupBy("lang").agg(F.max("_h").alias("_most"))
+    near = labelled.join(F.broadcast(bounds), "lang").where(F.xxhash64("doc_id") <= F.col("_most"))  # a row a language
+    near = near.select("lang", "text", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"))
+    first = near.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_t"))).where(F.col("_rank") <= each)
+
+    def work(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            rows = [(lang, h, t, histogram(x)) for lang, h, t, x in zip(batch["lang"], batch["_h"], batch["_t"], batch["text"], strict=True) if _LETTER.search(x)]
+            used = [np.flatnonzero(found) for *_, found in rows]
+            yield {
+                "lang": [r[0] for r in rows], "h": [r[1] for r in rows], "t": [r[2] for r in rows],
+                "bucket": [u.astype("<u2").tobytes() for u in used], "n": [r[3][u].astype("<u4").tobytes() for r, u in zip(rows, used, strict=True)],
+            }
+
+    found = map_batches(first.select("lang", "_h", "_t", "text"), work, "lang string, h long, t long, bucket binary, n binary").collect()
+    found.sort(key=lambda r: (r.lang, r.h, r.t))
+    counts = np.zeros((len(found), BUCKETS), np.uint32)
+    for row, r in zip(counts, found, strict=True):
+        row[np.frombuffer(r.bucket, "<u2")] = np.frombuffer(r.n, "<u4")
+    return (scaled_counts(counts) if found else np.zeros((0, BUCKETS), np.float32)), [r.lang for r in found]
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model of the table's labelled rows (``doc_id``, ``text``, ``lang``)."""
-    return fit(training_sample(docs, per_language))
+    return fit_features(*training_sample(docs, per_language))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,10 +206,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_batches(rows, work, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
-def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that aren't ``und``, with their own columns.
+def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: set[str] | None = None) -> DataFrame:
+    """The rows whose language is told and is one of ``keep`` (None: any), with their own columns.
 
-    A model that learned no language rejects texts without a letter only.
+    Rejected are ``und``, ambiguous texts and those below ``LEAST_SCORE``. A
+    model that learned no language rejects texts without a letter only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -178,11 +219,15 @@ def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         rows = [t if isinstance(t, str) else None for t in texts]
         if not shared.value.languages:
             return pd.Series([bool(t and _LETTER.search(t)) for t in rows], dtype=bool)
-        return pd.Series([lang != UNKNOWN for lang, _, _ in shared.value.predict(rows)], dtype=bool)
+        return pd.Series([is_told(*found, keep) for found in shared.value.predict(rows)], dtype=bool)
 
     return docs.where(told(F.col(text_col)))
 
 
+def is_told(lang: str, score: float, ambiguous: bool, keep: set[str] | None = None) -> bool:
+    return lang != UNKNOWN and not ambiguous and score >= LEAST_SCORE and (keep is None or lang in keep)
+
+
 def op6(docs: DataFrame) -> DataFrame:
     """The query: learn from three quarters of the ids, predict all."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))

@@ -1,9 +1,12 @@
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents
+from lodestone.llm import language_id as L
 from lodestone.llm.language_id import accepted, codewords, fit, op6, predict, train
 
 
@@ -46,3 +49,93 @@ def test_code_and_ambiguity():
     model = fit([("aaaa", "x"), ("bbbb", "y")])
     (only, _, clear), (_, _, mixed) = model.predict(["aaaa", "aaaa bbbb"])
     assert only == "x" and not clear and mixed and np.isfinite(model.weights).all()
+
+
+def grams(text):
+    """Counts of hashed 2- and 3-grams, byte by byte."""
+    raw = [32, *(32 if b < 128 and not chr(b).isalpha() else ord(chr(b).lower()) if b < 128 else b for b in text.encode()), 32]
+    counts = {}
+    for i in range(len(raw) - 1):
+        pair = raw[i] * 257 + raw[i + 1]
+        slots = [pair * 2246822519]
+        if i + 2 < len(raw):
+            slots.append((pair * 263 + raw[i + 2]) % 2**32 * 2654435761)
+        for slot in slots:
+            counts[slot % 2**32 >> 20] = counts.get(slot % 2**32 >> 20, 0) + 1
+    return counts
+
+
+def decoded(model, text):
+    """Loss-weighted decoding by hand: (language, score, ambiguous)."""
+    counts = grams(text)
+    length = sum(counts.values()) ** 0.5
+    bits = [float(b) + sum(float(model.weights[k, j]) * n**0.5 for k, n in counts.items()) / length for j, b in enumerate(model.bias)]
+    loss = [sum(t * max(0.0, 1 - w * b) ** 2 for t, w, b in zip(model.trust, word, bits)) / sum(model.trust) for word in model.code]
+    near = [np.exp(-4 * (x - min(loss))) for x in loss]
+    shares = sorted(((n / sum(near), -i) for i, n in enumerate(near)), reverse=True)
+    return model.languages[-shares[0][1]], shares[0][0], shares[0][0] - shares[1][0] < L.MARGIN
+
+
+def test_every_prediction_by_hand(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    train_on = [(r.text, r.lang) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    model = train(docs.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))))
+    assert np.allclose(model.weights, fit(train_on).weights, atol=1e-3)  # fewer rows than the bound: the sample is all of them
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in op6(docs).collect():
+        lang, score, ambiguous = decoded(model, texts[r.doc_id])
+        assert abs(r.score - score) < 1e-3
+        assert (r.lang_pred, r.ambiguous) == (lang, ambiguous) or abs(score - 0.5) < 0.03
+
+
+def test_both_forms_of_the_equations_agree(monkeypatch):
+    rng = np.random.default_rng(4)
+    letters = {"x": "abcde", "y": "cdefg", "z": "efghi"}
+    samples = [("".join(rng.choice(list(letters[lang] + " "), 40)), lang) for lang in letters for _ in range(30)]
+    whole = fit(samples)
+    monkeypatch.setattr(L, "BUCKETS", 1 << 12)
+    rows, of = L.features([t for t, _ in samples]), [lang for _, lang in samples]
+    small = rows[:, : 1 << 6]
+    monkeypatch.setattr(L, "BUCKETS", 1 << 6)
+    primal = L.fit_features(small, of)
+    monkeypatch.setattr(L, "BUCKETS", 1 << 12)
+    dual = L.fit_features(small, of)
+    assert np.allclose(primal.weights, dual.weights, atol=1e-5) and np.allclose(primal.bias, dual.bias, atol=1e-5)
+    assert len(whole.languages) == 3
+
+
+def test_close_languages_short_texts_and_other_scripts():
+    rng = np.random.default_rng(9)
+    stems = ["".join(rng.choice(list("bdfgklmnprstv"), 1)) + "".join(rng.choice(list("aeiou"), 1)) + "".join(rng.choice(list("lmnrst"), 1)) for _ in range(60)]
+    ends = {"one": ["a", "ar", "ado"], "two": ["a", "er", "ido"], "far": ["sch", "ung", "heit"]}
+    say = lambda lang, n: " ".join(stems[rng.integers(60)] + ends[lang][rng.integers(3)] for _ in range(n))
+    model = fit([(say(lang, 40), lang) for lang in ends for _ in range(80)])
+    for words, least in ((40, 0.95), (8, 0.8), (3, 0.6)):
+        tests = [(lang, say(lang, words)) for lang in ends for _ in range(100)]
+        assert np.mean([model.predict([t])[0][0] == lang for lang, t in tests]) > least
+    (_, score, _), (_, mixed, _) = model.predict(["日本語のテキスト", say("one", 20) + " " + say("far", 20)])
+    assert 0 <= score <= 1 and mixed < 1
+
+
+def test_sample_is_bounded_with_repeated_ids(spark):
+    docs = spark.range(5000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 END AS doc_id", "concat('some text ', id) AS text", "concat('l', id % 3) AS lang")
+    rows, of = L.training_sample(docs, 100)
+    assert len(rows) == len(of) == 300
+    rows, of = L.training_sample(docs, 400, 60)
+    assert len(of) == 60 and sorted(set(of)) == ["l0", "l1", "l2"]
+
+
+def test_a_hundred_languages_on_the_driver():
+    script = """
+import resource
+import numpy as np
+from lodestone.llm import language_id as L
+rng = np.random.default_rng(0)
+rows = rng.random((L.SAMPLE_ROWS, L.BUCKETS), dtype=np.float32)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+model = L.fit_features(rows, [f"l{i % 100}" for i in range(len(rows))])
+assert len(model.languages) == 100
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss) >> 10)
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, check=True).stdout
+    assert int(out) < 1000

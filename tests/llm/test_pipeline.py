@@ -1,11 +1,11 @@
-import re
-
 import corpus_pipeline
+from test_language_id import decoded
 from test_line_dedup import key
 from test_near_dedup import brute as near_groups
 from test_tokens import check_packed
 from tokenizers import Tokenizer
 
+from lodestone.llm import language_id
 from lodestone.llm.common import documents
 from lodestone.llm.secrets import redact
 from lodestone.llm.tokens import default_vocabulary
@@ -23,7 +23,8 @@ def lines(rows):
 
 def test_pipeline_equals_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in documents(spark, sf_dir).collect()]
-    rows = lines([(i, t) for i, t in rows if re.search(r"[^\W\d_]", t)])
+    model = language_id.train(documents(spark, sf_dir))
+    rows = lines([(i, t) for i, t in rows if language_id.is_told(*decoded(model, t))])
     stays = {r[0] for r in near_groups(rows) if r[3]}
     rows = [(i, redact(t)) for i, t in rows if i in stays]
     check_packed(Tokenizer.from_file(default_vocabulary()), corpus_pipeline.run(spark, sf_dir).collect(), rows)
