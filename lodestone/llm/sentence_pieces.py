@@ -15,7 +15,7 @@ each distinct unit of a group, all of a group in step, and sampled for all
 its units together in numpy.
 
 A group holds units of ``GROUP_BYTES``, so a long text is sampled in several.
-A unit of more than ``LONG_UNIT`` characters (a text without spaces) is read
+A unit of more than ``LONG_UNIT`` bytes (a text without spaces) is read
 alone, in windows of ``WINDOW`` characters that carry the sums of the places a
 piece reaches back to.  There each place has a draw of its own (hashed from its
 number), so the piece that would end there is drawn on the way, and the way
@@ -47,8 +47,10 @@ MARK = "▁"
 ALPHA = 0.7
 #: Bytes of text whose units are sampled together.
 GROUP_BYTES = 1 << 20
-#: Characters from which a unit is read alone, and those of a window.
+#: Bytes from which a unit is read alone, and characters of a window.
 LONG_UNIT, WINDOW = 4096, 1 << 14
+#: Places of lattices that a worker keeps of units that come again (128 bytes each).
+KEPT_NODES = 1 << 18
 _UNIT = re.compile(rb"\x20+[^\x20]*")
 _U64 = np.uint64
 #: Weight per character that keeps sums near one, and of an edge over bytes.
@@ -83,6 +85,9 @@ class Lattice:
             self.bytes_of[i] = pieces[i].replace(MARK, " ").encode()
         for value, i in enumerate(self.byte_ids.tolist()):
             self.bytes_of[i] = bytes([value])
+        self.spelled = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.sizes = np.array([len(b) for b in self.bytes_of])
+        self.begins = np.cumsum(self.sizes) - self.sizes
         ranks = np.array([max(0.0, -own.get_score(i)) for i in usual])
         lengths = np.array([len(pieces[i]) for i in usual])
         self.weights = np.zeros(size)
@@ -98,6 +103,10 @@ class Lattice:
                 slot = (slot + 1) % len(self.keys)
             self.keys[slot], self.ids[slot] = key, i
 
+        self.kept: dict[bytes, int] = {}
+        self.kept_tables = np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones((0, self.longest), np.float32), np.zeros((0, self.longest), np.int32)
+        self.met: set[bytes] = set()
+
     @staticmethod
     def _hash_all(texts: list[str]) -> np.ndarray:
         points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
@@ -167,34 +176,68 @@ class Lattice:
     def sample(self, texts: list[bytes], keys: list[int | None], seed: int = 0) -> list[np.ndarray]:
         """Sampled ids of each text."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        group: list[tuple[int, int, bytes]] = []  # text, number of the unit, unit
+        group: list[tuple[int, int, list[bytes]]] = []  # text, number of its first unit, units without their first space
         held = 0
-        rows = [_row_hash(k, seed) for k in keys]
+        rows = np.array([_row_hash(k, seed) for k in keys], dtype=_U64)
         for at, text in enumerate(texts):
-            for number, unit in enumerate(_UNIT.findall(b" " + text) if text else ()):
-                if len(unit) > LONG_UNIT and len(decoded := unit.decode()) > LONG_UNIT:
-                    self._sample_group(group, rows, out)
-                    group, held = [], 0
-                    out[at].append(self._sample_long(decoded, _states(np.array([rows[at]], _U64), np.array([number]))[0]))
-                    continue
-                group.append((at, number, unit))
-                held += len(unit)
-                if held > GROUP_BYTES:
-                    self._sample_group(group, rows, out)
-                    group, held = [], 0
+            if not text:
+                continue
+            plain = b"  " not in text and not text.startswith(b" ") and not text.endswith(b" ")
+            units = text.split(b" ") if plain else [u[1:] for u in _UNIT.findall(b" " + text)]
+            if len(text) <= GROUP_BYTES and (len(text) <= LONG_UNIT or max(map(len, units)) <= LONG_UNIT):
+                group.append((at, 0, units))
+                held += len(text)
+            else:
+                low = 0
+                for number, unit in enumerate(units):
+                    if len(unit) > LONG_UNIT or held > GROUP_BYTES:
+                        group.append((at, low, units[low:number]))
+                        self._sample_group(group, rows, out)
+                        group, held, low = [], 0, number
+                    if len(unit) > LONG_UNIT:
+                        out[at].append(self._sample_long(" " + unit.decode(), _states(rows[at : at + 1], np.array([number]))[0]))
+                        low = number + 1
+                    else:
+                        held += len(unit) + 1
+                group.append((at, low, units[low:]))
+            if held > GROUP_BYTES:
+                self._sample_group(group, rows, out)
+                group, held = [], 0
         self._sample_group(group, rows, out)
-        return [np.concatenate(parts) if parts else np.zeros(0, np.int32) for parts in out]
+        return [parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int32) for parts in out]
 
-    def _sample_group(self, group: list[tuple[int, int, bytes]], rows: list[int], to: list[list[np.ndarray]]) -> None:
-        """Append each text's ids of the group's units."""
-        if not group:
-            return
-        texts, numbers, flat = zip(*group, strict=True)
-        index = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    def _lattices(self, flat: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Number of each unit's lattice; the lattices as ``build`` gives them, units that came before not built again."""
+        distinct = dict.fromkeys(flat)
+        fresh = [w for w in distinct if w not in self.kept]
+        index = self.kept | {w: i for i, w in enumerate(fresh, len(self.kept))}
         unit = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        bases, lengths, chance, ids = self.build([w.decode() for w in index])
-        text_of = np.array(texts)
-        state = _states(np.array(rows, dtype=_U64)[text_of], np.array(numbers))
+        held = self.kept_tables
+        if not fresh:
+            return unit, *held
+        bases, lengths, chance, ids = self.build([" " + w.decode() for w in fresh])
+        room = KEPT_NODES - len(held[2])
+        tables = np.append(held[0], bases + len(held[2])), np.append(held[1], lengths), np.concatenate([held[2], chance]), np.concatenate([held[3], ids])
+        # Units of two groups in a row are kept while there is room.
+        again = [i for i, w in enumerate(fresh) if w in self.met] if room > 0 else []
+        if again:
+            again = np.array(again)[np.cumsum(lengths[again] + 1) <= room]
+            nodes = np.repeat(bases[again] - np.append(0, np.cumsum(lengths[again] + 1))[:-1], lengths[again] + 1) + np.arange(int((lengths[again] + 1).sum()))
+            firsts = np.append(0, np.cumsum(lengths[again] + 1))[:-1] + len(held[2])
+            self.kept |= {fresh[i]: number for number, i in enumerate(again.tolist(), len(self.kept))}
+            self.kept_tables = np.append(held[0], firsts), np.append(held[1], lengths[again]), np.concatenate([held[2], chance[nodes]]), np.concatenate([held[3], ids[nodes]])
+        self.met = set(distinct) if room > 0 else set()
+        return unit, *tables
+
+    def _sample_group(self, group: list[tuple[int, int, list[bytes]]], rows: np.ndarray, to: list[list[np.ndarray]]) -> None:
+        """Append the ids of the group's units to those of their texts."""
+        flat = [w for *_, units in group for w in units]
+        if not flat:
+            return
+        counts = np.array([len(units) for *_, units in group])
+        unit, bases, lengths, chance, ids = self._lattices(flat)
+        numbers = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts - np.array([first for _, first, _ in group]), counts)
+        state = _states(np.repeat(rows[[at for at, *_ in group]], counts), numbers)
         start = bases[unit]
         now = start + lengths[unit]
         active = np.arange(len(flat))
@@ -214,9 +257,8 @@ class Lattice:
         out = np.empty(int(ends[-1]), np.int32)
         for number, (own, found) in enumerate(drawn):
             out[ends[own] - 1 - number] = found
-        firsts = np.flatnonzero(np.append(True, text_of[1:] != text_of[:-1]))
-        out, cuts = self._spell(out, np.append(0, ends)[np.append(firsts, len(flat))])
-        for at, a, b in zip(text_of[firsts].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        out, cuts = self._spell(out, np.append(0, ends)[np.append(0, np.cumsum(counts))])
+        for (at, *_), a, b in zip(group, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             to[at].append(out[a:b])
 
     def _sample_long(self, unit: str, state: np.uint64) -> np.ndarray:
@@ -286,9 +328,14 @@ class Lattice:
                 out[where + i] = self.byte_ids[value]
         return out, ends[cuts]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of its pieces."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode()
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return ""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.spelled[np.arange(int(ends[-1])) + np.repeat(self.begins[ids] - ends + sizes, sizes)].tobytes()[1:].decode()
 
 
 def _marked(points: np.ndarray) -> np.ndarray:
@@ -359,7 +406,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         own = lattice(path)
         for batch in batches:
-            texts = [own.decode(np.frombuffer(i, "<i4").tolist()) for i in batch["ids"]]
+            texts = [own.decode(np.frombuffer(i, "<i4")) for i in batch["ids"]]
             yield {"doc_id": batch["doc_id"], "ids": batch["ids"], "text": texts}
 
     return map_batches(encoded, work, "doc_id long, ids binary, text string")
