@@ -157,31 +157,28 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, mo
     """Features and languages of a bounded sample, chosen by hashes of ids and texts."""
     from pyspark.sql import Window
 
-    labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    langs = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).count()
-    if langs > MAX_LANGUAGES:
+    labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    sizes = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    each = max(1, min(per_language, most // max(1, langs)))
-    order = Window.partitionBy("lang").orderBy("_h")
-    chosen = labelled.select("lang", F.xxhash64("doc_id").alias("_h"))
-    chosen = chosen.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each)
-    # The largest hash chosen is a filter that the scan of the texts applies; rows that share an id are told apart after it.
-    bounds = chosen.groupBy("lang").agg(F.max("_h").alias("_most"))
-    near = labelled.join(F.broadcast(bounds), "lang").where(F.xxhash64("doc_id") <= F.col("_most"))  # a row a language
-    near = near.select("lang", "text", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"))
-    first = near.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_t"))).where(F.col("_rank") <= each)
+    each = max(1, min(per_language, most // max(1, len(sizes))))
+    # Several times as many rows as are wanted pass the scan, however large the table is; the least hashes of them stay.
+    bounds = [(r.lang, min(2**63 - 1, int(min(1.0, (3 * each + 100) / r["count"]) * 2**64) - 2**63)) for r in sizes]
+    near = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, _most long")), "lang").where("_h <= _most")  # a row a language
+    near = near.groupBy("lang", "_h").agg(F.first("text").alias("text"))
+    first = near.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_rank") <= each)
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            rows = [(lang, h, t, histogram(x)) for lang, h, t, x in zip(batch["lang"], batch["_h"], batch["_t"], batch["text"], strict=True) if _LETTER.search(x)]
+            rows = [(lang, h, histogram(x)) for lang, h, x in zip(batch["lang"], batch["_h"], batch["text"], strict=True) if _LETTER.search(x)]
             used = [np.flatnonzero(found) for *_, found in rows]
             yield {
-                "lang": [r[0] for r in rows], "h": [r[1] for r in rows], "t": [r[2] for r in rows],
-                "bucket": [u.astype("<u2").tobytes() for u in used], "n": [r[3][u].astype("<u4").tobytes() for r, u in zip(rows, used, strict=True)],
+                "lang": [r[0] for r in rows], "h": [r[1] for r in rows],
+                "bucket": [u.astype("<u2").tobytes() for u in used], "n": [r[2][u].astype("<u4").tobytes() for r, u in zip(rows, used, strict=True)],
             }
 
-    found = map_batches(first.select("lang", "_h", "_t", "text"), work, "lang string, h long, t long, bucket binary, n binary").collect()
-    found.sort(key=lambda r: (r.lang, r.h, r.t))
+    found = map_batches(first.select("lang", "_h", "text"), work, "lang string, h long, bucket binary, n binary").collect()
+    found.sort(key=lambda r: (r.lang, r.h))
     counts = np.zeros((len(found), BUCKETS), np.uint32)
     for row, r in zip(counts, found, strict=True):
         row[np.frombuffer(r.bucket, "<u2")] = np.frombuffer(r.n, "<u4")

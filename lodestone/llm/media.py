@@ -4,20 +4,22 @@
 one archive a task, with a directory of its members' offsets beside it.  The
 data source ``media_archive`` plans byte-range partitions over the archives of
 a folder from their sizes alone; a partition reads the members that begin in
-its range, decodes them and streams Arrow batches.  A member that fails its
-checksum or whose read fails is read again by its offset, reopening the file,
-without reading its neighbours anew.
+its range in one stream, decodes them and passes on Arrow batches.  A member that
+fails its checksum or whose read fails is read again by its offset, reopening
+the file, without reading its neighbours anew.
 
 A payload is a text's UTF-8 followed by bytes 255 up to a positive multiple of
 576 (24 by 24 samples).
 
 Defined results: null and empty texts give one block of 255s and 0 bytes.
 Null ids stay null, repeated rows are members of their own, equal texts give
-equal values, and an empty table gives no archive and an empty result.
+equal values, and an empty table gives no archive and an empty result.  A text
+of any length is one member, held whole by its task.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import struct
@@ -155,6 +157,35 @@ def read_member(archive: str, offset: int, length: int, crc32: int, open_file=op
     raise AssertionError
 
 
+def read_members(archive: str, members: list[tuple[int, int, int]], open_file=open_random, wait: float = 0.2) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Members (offset, length, crc32) that follow each other, from one stream.
+
+    A member that is damaged, or at which the stream fails, is read again alone
+    by its offset; the stream goes on with the next one.
+    """
+    file = None
+    try:
+        for offset, length, crc32 in members:
+            try:
+                if file is None:
+                    file = open_file(archive)
+                    file.seek(offset)
+                media = file.read(length)
+                if len(media) != length or zlib.crc32(media) != crc32:
+                    raise ValueError("damaged")
+                found = media, decode_png(media)
+            except (OSError, ValueError, zlib.error, struct.error):
+                if file is not None:
+                    with contextlib.suppress(OSError):
+                        file.close()
+                    file = None
+                found = read_member(archive, offset, length, crc32, open_file, wait)
+            yield found
+    finally:
+        if file is not None:
+            file.close()
+
+
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"].rstrip("/")
@@ -174,9 +205,9 @@ class MediaReader(DataSourceReader):
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         rows: list[tuple] = []
         held = 0
-        for member in directory[low:high].tolist():
-            offset, length, crc32, has_id, doc_id, n_bytes = member
-            media, samples = read_member(f"{partition.archive}.media", offset, length, crc32)
+        members = directory[low:high].tolist()
+        for member, (media, samples) in zip(members, read_members(f"{partition.archive}.media", [m[:3] for m in members]), strict=True):
+            _, length, _, has_id, doc_id, n_bytes = member
             rows.append((doc_id if has_id else None, n_bytes, length, hashlib.sha256(media).hexdigest(), samples.tobytes(), feature_of(samples)))
             held += samples.size
             if held >= BATCH_BYTES:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -69,3 +70,62 @@ def test_member_is_read_again_by_offset(tmp_path):
     assert got == png and len(calls) == 3 and isinstance(samples, np.ndarray)
     with pytest.raises(ValueError):
         media.read_member(str(tmp_path / "a"), 3, len(png), zlib.crc32(png), wait=0)
+
+
+def test_one_stream_a_range(tmp_path):
+    """A range is opened once; a failure in it costs the member alone."""
+    pngs = [media.encode_png(media.payload_of("abc" * i)) for i in range(1, 40)]
+    (tmp_path / "a").write_bytes(b"".join(pngs))
+    offsets = np.cumsum([0, *map(len, pngs)])
+    members = [(int(o), len(p), zlib.crc32(p)) for o, p in zip(offsets, pngs)]
+    opened = []
+
+    class Flaky:
+        def __init__(self, name):
+            opened.append(name)
+            self.file, self.reads = open_random(name), 0
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def close(self):
+            self.file.close()
+
+        def read(self, n):
+            self.reads += 1
+            if self.reads == 10 and len(opened) == 1:
+                raise OSError("lost")
+            return self.file.read(n)
+
+    got = [m for m, _ in media.read_members(str(tmp_path / "a"), members, Flaky, 0)]
+    assert got == pngs and len(opened) == 3
+    with pytest.raises(ValueError):
+        list(media.read_members(str(tmp_path / "a"), [(1, 50, 7)], wait=0))
+
+
+def feature_by_hand(payload):
+    n, rows = len(payload), [payload[i : i + 24] for i in range(0, len(payload), 24)]
+    mean = sum(payload) / n
+    deviation = (sum((x - mean) ** 2 for x in payload) / n) ** 0.5
+    shares = [payload.count(bytes([x])) / n for x in set(payload)]
+    entropy = abs(-sum(p * math.log2(p) for p in shares))
+    high = len(rows) // 8
+    grid = [sum(sum(r[c * 3 : c * 3 + 3]) for r in rows[b * high : (b + 1) * high]) for b in range(8) for c in range(8)]
+    bits = "".join("1" if 64 * g > sum(grid) else "0" for g in grid)
+    return mean, deviation, entropy, f"{int(bits, 2):016x}"
+
+
+def test_feature_by_hand(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in documents(spark, sf_dir).collect()}
+    for r in media.op10(spark, documents(spark, sf_dir)).collect():
+        *numbers, ahash = feature_by_hand(media.payload_of(texts[r.doc_id]))
+        got = dict(part.split("=") for part in r.feature.split(";"))
+        assert got["ahash"] == ahash
+        for name, value in zip(("mean", "dev", "entropy"), numbers, strict=True):
+            assert abs(float(got[name]) - value) < 1e-4
