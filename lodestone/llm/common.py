@@ -84,6 +84,13 @@ def keep_only(spark: SparkSession, folder: str, names: set[str]) -> None:
             store.delete(status.getPath(), True)
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any store; none where there is no folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in store.listStatus(where)] if store.exists(where) else []
+
+
 def _local(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[len("file:"):].lstrip("/")

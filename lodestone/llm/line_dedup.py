@@ -6,38 +6,48 @@ least ``MIN_DOCUMENTS`` documents is frequent: all its lines go, except in the
 document of the largest id that holds it.
 
 ``LineIndex`` keeps a log of references (key digest, doc id, +1 for an
-insertion or -1 for a deletion of the document).  ``commit`` sums it into exact
-counts and writes the frequent keys in shards of about ``SHARD_KEYS``: each
-shard file holds a cuckoo filter, then the sorted digests with their counts
-and keeping ids.  Inserting and deleting documents changes a shard's filter
-key by key, so taking documents out again restores the former decisions.  A
-lookup deals references to their shards (salted by document, so a line that a
-third of all documents share is spread), asks the filter, and confirms what
-passes in the exact table.
+insertion or -1 for a deletion of the document), an exact reference-count
+table of all keys (digest, count, largest id) and a cuckoo filter a shard.
+``commit`` sums what was logged since the last one and merges it into the
+shards that it touches; the others keep their files.  The log is read again
+only for keys that lost the document that kept them.  A shard's filter file
+holds the filter, then the sorted digests of its frequent keys with their
+counts and keeping ids; the filter of the version before is changed key by
+key, so taking documents out again restores the former decisions.  Shards
+double when references outgrow ``SHARD_REFERENCES`` each, which rewrites all
+of them.  Each version's state is one small file, written last, so an index is
+opened again from its folder by another driver.  A lookup deals references to
+their shards (salted by document, so a line that a third of all documents share
+is spread), asks the filter, and confirms what passes in the exact table.
 
 Keys are compared by 128-bit BLAKE2 digests.  Defined results: a null or empty
 text is one empty line, which stays (a null becomes empty text).  Rows that
 share an id each count as a document, and all of them keep the lines of the
 largest id.  Null ids are never the largest; a key that only null ids hold
-stays.  An empty table gives an empty result.
+stays.  A text of any length is split whole, its lines held by its task.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_file, materialise, run_folder, whole_text, write_file
+from .common import list_names, map_batches, map_file, materialise, run_folder, whole_text, write_file
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
-SHARD_KEYS = 50_000
+SHARD_REFERENCES = 250_000
 SALTS = 32
 #: Shards that a lookup task keeps open, and references it holds to sort.
 OPEN_SHARDS = 16
@@ -174,13 +184,19 @@ def _padded(digests: list[bytes]) -> np.ndarray:
 
 
 class LineIndex:
-    """The index in a shared folder; one writer at a time."""
+    """The index in a shared folder; one writer at a time.
+
+    A folder that holds an index is opened as its last commit left it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, min_documents: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH):
         self.spark, self.folder = spark, folder
-        self.min_documents, self.min_length = min_documents, min_length
-        self.batches: list[DataFrame] = []
-        self.version, self.shards = 0, 0
+        self.pending: list[tuple[str, int]] = []  # logged since the last commit: name, sign
+        self.state = {"version": 0, "bits": 0, "references": 0, "min_documents": min_documents, "min_length": min_length, "log": [], "counts": {}, "filters": {}}
+        versions = [int(m[1]) for name in list_names(spark, folder) if (m := re.fullmatch(r"state-(\d+)\.json", name))]
+        if versions:
+            self.state = json.loads(bytes(map_file(f"{folder}/state-{max(versions)}.json")))
+        self.min_documents, self.min_length = self.state["min_documents"], self.state["min_length"]
 
     def references(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, digest) of the distinct keys of each row."""
@@ -207,26 +223,77 @@ class LineIndex:
         return self._log(docs, -1, columns)
 
     def _log(self, docs: DataFrame, sign: int, columns: dict) -> DataFrame:
-        logged = materialise(self.references(docs, **columns), self.folder, f"references-{len(self.batches)}")
-        self.batches.append(logged.withColumn("sign", F.lit(sign)))
+        name = f"references-{uuid.uuid4().hex}"
+        logged = materialise(self.references(docs, **columns), self.folder, name)
+        self.pending.append((name, sign))
         return logged
 
-    def counts(self) -> DataFrame:
-        """Exact counts: digest, n, keep (the largest id that holds the key)."""
-        if len(self.batches) == 1:  # insertions only: combined within tasks before the shuffle
-            return self.batches[0].groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep"))
-        log = self.batches[0]
-        for more in self.batches[1:]:
-            log = log.unionAll(more)
-        held = log.groupBy("digest", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0")
-        return held.groupBy("digest").agg(F.sum("n").alias("n"), F.max("doc_id").alias("keep"))
+    def _read_log(self, names: list[tuple[str, int]]) -> DataFrame:
+        logs = [self.spark.read.schema("doc_id long, digest binary").parquet(f"{self.folder}/{name}").withColumn("sign", F.lit(sign)) for name, sign in names]
+        return reduce(DataFrame.unionAll, logs)
+
+    def counts(self, shards: list[int] | None = None) -> DataFrame:
+        """The exact table (digest, n, keep, shard) of some shards, or all."""
+        kinds = "digest binary, n long, keep long"
+        own = {k: v for k, v in self.state["counts"].items() if shards is None or int(k) in shards}
+        parts = [self.spark.createDataFrame([], kinds + ", shard int")]
+        for version in sorted(set(own.values())):
+            table = self.spark.read.schema(kinds + ", shard int").parquet(f"{self.folder}/counts-{version}")
+            parts.append(table.where(F.col("shard").isin([int(k) for k, v in own.items() if v == version])))
+        return reduce(DataFrame.unionAll, parts)
 
     def commit(self) -> None:
-        """Write the frequent keys as a new version of the shards."""
-        folder, before, version = self.folder, self.version, self.version + 1
-        frequent = materialise(self.counts().where(F.col("n") >= self.min_documents), folder, f"frequent-{version}")
-        self.shards = shards = self.shards or max(1, -(-frequent.count() // SHARD_KEYS))
-        dealt = frequent.withColumn("shard", _shard_of(shards)).repartition(shards, "shard").sortWithinPartitions("shard", "digest")
+        """Merge what was logged into the shards that it touches."""
+        if not self.pending:
+            return
+        state = json.loads(json.dumps(self.state))
+        version = state["version"] = state["version"] + 1
+        log = self._read_log(self.pending)
+        state["references"] += log.count()
+        bits = state["bits"]
+        while state["references"] > SHARD_REFERENCES << bits:
+            bits += 1
+        split, state["bits"] = bits > state["bits"], bits
+        change = log.groupBy("digest").agg(
+            F.sum("sign").alias("dn"), F.max(F.when(F.col("sign") > 0, F.col("doc_id"))).alias("top"), F.max(F.when(F.col("sign") < 0, F.col("doc_id"))).alias("gone")
+        )
+        deleted = any(sign < 0 for _, sign in self.pending)
+        if not state["counts"] and not deleted:
+            merged = change.select("digest", F.col("dn").alias("n"), F.col("top").alias("keep"))
+            touched = None
+        else:
+            change = materialise(change.withColumn("shard", _shard_of(bits)), self.folder, f"change-{version}")
+            touched = None if split else sorted(r.shard for r in change.select("shard").distinct().collect())  # shards are a short list
+            old = self.counts(touched).select("digest", "n", F.col("keep").alias("_keep"))
+            both = old.join(change.drop("shard"), "digest", "full")
+            lost = F.col("gone").isNotNull() & ((F.col("gone") >= F.col("_keep")) | F.col("_keep").isNull() | (F.col("gone") >= F.col("top")))
+            both = both.select("digest", (F.coalesce("n", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n"), F.greatest("_keep", "top").alias("keep"), F.coalesce(lost, F.lit(False)).alias("_lost"))
+            merged = materialise(both.where("n > 0"), self.folder, f"merged-{version}")
+            if deleted:
+                # Keys that may have lost the document that kept them: their references are summed anew.
+                again = merged.where("_lost").select("digest")
+                every = self._read_log([tuple(x) for x in state["log"]] + self.pending).join(again, "digest", "left_semi")
+                held = every.groupBy("digest", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0").groupBy("digest").agg(F.max("doc_id").alias("_held"))
+                merged = merged.join(held, "digest", "left").withColumn("keep", F.when(F.col("_lost"), F.col("_held")).otherwise(F.col("keep")))
+            merged = merged.select("digest", "n", "keep")
+        dealt = merged.withColumn("shard", _shard_of(bits))
+        dealt.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{self.folder}/counts-{version}")
+        written = self.spark.read.schema("digest binary, n long, keep long, shard int").parquet(f"{self.folder}/counts-{version}")
+        shards = list(range(1 << bits)) if touched is None else touched
+        before = {} if split else {int(k): v for k, v in state["filters"].items()}
+        filled = self._write_filters(written.where(F.col("n") >= self.min_documents), shards, before, version)
+        for k in shards:
+            state["counts"][str(k)] = version
+            state["filters"].pop(str(k), None)
+        state["filters"] |= {str(k): version for k in filled}
+        state["log"] += [list(x) for x in self.pending]
+        write_file(f"{self.folder}/state-{version}.json", iter([json.dumps(state).encode()]))
+        self.state, self.pending = state, []
+
+    def _write_filters(self, frequent: DataFrame, shards: list[int], before: dict[int, int], version: int) -> list[int]:
+        """Filter files of the shards that have frequent keys; returns those."""
+        folder = self.folder
+        dealt = frequent.repartition("shard").sortWithinPartitions("shard", "digest")
 
         def work(batches: Iterator[dict]) -> Iterator[dict]:
             held: list[tuple] = []
@@ -236,26 +303,28 @@ class LineIndex:
                 if own is not None:
                     entries = np.array(held, _ENTRY)
                     entries.sort(order="digest")
-                    Shard.build(entries, _load(folder, before, own)).write(f"{folder}/shards-{version}/{own}")
+                    Shard.build(entries, _load(folder, before.get(own), own)).write(f"{folder}/filters-{version}/{own}")
                 held.clear()
 
+            found: list[int] = []
             for batch in batches:
                 for shard, digest, n, keep in zip(batch["shard"], batch["digest"], batch["n"], batch["keep"], strict=True):
                     if shard != own:
                         flush()
                         own = shard
+                        found.append(shard)
                     held.append((digest, n, keep or 0, keep is not None))
             flush()
-            yield {"n": [0]}
+            yield {"shard": found}
 
-        # Runs on the executors; shards without a frequent key have no file.
-        map_batches(dealt, work, "n long").agg(F.count(F.lit(1))).collect()
-        self.version = version
+        # One row a shard.
+        return sorted(r.shard for r in map_batches(dealt.select("shard", "digest", "n", "keep"), work, "shard int").collect())
 
     def drops(self, references: DataFrame) -> DataFrame:
         """(doc_id, digest) of the references whose lines go."""
-        folder, version, shards = self.folder, self.version, self.shards
-        dealt = references.withColumn("shard", _shard_of(shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        folder, bits = self.folder, self.state["bits"]
+        versions = {int(k): v for k, v in self.state["filters"].items()}
+        dealt = references.withColumn("shard", _shard_of(bits)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         dealt = dealt.repartition("shard", "salt")
 
         def work(batches: Iterator[dict]) -> Iterator[dict]:
@@ -268,7 +337,7 @@ class LineIndex:
                     if number not in opened:
                         if len(opened) >= OPEN_SHARDS:
                             opened.pop(next(iter(opened)))
-                        opened[number] = _load(folder, version, number)
+                        opened[number] = _load(folder, versions.get(number), number)
                     if (shard := opened[number]) is None:
                         continue
                     rows = np.flatnonzero(shard_of == number)
@@ -306,17 +375,12 @@ def keep_lines(text: str, drop, min_length: int = MIN_LENGTH) -> tuple[int, int,
     return len(lines), len(lines) - len(stay), b"\n".join(stay).decode()
 
 
-def _shard_of(shards: int):
-    return F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")
+def _shard_of(bits: int):
+    return F.pmod(F.xxhash64("digest"), F.lit(1 << bits)).cast("int")
 
 
-def _load(folder: str, version: int, shard: int) -> Shard | None:
-    if version == 0:
-        return None
-    try:
-        return Shard.load(f"{folder}/shards-{version}/{shard}")
-    except FileNotFoundError:
-        return None
+def _load(folder: str, version: int | None, shard: int) -> Shard | None:
+    return None if version is None else Shard.load(f"{folder}/filters-{version}/{shard}")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from lodestone.llm import line_dedup
 from lodestone.llm.common import documents, run_folder
 from lodestone.llm.line_dedup import CuckooFilter, LineIndex, op7
 
@@ -86,3 +87,57 @@ def test_cuckoo_filter():
         CuckooFilter(4).delete(keys[:1])
     again, end = CuckooFilter.from_buffer(table.to_bytes())
     assert end == len(table.to_bytes()) and (again.table == table.table).all()
+
+
+def test_commits_merge_what_changed(spark, monkeypatch):
+    """Insertions, deletions, splits and a reopened index against counting from scratch."""
+    monkeypatch.setattr(line_dedup, "SHARD_REFERENCES", 40)
+    folder = run_folder(spark, "l")
+    rng = np.random.default_rng(6)
+    text = lambda: "\n".join(f"shared line number {rng.integers(30)} of thirty" for _ in range(rng.integers(1, 8)))
+    kinds = "doc_id long, text string"
+    held: list[tuple] = []
+    number = 0
+    sizes = []
+    for step in range(6):
+        index = LineIndex(spark, folder)  # another driver
+        assert index.state["version"] == step
+        new = [(number + i, text()) for i in range(12)]
+        number += 12
+        index.insert(spark.createDataFrame(new, kinds))
+        held += new
+        if step > 1:
+            gone = [held[i] for i in rng.choice(len(held), 9, replace=False)]
+            if step == 3:
+                gone.append(max(held))
+                gone = list(dict.fromkeys(gone))
+            index.delete(spark.createDataFrame(gone, kinds))
+            held = [r for r in held if r not in gone]
+        index.commit()
+        sizes.append(index.state["bits"])
+        want = defaultdict(list)
+        for i, t in held:
+            for k in {key(x) for x in t.split("\n")}:
+                want[hashlib.blake2b(k.encode(), digest_size=16).digest()].append(i)
+        again = LineIndex(spark, folder)
+        got = {bytes(r.digest): (r.n, r.keep) for r in again.counts().collect()}
+        assert got == {k: (len(v), max(v)) for k, v in want.items()}
+        docs = spark.createDataFrame(held, kinds)
+        rows = again.apply(docs, again.references(docs)).selectExpr("row.doc_id", "n_lines", "n_dropped", "sha2(kept_text, 256)")
+        assert result(rows) == brute(held)
+    assert sizes[-1] > sizes[0]
+
+
+def test_untouched_shards_keep_their_files(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_REFERENCES", 100)
+    folder = run_folder(spark, "l")
+    index = LineIndex(spark, folder)
+    lines = [f"a line of its own, number {i}" for i in range(300)]
+    index.insert(spark.createDataFrame([(d, "\n".join(lines)) for d in range(3)], "doc_id long, text string"))
+    index.commit()
+    index.insert(spark.createDataFrame([(9, lines[0])], "doc_id long, text string"))
+    index.commit()
+    versions = list(index.state["counts"].values())
+    assert len(versions) == 16 and versions.count(2) == 1 and list(index.state["filters"].values()).count(2) == 1
+    index.commit()
+    assert index.state["version"] == 2
