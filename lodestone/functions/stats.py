@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+#: Parts that a key's values are split into to find a place.
+PARTS = 32
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -25,23 +27,45 @@ def ratio(k: Column, n: Column) -> Column:
     return F.struct(k.alias("k"), n.alias("n"), F.try_divide(k.cast("double"), n).alias("rate"), F.when(n > 0, low).alias("lo"), F.when(n > 0, high).alias("hi"))
 
 
+def at_places(frame: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """Per key, the values at some places from 0 in ascending order; nulls don't count.
+
+    ``places`` are whole numbers below ``_n``, the key's number of values. A
+    key's values are split at approximate quantiles, so a key that most rows
+    have is sorted by many tasks and only where a place is.
+    """
+    rows = frame.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    shares = F.array(*(F.lit(i / PARTS) for i in range(1, PARTS)))
+    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", shares, F.lit(1000))).alias("_cuts"))
+    part = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    dealt = rows.join(cuts, keys).select(*keys, part.alias("_part"), "_v")
+    held = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))  # a few rows a key
+    group = Window.partitionBy(*keys)
+    before = F.sum("_c").over(group.orderBy("_part")) - F.col("_c")
+    held = held.select("*", before.alias("_before"), F.sum("_c").over(group).alias("_n"))
+    inside = [F.when(place.between(F.col("_before"), F.col("_before") + F.col("_c") - 1), place - F.col("_before")).alias(name) for name, place in places.items()]
+    wanted = held.select(*keys, "_part", *inside).where(F.coalesce(*map(F.col, places)).isNotNull())
+    met = dealt.join(wanted, [*keys, "_part"]).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_v")) - 1)
+    return met.groupBy(*keys).agg(*(F.max(F.when(F.col("_r") == F.col(name), F.col("_v"))).alias(name) for name in places))
+
+
 def upper_median(frame: DataFrame, keys: list[str], value: str, name: str, default: float | None = None) -> DataFrame:
-    """Per key, the value at place n div 2 (from 0) in ascending order.
+    """Per key, the value at place n div 2 (from 0) in ascending order; nulls don't count.
 
-    Two windows instead of a collected list, so a hot key only needs a sort.
+    For values that repeat, such as sizes: equal ones are counted before they
+    are ordered, so a key's sort is as long as its distinct values.
     """
+    cells = frame.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     group = Window.partitionBy(*keys)
-    ranked = frame.select(*keys, value, F.row_number().over(group.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(group).alias("_n"))
-    found = ranked.where(F.expr("_r = _n div 2 + 1")).select(*keys, F.col(value).alias(name))
+    upto = F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = cells.select(*keys, value, upto.alias("_to"), F.col("_c"), F.sum("_c").over(group).alias("_n"))
+    found = ranked.where(F.expr("_n div 2 between _to - _c and _to - 1")).select(*keys, F.col(value).alias(name))
     return found if default is None else frame.select(*keys).distinct().join(found, keys, "left").withColumn(name, F.coalesce(name, F.lit(default)))
 
 
 def nearest_rank(frame: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Per key, the values at places min(n - 1, floor(n * p)) from 0."""
-    group = Window.partitionBy(*keys)
-    ranked = frame.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(group.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(group).alias("_n"))
-    pick = lambda p: F.max(F.when(F.col("_r") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p))) + 1, F.col(value)))
-    return ranked.groupBy(*keys).agg(*(pick(p).alias(name) for name, p in shares.items()))
+    return at_places(frame, keys, value, {name: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p))) for name, p in shares.items()})
 
 
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -22,7 +22,7 @@ def test_names_agree():
 
 
 def test_rest_works_without_the_llm_folders(tmp_path):
-    shutil.copytree(HERE, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(HERE, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) > 70 and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, timeout=120)
 

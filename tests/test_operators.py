@@ -224,3 +224,34 @@ def test_ranges_of_pages(spark):
     wide = spark.createDataFrame([(1, "A [d1, p.5-25004]")], "answer_id int, answer string")
     found = citations.extract(wide)
     assert found.count() == 25_000 and found.agg(F.min("page"), F.max("page"), F.max("cite_no")).first() == (5, 25_004, 25_000)
+
+
+def test_places(spark):
+    import random
+
+    rng = random.Random(4)
+    values = [("a", rng.choice([rng.random(), 0.5, 0.25])) for _ in range(3000)] + [("b", 1.0)] + [("c", float(i)) for i in (3, 1, 2, 2)] + [("a", None), ("d", None)]
+    frame = spark.createDataFrame(values, "k string, v double")
+    got = {r.k: r for r in stats.nearest_rank(frame, ["k"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    middle = {r.k: r.m for r in stats.upper_median(frame, ["k"], "v", "m").collect()}
+    assert set(got) == set(middle) == {"a", "b", "c"}
+    for k in got:
+        own = sorted(v for q, v in values if q == k and v is not None)
+        assert [got[k][f"p{p}"] for p in (0, 50, 95, 100)] == [own[min(len(own) - 1, len(own) * p // 100)] for p in (0, 50, 95, 100)]
+        assert middle[k] == own[len(own) // 2]
+    assert {r.k: r.m for r in stats.upper_median(frame, ["k"], "v", "m", 9.0).collect()}["d"] == 9.0
+
+
+def test_small_readers(spark, tmp_path):
+    from lodestone.sources import files
+
+    items = spark.createDataFrame([(2, "single"), (1, "single"), (3, "multi")], "id int, type string")
+    assert [r.id for r in evaluation.first_items(items, 1, "id", "single").collect()] == [1]
+    assert [r.id for r in evaluation.first_items(items, 2, "id").collect()] == [1, 2]
+    pages = spark.createDataFrame([("d", 1, "one"), ("d", 2, "two"), ("e", 1, "three")], "doc_id string, page int, text string")
+    assert [r.text for r in files.page_text(pages, "d", 2).collect()] == ["two"] and files.page_text(pages, "e", 9).count() == 0
+    assert rows(files.uncached_pages(pages, pages.where("doc_id = 'd'").select("doc_id", "page")), "doc_id") == [("e", 1)]
+    files.write_items(items, str(tmp_path / "items"))
+    assert spark.read.json(str(tmp_path / "items")).count() == 3
+    labels = spark.createDataFrame([(1, " good "), (2, "refused"), (3, None), (4, ""), (5, "unparsed")], "id int, label string")
+    assert rows(evaluation.clean_labels(labels, "label"), "id") == [(1, "good")]
