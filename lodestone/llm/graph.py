@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Tasks that the edges of one node are dealt over.
-SALTS = 16
+SALTS = 6
 
 
 def connected_components(edges: DataFrame, folder: str) -> DataFrame:
