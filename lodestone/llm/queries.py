@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, line_dedup, lm_scoring, media, near_dedup, packing, secrets, sentence_pieces, token_files
+from . import exact_dedup, filter_audit, language_id, line_dedup, lm_scoring, media, near_dedup, packing, periodic_runs, secrets, sentence_pieces, sharding, token_files
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op10(spark, documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.op11(documents(spark, sf_dir))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op12(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secrets": op1_secrets,
@@ -64,6 +76,9 @@ def queries() -> dict[str, Query]:
         "op8_sentence_pieces": op8_sentence_pieces,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_media": op10_media,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_sharding": op12_sharding,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -100,4 +115,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keep <> doc_id) AS n_dropped,
                 sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (keep IS NULL OR keep = doc_id), '')) AS kept_sha256
             FROM keyed LEFT JOIN frequent USING (key) GROUP BY doc_id""",
+        "op12_sharding": sharding.ORACLE_SQL,
+        "op13_filter_audit": filter_audit.ORACLE_SQL,
     }
