@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import text as T
 from ..operators import chunking, indexing, ingest
-from ..session import table
+from ..session import run_folder, table
+from ..sources import index
 from . import inputs
 from .registry import query
 
@@ -210,3 +211,25 @@ def index_diff(spark, sf_dir):
     return indexing.index_diff(docs.where("doc_id % 3 > 0"), docs.where("doc_id % 4 > 0"))
 
 
+
+
+# Three states of a corpus: a tenth of the documents missing; then a tenth rewritten, another tenth dropped, the missing ones there; then the dropped ones back.
+STATES = ("doc_id % 10 <> 5", "doc_id % 10 <> 7", "true")
+TEXT_OF = ("text", "CASE WHEN doc_id % 10 = 3 THEN concat('New: ', text) ELSE text END", "CASE WHEN doc_id % 10 = 3 THEN concat('New: ', text) ELSE text END")
+
+
+@query(f"""WITH a AS (SELECT DISTINCT sha256({TEXT_OF[0]}) AS h FROM documents WHERE {STATES[0]}), b AS (SELECT DISTINCT sha256({TEXT_OF[1]}) AS h FROM documents WHERE {STATES[1]}),
+    c AS (SELECT sha256({TEXT_OF[2]}) AS h, max(doc_id) AS doc_id, any_value({TEXT_OF[2]}) AS t FROM documents WHERE {STATES[2]} GROUP BY 1)
+    SELECT h AS chunk_hash, length(t) AS n_chars, h IN (SELECT h FROM b) AS kept_since_second, h IN (SELECT h FROM a) AND h IN (SELECT h FROM b) AS kept_since_first FROM c""")
+def index_delta(spark, sf_dir):
+    """An index brought through three states of the corpus by what changed: what it holds in the end, and by which part."""
+    docs = table(spark, sf_dir, "documents")
+    folder = run_folder(spark, "index")
+    for state, text in zip(STATES, TEXT_OF, strict=True):
+        own = docs.where(state).select("doc_id", F.expr(text).alias("text"))
+        chunks = own.select(F.sha2("text", 256).alias("chunk_hash"), F.col("doc_id").alias("position"), "doc_id", "text")
+        index.rebuild(chunks, folder, lambda rows: rows.select("chunk_hash", F.length("text").cast("long").alias("n_chars")), {"embedder": "length", "target": 240})
+    part = F.col("_part")
+    # Each state's part is its number: what the third brought was in neither kept set.
+    rows = index.parts(spark, folder)
+    return rows.select("chunk_hash", "n_chars", (part < 3).alias("kept_since_second"), (part < 2).alias("kept_since_first"))

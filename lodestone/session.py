@@ -28,18 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(frame: DataFrame, what: str) -> DataFrame:
-    """The frame written to the folder that driver and executors share, and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    That is ``spark.checkpoint.dir``; a local session without it takes a
-    temporary one, on a cluster the setting is required.
+    A local session without it takes a temporary one, on a cluster the setting
+    is required.
     """
-    spark = frame.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not re.match(r"local(\[[^-]*)?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    path = f"{folder.rstrip('/')}/lodestone-{what}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def run_folder(spark: SparkSession, what: str) -> str:
+    """The name of a new folder there."""
+    return f"{shared_folder(spark)}/lodestone-{what}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, what: str) -> DataFrame:
+    """The frame written to a new folder that driver and executors share, and read back."""
+    path = run_folder(frame.sparkSession, what)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

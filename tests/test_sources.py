@@ -1,6 +1,8 @@
 import hashlib
 import io
 import json
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,76 @@ def test_index(spark, tmp_path):
     assert one != two and index.canonical({"b": 1, "a": [1]}) == '{"a":[1],"b":1}'
 
 
+def _sizes(folder):
+    """Bytes and Parquet files of each part of an index."""
+    return {p.name: (sum(f.stat().st_size for f in p.glob("*.parquet")), len(list(p.glob("*.parquet")))) for p in Path(folder).iterdir() if p.is_dir()}
+
+
+def test_small_change_writes_one_small_file(spark, tmp_path):
+    folder = str(tmp_path / "i")
+    make = lambda changed: spark.range(100_000).select(F.sha2(F.when(F.col("id") == changed, "new").otherwise(F.col("id").cast("string")), 256).alias("chunk_hash"), F.col("id").alias("position"), F.lit("d").alias("doc_id"), F.repeat(F.col("id").cast("string"), 20).alias("text"))
+    index.rebuild(make(-1), folder, lambda rows: rows, "f")
+    before = _sizes(folder)
+    record = index.rebuild(make(77), folder, lambda rows: rows, "f")
+    new = {name: size for name, size in _sizes(folder).items() if name not in before and not name.startswith("plan")}
+    assert sorted(name.split("-")[0] for name in new) == ["added", "gone"] and all(files == 1 and size < 5000 for size, files in new.values())
+    assert record["count"] == 100_000 == index.read_index(spark, folder).count()
+    assert {(r.action, r.n) for r in index.changes(spark, folder).groupBy("action").agg(F.count("*").alias("n")).collect()} == {("add", 1), ("delete", 1), ("keep", 99_999)}
+    again = index.rebuild(make(77), folder, lambda rows: rows, "f")
+    assert (again["parts"], again["gone"]) == (record["parts"], record["gone"])
+
+
+def test_index_equals_a_full_rebuild_at_every_step(spark, tmp_path):
+    """Random states, ids that go and come back, compaction on the way."""
+    dice, folder, embedded = random.Random(3), str(tmp_path / "i"), []
+
+    def embed(rows):
+        embedded.append(rows.count())
+        return rows
+
+    compacted = 0
+    for step in range(9):
+        keys = sorted(dice.sample(range(40), dice.randrange(1, 40)))
+        state = spark.createDataFrame([(f"h{k}", k, f"d{k % 3}", f"text {k}") for k in keys], "chunk_hash string, position int, doc_id string, text string")
+        record = index.rebuild(state, folder, embed, {"model": "m", "target": 240})
+        assert sorted(map(tuple, index.read_index(spark, folder).collect())) == sorted(map(tuple, state.collect())), step
+        compacted += not record["gone"] and step > 0
+        assert sum(p["rows"] for p in record["gone"]) <= index.GONE_SHARE * sum(p["rows"] for p in record["parts"])
+    assert compacted
+    with pytest.raises(ValueError, match="other settings: target"):
+        index.assert_compatible(spark, folder, {"model": "m", "target": 120})
+    index.rebuild(state, folder, embed, {"model": "m", "target": 120})
+    assert embedded[-1] == len(keys)
+
+
+def test_a_stop_at_any_step_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "i")
+    make = lambda keys: spark.createDataFrame([(k, i, "d") for i, k in enumerate(keys)], "chunk_hash string, position int, doc_id string")
+    index.rebuild(make("abc"), folder, lambda rows: rows, "f")
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    write = index._write
+    for name, broken in (("index_diff", stop), ("_write", stop), ("_write", lambda rows, n, folder, part: stop() if part.startswith("gone") else write(rows, n, folder, part)), ("check_ids", stop), ("write_record", stop)):
+        with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+            patch.setattr(index, name, broken)
+            index.rebuild(make("bcd"), folder, lambda rows: rows, "f")
+        assert sorted(r.chunk_hash for r in index.read_index(spark, folder).collect()) == ["a", "b", "c"], name
+    assert index.remove_old(spark, folder) == []
+    index.rebuild(make("bcd"), folder, lambda rows: rows, "f")
+    later = index.time.time() + 90_000
+    removed = index.remove_old(spark, folder, now=later)
+    assert "build-1.json" in removed and all(not name.startswith("build-2") for name in removed) and len(removed) > 4
+    assert sorted(r.chunk_hash for r in index.read_index(spark, folder).collect()) == ["b", "c", "d"]
+    assert index.remove_old(spark, folder, now=later) == [] == index.remove_old(spark, str(tmp_path / "none"))
+    twice = make("xx").withColumn("position", F.lit(1))
+    with pytest.raises(ValueError, match="more than once"):
+        index.rebuild(twice, folder, lambda rows: rows, "f")
+    index.rebuild(make(""), folder, lambda rows: rows, "f")
+    assert index.read_index(spark, folder).count() == 0
+
+
 def test_settings():
     assert settings.Privacy.of({"LOG_CONTENT": "true", "LOG_RETENTION_DAYS": "7"}) == settings.Privacy(True, False, "", 7)
     for bad in ({"LOG_CONTENT": "yes"}, {"LOG_RETENTION_DAYS": "0"}, {"LOG_RETENTION_DAYS": "-1"}):
