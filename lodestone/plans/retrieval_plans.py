@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import postings
 from ..operators import retrieval as R
-from ..session import table
+from ..session import run_folder, table
 from . import inputs
 from .registry import query
 
@@ -41,6 +42,14 @@ def bm25_topk(spark, sf_dir):
     return shown(R.top(_bm25(spark, sf_dir), 5))
 
 
+@query(f"SELECT {SHOWN} FROM bm25_ranked WHERE rank <= 5")
+def bm25_stored(spark, sf_dir):
+    """The same from an inverted index, written and then read by block bounds."""
+    folder = run_folder(spark, "postings")
+    postings.build(inputs.chunks(spark, sf_dir), folder)
+    return shown(postings.search(inputs.questions(spark, sf_dir), folder, 5))
+
+
 FUSED = """SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM
     (SELECT question_id, chunk_id, sum(1.0 / (60 + rank)) AS score FROM ({lists}) GROUP BY ALL)"""
 BOTH = "SELECT question_id, chunk_id, rank FROM cosine_ranked WHERE rank <= 50 UNION ALL SELECT question_id, chunk_id, rank FROM bm25_ranked WHERE rank <= 50"
