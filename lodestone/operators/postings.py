@@ -56,6 +56,12 @@ TASKS_A_BUCKET = 4
 SEEDS = 2
 
 
+def _open(spark: SparkSession, folder: str, name: str, kind: str) -> DataFrame:
+    """A table of a build whose chunk ids are of this type; one without rows has no files."""
+    columns = {"blocks": f"range long, ids array<{kind}>, tfs array<int>, lens array<int>", "bounds": "range long, n int, most double", "terms": "df long"}
+    return spark.read.schema(f"term string, {columns[name]}, bucket int").parquet(f"{folder}/{name}")
+
+
 def _bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
@@ -99,19 +105,20 @@ def _impact(tf, length, mean):
 def build(chunks: DataFrame, folder: str) -> dict:
     """Write the index of ``chunks`` (chunk_id, text) to a new folder; returns its record."""
     spark = chunks.sparkSession
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
     n = chunks.count()
     buckets = min(MOST_BUCKETS, 1 + n // CHUNKS_A_BUCKET)
     dealt = _blocks(chunks).withColumn("bucket", _bucket(buckets)).repartition(buckets * TASKS_A_BUCKET, "bucket", F.pmod(F.hash("term"), F.lit(TASKS_A_BUCKET)))
     dealt.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{folder}/blocks")
-    blocks = spark.read.parquet(f"{folder}/blocks")
+    blocks = _open(spark, folder, "blocks", kind)
     words = blocks.agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     mean = words / n if n else 0.0
     parts = F.transform(F.arrays_zip("tfs", "lens"), lambda p: _impact(p["tfs"], p["lens"], F.lit(mean)))
     # Read as whole files, so a folder's bounds stay in about as many.
     blocks.select("bucket", "term", "range", F.size("ids").alias("n"), F.array_max(parts).alias("most")).write.partitionBy("bucket").parquet(f"{folder}/bounds")
-    spark.read.parquet(f"{folder}/bounds").groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(f"{folder}/terms")
+    _open(spark, folder, "bounds", kind).groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(f"{folder}/terms")
     weight = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    record = {"chunks": n, "buckets": buckets, "mean_length": mean, "mean_weight": spark.read.parquet(f"{folder}/terms").agg(F.avg(weight)).first()[0] or 0.0}
+    record = {"chunks": n, "kind": kind, "buckets": buckets, "mean_length": mean, "mean_weight": _open(spark, folder, "terms", kind).agg(F.avg(weight)).first()[0] or 0.0}
     spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.text(f"{folder}/record")
     return record
 
@@ -136,7 +143,7 @@ class Search:
     def __init__(self, questions: DataFrame, folder: str, k: int, seeds: int = SEEDS):
         self.spark, self.folder, self.k = questions.sparkSession, folder, k
         record = _record(self.spark, folder)
-        self.mean = record["mean_length"]
+        self.mean, self.kind = record["mean_length"], record["kind"]
         asked = questions.select("question_id", F.explode(terms(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times")).withColumn("bucket", _bucket(record["buckets"]))
         # At most as many numbers as there are folders.
         self.buckets = sorted(r.bucket for r in asked.select("bucket").distinct().collect())
@@ -162,7 +169,7 @@ class Search:
 
     def _read(self, name: str) -> DataFrame:
         """A table's rows in the folders of the asked terms; others aren't opened."""
-        return self.spark.read.parquet(f"{self.folder}/{name}").where(F.col("bucket").isin(self.buckets))
+        return _open(self.spark, self.folder, name, self.kind).where(F.col("bucket").isin(self.buckets))
 
     def _sums(self, entries: DataFrame) -> DataFrame:
         """(question_id, range, chunk_id, score) over the postings of these blocks."""
