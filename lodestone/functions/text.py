@@ -140,7 +140,8 @@ def citations(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(CITATION), F.lit(0))
 
     def parts(token: Column) -> Column:
-        first = F.regexp_extract(token, CITATION_PARTS, 2).cast("int")
+        # A number that no page has is the greatest one; a range to such a page is none.
+        first = F.coalesce(F.regexp_extract(token, CITATION_PARTS, 2).try_cast("int"), F.lit(2**31 - 1))
         end = F.regexp_extract(token, CITATION_PARTS, 3)
         return F.struct(F.regexp_extract(token, CITATION_PARTS, 1).alias("doc_id"), first.alias("first"), F.when(end == "", first).otherwise(end.try_cast("int")).alias("last"))
 

@@ -1,17 +1,39 @@
-"""Answering with a pluggable model: one-shot repair and the requery loop.
+"""Whole batches of questions through a model: completion with one repair, and the requery loop.
 
-Batches of questions go through retrieval as DataFrames; the model is a plain
-function of a prompt, called where its client is (a driver or a pandas UDF).
+The model is a plain function of a prompt, called in tasks.  Its replies are
+kept in a store keyed by the prompt's digest, written by the task that asked as
+soon as a few are there; so whatever is retried, run again or asked by two
+questions, a prompt is asked once.  Only the replies in hand when an executor
+is lost, ``flush`` at most, are asked for again.  Two copies of one task that
+run at the same time (speculation) may both ask.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import json
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-#: Refusals that are matters of form and may be repaired once.
-REPAIRABLE = ("missing_citation", "malformed_citation", "uncited_line")
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import REFUSAL, agent_decision
+from ..session import written
+from ..sources import journal
+from . import citations
+from .retrieval import merge_new
+
+#: Refusals that are matters of form and may be repaired once, and what the model is told about them.
+REPAIRABLE = {
+    "missing_citation": "it cites nothing",
+    "malformed_citation": "a citation isn't written as [doc_id, p.X]",
+    "uncited_line": "a line doesn't end in a citation",
+}
 MAX_REQUERIES = 2
+REPLY = "digest string, text string, input_tokens long, output_tokens long, cost_usd double"
 
 
 @dataclass
@@ -23,46 +45,128 @@ class Reply:
 
 
 @dataclass
-class Answer:
-    text: str
-    refused: bool
-    reason: str | None
-    calls: list[Reply] = field(default_factory=list)
-    repaired: bool = False
+class Replies:
+    """A store of replies in ``folder``, and the model that fills it.
+
+    ``tasks`` ask at the same time; replies are written ``flush`` at a time.
+    """
+
+    spark: SparkSession
+    folder: str
+    ask: Callable[[str], Reply]
+    tasks: int = 64
+    flush: int = 16
+
+    def known(self) -> DataFrame:
+        """Every reply that the store holds, once."""
+        if not journal.exists(self.spark, self.folder):
+            return self.spark.createDataFrame([], REPLY)
+        return self.spark.read.schema(REPLY).json(f"{self.folder}/*/*.json").dropDuplicates(["digest"])
+
+    def of(self, prompts: DataFrame) -> DataFrame:
+        """(digest, text, input_tokens, output_tokens, cost_usd) of each distinct ``prompt``, asking for those not held."""
+        wanted = prompts.select(F.sha2("prompt", 256).alias("digest"), "prompt").where("prompt IS NOT NULL")
+        missing = wanted.join(self.known().select("digest"), "digest", "left_anti").withColumn("shelf", F.substring("digest", 1, 2))
+        folder, ask, flush = self.folder, self.ask, self.flush
 
-    @property
-    def cost_usd(self) -> float:
-        return sum(c.cost_usd for c in self.calls)
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            again = TaskContext.get().attemptNumber() > 0
+            held: dict[str, set[str]] = {}
+            out: dict[str, list[dict]] = {}
 
+            def put(shelf: str) -> None:
+                lines = out.pop(shelf, [])
+                if lines:
+                    journal.write(f"{folder}/{shelf}/{uuid.uuid4().hex}.json", "".join(json.dumps(line) + "\n" for line in lines).encode())
 
-def complete(prompt: str, chunks: list, ask: Callable[[str], Reply], check: Callable[[str, list], tuple[str, str | None]], refusal: str, repair_prompt: str = "") -> Answer:
-    """Ask, check, and ask once more where only the form was wrong.
+            for own in batches:
+                for digest, prompt, shelf in zip(own.digest, own.prompt, own.shelf, strict=True):
+                    # What an earlier attempt of this task was told before it was lost.
+                    if shelf not in held:
+                        held[shelf] = {json.loads(line)["digest"] for line in journal.lines(f"{folder}/{shelf}")} if again else set()
+                    if digest in held[shelf]:
+                        continue
+                    held[shelf].add(digest)
+                    reply = ask(prompt)
+                    out.setdefault(shelf, []).append({"digest": digest, "text": reply.text, "input_tokens": reply.input_tokens, "output_tokens": reply.output_tokens, "cost_usd": reply.cost_usd})
+                    if sum(map(len, out.values())) >= flush:
+                        for name in list(out):
+                            put(name)
+            for name in list(out):
+                put(name)
+            yield own.iloc[:0][["digest"]] if held else pd.DataFrame({"digest": []}, dtype="object")
 
-    ``check`` gives (answer, reason); without chunks nothing is asked.
+        # Equal prompts meet in one task, on one of 256 shelves.
+        missing.repartition(self.tasks, "shelf").mapInPandas(work, "digest string").write.format("noop").mode("overwrite").save()
+        return self.known().join(wanted.select("digest").distinct(), "digest", "left_semi")
+
+
+def repair_prompt(prompt: Column, reason: Column, previous: Column) -> Column:
+    """The first prompt, what was wrong, and the answer that was."""
+    why = F.create_map(*(F.lit(x) for pair in REPAIRABLE.items() for x in pair))[reason]
+    said = F.concat(F.lit("\n\nYour last answer isn't usable: "), why, F.lit(f'. Write it again, each line one statement that ends in [doc_id, p.X] as in the context\'s headers, or only "{REFUSAL}"\n\nLast answer:\n'), previous)
+    return F.concat(prompt, said)
+
+
+def complete(prompts: DataFrame, contexts: DataFrame, replies: Replies) -> DataFrame:
+    """(answer_id, refused, refusal_reason, served, raw, repaired, calls, input_tokens, output_tokens, cost_usd).
+
+    ``prompts`` are (answer_id, prompt), ``contexts`` the chunks that each was
+    made of.  Answers that fail a rule of form are asked for once more, and
+    judged anew; counts and costs are sums over both calls, each answer's own
+    even where two share a prompt.  Without a context nothing is asked.
     """
-    if not chunks:
-        return Answer(refusal, True, "no_context")
-    calls = [ask(prompt)]
-    text, reason = check(calls[0].text, chunks)
-    repaired = bool(repair_prompt) and reason in REPAIRABLE
-    if repaired:
-        calls.append(ask(f"{prompt}\n\n{repair_prompt}\n\n{calls[0].text}"))
-        text, reason = check(calls[1].text, chunks)
-    return Answer(refusal if reason else text, reason is not None, reason, calls, repaired)
+    numbers = ("input_tokens", "output_tokens", "cost_usd")
+    known = contexts.select("answer_id").distinct()
+    asked = prompts.join(known, "answer_id", "left_semi").select("answer_id", "prompt")
+
+    def judged(asking: DataFrame, name: str) -> DataFrame:
+        replied = replies.of(asking).withColumnRenamed("text", "answer")
+        own = asking.withColumn("digest", F.sha2("prompt", 256)).join(replied, "digest")
+        own = own.join(citations.validate(own.select("answer_id", "answer"), contexts), "answer_id")
+        return written(own.select("answer_id", "prompt", "answer", "refused", "refusal_reason", "served", *numbers), name)
+
+    first = judged(asked, "first")
+    again = first.where(F.col("refusal_reason").isin(*REPAIRABLE))
+    second = judged(again.select("answer_id", repair_prompt(F.col("prompt"), F.col("refusal_reason"), F.col("answer")).alias("prompt")), "second")
+    once = first.where(~F.coalesce(F.col("refusal_reason").isin(*REPAIRABLE), F.lit(False))).select("answer_id", "refused", "refusal_reason", "served", F.col("answer").alias("raw"), F.lit(False).alias("repaired"), F.lit(1).alias("calls"), *numbers)
+    sums = [(F.col(f"s.{n}") + F.col(f"f.{n}")).alias(n) for n in numbers]
+    twice = second.alias("s").join(again.alias("f"), "answer_id").select("answer_id", "s.refused", "s.refusal_reason", "s.served", F.col("s.answer").alias("raw"), F.lit(True).alias("repaired"), F.lit(2).alias("calls"), *sums)
+    none = prompts.join(known, "answer_id", "left_anti").select(
+        "answer_id", F.lit(True).alias("refused"), F.lit("no_context").alias("refusal_reason"), F.lit(REFUSAL).alias("served"), F.lit(None).cast("string").alias("raw"), F.lit(False).alias("repaired"), F.lit(0).alias("calls"),
+        F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"), F.lit(0.0).alias("cost_usd"),
+    )
+    return once.unionByName(twice).unionByName(none)
 
 
-def requery(question: str, search: Callable[[str], list], decide: Callable[[str, list], str], key: Callable = lambda c: c) -> tuple[list, list[str]]:
-    """Search until the model has enough or its requeries are used up.
+def requery(questions: DataFrame, search: Callable[[DataFrame], DataFrame], decide: Callable[[DataFrame], DataFrame], most: int = MAX_REQUERIES) -> tuple[DataFrame, DataFrame]:
+    """All questions searched until the model has enough or its requeries are used up: chunks and steps.
 
-    Gives all chunks in order of arrival, each once, and the queries asked.
+    ``search`` maps (question_id, question) to (question_id, chunk_id, rank);
+    ``decide`` maps (question_id, question, chunks), the held ids in order, to
+    (question_id, reply).  Only questions whose reply asks for more go on;
+    those without a chunk don't.  Every round is written, so a lost executor
+    costs one round, and nothing is asked twice.  Gives (question_id, rank,
+    chunk_id, round) in order of arrival, each chunk once, and (question_id,
+    round, query).
     """
-    held = {key(c): c for c in search(question)}
-    queries = [question]
-    for _ in range(MAX_REQUERIES):
-        reply = decide(question, list(held.values())).strip()
-        if not reply.upper().startswith("INSUFFICIENT"):
+    held = written(search(questions.select("question_id", "question")).select("question_id", "chunk_id", "rank", F.lit(0).alias("round")), "held-0")
+    open_ = questions.select("question_id", "question", F.col("question").alias("query"))
+    steps = [open_.select("question_id", F.lit(0).alias("round"), "query")]
+    for number in range(1, most + 1):
+        shown = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda c: c["chunk_id"])
+        packed = held.join(open_.select("question_id"), "question_id", "left_semi").groupBy("question_id").agg(shown.alias("chunks"))
+        replied = decide(open_.select("question_id", "question").join(packed, "question_id")).select("question_id", "reply")
+        said = open_.select("question_id", "question").join(replied, "question_id").withColumn("_d", agent_decision(F.col("reply"), F.col("question")))
+        open_ = written(said.where("NOT _d.sufficient").select("question_id", "question", "_d.query"), f"open-{number}")
+        if open_.isEmpty():
             break
-        queries.append(reply.partition(":")[2].strip() or question)
-        for chunk in search(queries[-1]):
-            held.setdefault(key(chunk), chunk)
-    return list(held.values()), queries
+        steps.append(open_.select("question_id", F.lit(number).alias("round"), "query"))
+        more = search(open_.select("question_id", F.col("query").alias("question"))).select("question_id", "chunk_id", "rank")
+        own = held.join(open_.select("question_id"), "question_id", "left_semi")
+        arrived = merge_new(own.select("question_id", "chunk_id", "rank"), more).withColumn("round", F.lit(number)).join(own.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
+        held = written(held.unionByName(arrived.select(held.columns)), f"held-{number}")
+    every = steps[0]
+    for step in steps[1:]:
+        every = every.unionByName(step)
+    return held.select("question_id", "rank", "chunk_id", "round"), every

@@ -46,12 +46,15 @@ def section_ref(spark, sf_dir):
 TOKEN = r"\[[\w\-\.]+,\s*p\.\d+(?:-\d+)?(?:,[^\]]*)?\]"
 
 
-@query(rf"""WITH own AS (SELECT a.answer_id, {AT_ENDS.format(x='answer')} AS t, n, all_in FROM answers a LEFT JOIN (SELECT answer_id, count(*) AS n, bool_and(verified) AS all_in FROM verified GROUP BY answer_id) c USING (answer_id)),
+VALIDATE = rf"""WITH own AS (SELECT a.answer_id, {AT_ENDS.format(x='answer')} AS t, n, all_in FROM answers a LEFT JOIN (SELECT answer_id, count(*) AS n, bool_and(verified) AS all_in FROM verified GROUP BY answer_id) c USING (answer_id)),
     judged AS (SELECT *, CASE WHEN t = 'I don''t have a source for that.' THEN 'model_refusal' WHEN contains(lower(t), 'i don''t have a source for that.') THEN 'malformed_refusal'
     WHEN n IS NULL AND regexp_matches(t, '(?i)[\[(][^\])\n]{{0,160}}?p+[\s.]{{0,3}}\d') THEN 'malformed_citation' WHEN n IS NULL THEN 'missing_citation'
     WHEN len(list_filter(string_split(t, chr(10)), lambda x: {AT_ENDS.format(x='x')} <> '' AND NOT regexp_matches(regexp_replace(x, '[\x09-\x0D ]+$', ''), '(?:{TOKEN}\s*)+$'))) > 0 THEN 'uncited_line'
     WHEN NOT all_in THEN 'unverified_citation' END AS refusal_reason FROM own)
-    SELECT answer_id, refusal_reason IS NOT NULL AS refused, refusal_reason, CASE WHEN refusal_reason IS NULL THEN t ELSE 'I don''t have a source for that.' END AS served FROM judged""")
+    SELECT answer_id, refusal_reason IS NOT NULL AS refused, refusal_reason, CASE WHEN refusal_reason IS NULL THEN t ELSE 'I don''t have a source for that.' END AS served FROM judged"""
+
+
+@query(VALIDATE)
 def validate_answer(spark, sf_dir):
     return citations.validate(inputs.answers(spark, sf_dir), inputs.contexts(spark, sf_dir))
 

@@ -24,7 +24,7 @@ WORDS_OF = "regexp_replace(text, '[^a-zA-Z ]', ' '{g})"
 ANSWERS = """SELECT doc_id AS answer_id, CASE doc_id % 9
     WHEN 0 THEN 'I don''t have a source for that.'
     WHEN 1 THEN concat('Sorry: i don''t have a SOURCE for that. ', t)
-    WHEN 2 THEN t
+    WHEN 2 THEN CASE WHEN doc_id % 4 = 1 THEN concat(t, ' [d', doc_id, ', p.12345678901234567890]') ELSE t END
     WHEN 3 THEN concat(t, ' (d3 p. 4)')
     WHEN 4 THEN concat(t, ' [d', doc_id, ', p.1]', {nl}, 'and more')
     WHEN 5 THEN concat(t, ' [d', doc_id, ', p.1-4]')
@@ -66,7 +66,7 @@ SQL = {
     "log": LOG.format(epoch="epoch(ts)"),
     # Pages of citations, one row each: array positions by unnesting both.
     "tokens": r"SELECT answer_id, generate_subscripts(t, 1) AS k, unnest(t) AS token FROM (SELECT answer_id, regexp_extract_all(answer, '\[[\w\-\.]+,\s*p\.\d+(?:-\d+)?(?:,[^\]]*)?\]') AS t FROM answers)",
-    "spans": r"SELECT answer_id, k, regexp_extract(token, '\[([\w\-\.]+),', 1) AS doc_id, CAST(regexp_extract(token, 'p\.(\d+)', 1) AS INT) AS a, CAST(coalesce(nullif(regexp_extract(token, 'p\.\d+-(\d+)', 1), ''), regexp_extract(token, 'p\.(\d+)', 1)) AS INT) AS b FROM tokens",
+    "spans": r"SELECT answer_id, k, regexp_extract(token, '\[([\w\-\.]+),', 1) AS doc_id, a, CASE WHEN regexp_matches(token, 'p\.\d+-\d') THEN TRY_CAST(regexp_extract(token, 'p\.\d+-(\d+)', 1) AS INT) ELSE a END AS b FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(token, 'p\.(\d+)', 1) AS INT), 2147483647) AS a FROM tokens)",
     "cites": "SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY k, page) AS cite_no, doc_id, page FROM (SELECT answer_id, k, doc_id, CAST(unnest(generate_series(a, b)) AS INT) AS page FROM spans WHERE b >= a)",
     "verified": """SELECT c.*, EXISTS (SELECT 1 FROM contexts x WHERE x.answer_id = c.answer_id AND x.doc_id = c.doc_id AND c.page BETWEEN x.page_start AND x.page_end) AS verified,
         (SELECT x.section FROM contexts x WHERE x.answer_id = c.answer_id AND x.doc_id = c.doc_id AND c.page BETWEEN x.page_start AND x.page_end ORDER BY x.page_start, x.chunk_id LIMIT 1) AS section FROM cites c""",

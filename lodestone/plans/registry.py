@@ -27,7 +27,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from . import citation_plans, evaluation_plans, ingest_plans, retrieval_plans, usage_plans  # noqa: F401
+    from . import answering_plans, citation_plans, evaluation_plans, ingest_plans, retrieval_plans, usage_plans  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

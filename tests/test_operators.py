@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import stats, text
-from lodestone.operators import answering, checks, chunking, citations, evaluation, indexing, ingest, retrieval, usage
+from lodestone.operators import checks, chunking, citations, evaluation, indexing, ingest, retrieval, usage
 
 REFUSAL = "I don't have a source for that."
 
@@ -187,16 +187,6 @@ def test_quotes_over_a_page_end(spark):
     assert rows(checks.quote_hits(quotes, pages).select("quote_id", "found"), "quote_id") == [(1, True), (2, False), (3, False), (4, True)]
 
 
-def test_repair_and_requery():
-    replies = iter(["bad", "good [a, p.1]"])
-    check = lambda text, chunks: (text, None if "[" in text else "missing_citation")
-    got = answering.complete("q", ["c"], lambda p: answering.Reply(next(replies), 1, 2, 0.5), check, REFUSAL, "cite")
-    assert (got.refused, got.repaired, got.cost_usd, got.text) == (False, True, 1.0, "good [a, p.1]")
-    assert answering.complete("q", [], None, check, REFUSAL).reason == "no_context"
-    found, asked = answering.requery("q", lambda q: [q, "same"], lambda q, held: "INSUFFICIENT: more")
-    assert asked == ["q", "more", "more"] and found == ["q", "same", "more"]
-
-
 def test_sign_test_of_any_size(spark):
     pairs = [(0, 0), (3, 0), (5, 5), (1834, 37), (12_000, 11_800), (2_000_000, 1_999_000), (10**9, 10**9 - 10)]
     got = spark.createDataFrame(pairs, "w long, l long").select(stats.sign_test(F.col("w"), F.col("l")).alias("p")).collect()
