@@ -12,15 +12,13 @@ term's postings in one range (chunk ids, counts, lengths).  Tables of a build:
 * a record with the number and mean length of chunks and the mean weight of
   terms, written last.
 
-A search scores few of the postings of common terms.  A block's bound for a
-question is its greatest part times the term's weight; a range's is the sum of
-its blocks'.  The ranges of greatest bound are scored whole, and the k-th best
-score there is the question's threshold.  A range whose bound stays below it is
-left out.  In the others, a range's blocks of least bound that stay below it
-together can't lift a chunk over it alone: only the other blocks' postings are
-added up, and of the chunks met there only those whose sum reaches the
-threshold with the left blocks' bounds are looked up in those too.  What is left
-out can't be among the best k, ties included, so the result is exact.
+A search leaves out most ranges.  A block's bound for a question is its greatest
+part times the term's weight; a range's, the sum of its blocks', caps the score
+of each of its chunks.  The ranges of greatest bound are scored first, and the
+k-th best score there is the question's threshold: a range whose bound stays
+below it holds nothing that could be among the best k, ties included, so the
+result is exact.  Ranges are scored whole where their blocks meet, as one matrix
+of questions by chunks, and give each question's best k of the range.
 
 Empty and null texts have no terms; they count as chunks with length 0.  Ids
 keep their type and tell chunks apart, as those of an index do.  A task's
@@ -54,6 +52,8 @@ CHUNKS_A_BUCKET, MOST_BUCKETS = 20_000, 4096
 TASKS_A_BUCKET = 4
 #: Ranges of greatest bound that a question's threshold comes from.
 SEEDS = 2
+#: Questions that meet a range's blocks in one task, and that are scored as one matrix.
+QUESTIONS_A_PART, QUESTIONS_AT_ONCE = 5_000, 500
 
 
 def _open(spark: SparkSession, folder: str, name: str, kind: str) -> DataFrame:
@@ -137,6 +137,44 @@ def search(questions: DataFrame, folder: str, k: int, seeds: int = SEEDS) -> Dat
     return Search(questions, folder, k, seeds).best()
 
 
+def _score_range(k: int, mean: float, schema: pa.Schema):
+    """A function of a range's blocks and the questions' entries there: each question's best ``k``, and what ties with them."""
+
+    def work(blocks: pa.Table, entries: pa.Table) -> pa.Table:
+        if not len(blocks) or not len(entries):
+            return schema.empty_table()
+        # Postings of all blocks in a row; a term has one block in a range.
+        ids = blocks["ids"].combine_chunks()
+        sizes = np.diff(ids.offsets.to_numpy())
+        keys = ids.flatten().dictionary_encode()
+        chunk, width = keys.indices.to_numpy(), len(keys.dictionary)
+        tf, length = (blocks[name].combine_chunks().flatten().to_numpy().astype(np.float64) for name in ("tfs", "lens"))
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        known = {term: i for i, term in enumerate(blocks["term"].to_pylist())}
+        asked = entries["question_id"].combine_chunks().dictionary_encode()
+        question, weight = asked.indices.to_numpy(), entries["w"].to_numpy()
+        block = np.array([known[term] for term in entries["term"].to_pylist()])
+        order = np.argsort(question, kind="stable")
+        question, weight, block = question[order], weight[order], block[order]
+        out = []
+        for low in range(0, len(asked.dictionary), QUESTIONS_AT_ONCE):
+            first, last = np.searchsorted(question, [low, low + QUESTIONS_AT_ONCE])
+            own, n = block[first:last], sizes[block[first:last]]
+            at = np.arange(n.sum()) + np.repeat(starts[own] - np.cumsum(n) + n, n)
+            cell = np.repeat(question[first:last] - low, n) * width + chunk[at]
+            count = min(QUESTIONS_AT_ONCE, len(asked.dictionary) - low)
+            score = np.bincount(cell, np.repeat(weight[first:last], n) * impact[at], count * width).reshape(count, width)
+            met = np.bincount(cell, minlength=count * width).reshape(count, width) > 0
+            rank = np.where(met, score, -np.inf)
+            least = np.partition(rank, -k, axis=1)[:, -k] if k < width else np.full(count, -np.inf)
+            q, c = np.nonzero(met & (rank >= least[:, None] - 2 * 10.0**-DIGITS))
+            out.append(pa.table([asked.dictionary.take(pa.array(q + low)), keys.dictionary.take(pa.array(c)), pa.array(score[q, c])], schema=schema))
+        return pa.concat_tables(out)
+
+    return work
+
+
 class Search:
     """One batch's search, step by step; every step is written, so none is run twice."""
 
@@ -149,62 +187,40 @@ class Search:
         self.buckets = sorted(r.bucket for r in asked.select("bucket").distinct().collect())
         raw = F.log(record["chunks"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         weight = F.when(raw < 0, F.lit(EPSILON * record["mean_weight"])).otherwise(raw)
-        wanted = asked.join(self._read("terms"), ["bucket", "term"]).select("question_id", "bucket", "term", (F.col("times") * weight).alias("w"))
+        self.wanted = written(asked.join(self._read("terms"), ["bucket", "term"]).select("question_id", "bucket", "term", (F.col("times") * weight).alias("w")), "wanted")
+        # Questions are dealt in parts, so that a range's entries are bounded.
+        self.parts = 1 + self.wanted.select("question_id").distinct().count() // QUESTIONS_A_PART
         # A negative weight only takes from a score. A row a question, term and range, not one a posting.
         bound = F.greatest(F.col("w") * F.col("most"), F.lit(0.0))
-        self.entries = written(self._read("bounds").join(wanted, ["bucket", "term"]).select("question_id", "bucket", "term", "range", "w", bound.alias("bound")), "entries")
+        part = F.pmod(F.xxhash64("question_id"), F.lit(self.parts)).cast("int")
+        self.entries = written(self._read("bounds").join(self.wanted, ["bucket", "term"]).select("question_id", "term", "range", "w", bound.alias("bound"), "n", part.alias("part")), "entries")
         ranges = self.entries.groupBy("question_id", "range").agg(F.sum("bound").alias("whole"))
         order = Window.partitionBy("question_id").orderBy(F.col("whole").desc(), "range")
-        first = ranges.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= seeds).select("question_id", "range")
-        self.first = written(self.entries.join(first, ["question_id", "range"], "left_semi"), "first")
-        self.seeded = written(top(self._sums(self.first), k), "seeded")
-        # Scores are compared after rounding, so what is nearly at the threshold stays. Every question gets its row.
+        numbered = written(ranges.withColumn("_r", F.row_number().over(order)), "ranges")
+        self.first = numbered.where(F.col("_r") <= seeds).select("question_id", "range")
+        self.seeded = written(top(self._scores(self.first), k), "seeded")
+        # Scores are compared after rounding, so what is nearly at the threshold stays.
         least = self.seeded.where(F.col("rank") == k).select("question_id", (F.col("score") - 2 * 10.0**-DIGITS).alias("least"))
-        whole = Window.partitionBy("question_id", "range")
-        rising = whole.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rest = self.entries.join(self.first.select("question_id", "range").distinct(), ["question_id", "range"], "left_anti").join(least, "question_id", "left")
-        rest = rest.withColumn("_whole", F.sum("bound").over(whole)).where("least IS NULL OR _whole >= least")
-        summed = rest.withColumn("_up_to", F.sum("bound").over(rising))
-        self.rest = written(summed.select(*self.entries.columns, "least", (F.col("least").isNull() | (F.col("_up_to") >= F.col("least"))).alias("leads")), "rest")
+        self.rest = numbered.where(F.col("_r") > seeds).join(least, "question_id", "left").where("least IS NULL OR whole >= least").select("question_id", "range")
 
     def _read(self, name: str) -> DataFrame:
         """A table's rows in the folders of the asked terms; others aren't opened."""
         return _open(self.spark, self.folder, name, self.kind).where(F.col("bucket").isin(self.buckets))
 
-    def _sums(self, entries: DataFrame) -> DataFrame:
-        """(question_id, range, chunk_id, score) over the postings of these blocks."""
-        met = self._read("blocks").join(entries, ["bucket", "term", "range"]).select("question_id", "range", "w", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("_p"))
-        part = F.col("w") * _impact(F.col("_p.tfs"), F.col("_p.lens"), F.lit(self.mean))
-        return met.groupBy("question_id", "range", F.col("_p.ids").alias("chunk_id")).agg(F.sum(part).alias("score"))
-
-    def survivors(self) -> DataFrame:
-        """(question_id, range, chunk_id, score) whose sum over leading blocks may still reach the threshold.
-
-        The k-th best of these sums and of what was scored first is a threshold
-        too, and a higher one: a chunk's score is no less than its sum, but for
-        terms of negative weight.
-        """
-        room = self.rest.groupBy("question_id", "range").agg(F.first("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("leads"), F.col("bound"))), F.lit(0.0)).alias("room"))
-        sums = written(self._sums(self.rest.where("leads")), "sums")
-        columns = ["question_id", "chunk_id", "score"]
-        kth = top(sums.select(columns).unionByName(self.seeded.select(columns)), self.k).where(F.col("rank") == self.k)
-        falls = self.entries.groupBy("question_id").agg(F.sum(F.least("w", F.lit(0.0))).alias("falls")).where("falls < 0")
-        kth = kth.join(falls, "question_id", "left_anti").select("question_id", (F.col("score") - 2 * 10.0**-DIGITS).alias("_kth"))
-        reached = sums.join(room, ["question_id", "range"]).join(kth, "question_id", "left").withColumn("least", F.greatest("least", "_kth"))
-        return reached.where("least IS NULL OR score + room >= least").select("question_id", "range", "chunk_id", "score")
+    def _scores(self, ranges: DataFrame) -> DataFrame:
+        """(question_id, chunk_id, score): the best of each of these (question_id, range)."""
+        entries = self.entries.join(ranges, ["question_id", "range"], "left_semi").select("part", "range", "question_id", "term", "w")
+        blocks = self._read("blocks").join(self.wanted.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+        met = blocks.join(ranges.select("range").distinct(), "range", "left_semi").select(F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))).alias("part"), "range", "term", "ids", "tfs", "lens")
+        schema = f"question_id {self.wanted.schema['question_id'].dataType.simpleString()}, chunk_id {self.kind}, score double"
+        work = _score_range(self.k, self.mean, to_arrow_schema(StructType.fromDDL(schema)))
+        return met.groupBy("part", "range").cogroup(entries.groupBy("part", "range")).applyInArrow(work, schema)
 
     def best(self) -> DataFrame:
-        """The best k of the chunks scored first and of those that may reach them, looked up in the blocks left out."""
-        led = written(self.survivors(), "led")
-        # Blocks of ranges without such a chunk aren't read.
-        left = self.rest.where("NOT leads").join(led.select("question_id", "range").distinct(), ["question_id", "range"], "left_semi")
-        columns = ["question_id", "range", "chunk_id", "score"]
-        found = self._sums(left).join(led.select(columns[:3]), columns[:3], "left_semi")
-        parts = led.select(columns).unionByName(found.select(columns))
-        exact = parts.groupBy("question_id", "chunk_id").agg(F.sum("score").alias("score"))
-        return top(self.seeded.select(exact.columns).unionByName(exact), self.k)
+        columns = ["question_id", "chunk_id", "score"]
+        return top(self.seeded.select(columns).unionByName(self._scores(self.rest)), self.k)
 
     def counts(self) -> dict[str, int]:
-        """Postings of the asked terms, and those that are added up before the threshold decides; once a question."""
-        n = lambda entries: self._read("bounds").select("bucket", "term", "range", "n").join(entries, ["bucket", "term", "range"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        return {"postings": n(self.entries), "added": n(self.first) + n(self.rest.where("leads"))}
+        """Postings of the asked terms, and those of ranges that are scored; once a question."""
+        n = lambda ranges: self.entries.join(ranges, ["question_id", "range"], "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return {"postings": self.entries.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], "added": n(self.first) + n(self.rest)}
