@@ -1,15 +1,18 @@
 """Whole batches of questions through a model: completion with one repair, and the requery loop.
 
 The model is a plain function of a prompt, called in tasks.  Its replies are
-kept in a store keyed by the prompt's digest, written by the task that asked as
-soon as a few are there; so whatever is retried, run again or asked by two
-questions, a prompt is asked once.  Only the replies in hand when an executor
-is lost, ``flush`` at most, are asked for again.  Two copies of one task that
-run at the same time (speculation) may both ask.
+kept in a store keyed by the prompt's digest: a table a run, and until that is
+whole a journal that the asking task writes as soon as a few replies are there.
+A task that starts again, and a run after one that failed, take what the journal
+holds; so whatever is retried, run again or asked by two questions, a prompt is
+asked once.  Only the replies in hand when an executor is lost, ``flush`` at
+most, are asked for again.  Two copies of one task that run at the same time
+(speculation) may both ask.  One run at a time fills a store.
 """
 
 from __future__ import annotations
 
+import gzip
 import json
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import REFUSAL, agent_decision
+from ..functions.text import REFUSAL, agent_decision, strip
 from ..session import written
 from ..sources import journal
 from . import citations
@@ -58,47 +61,63 @@ class Replies:
     flush: int = 16
 
     def known(self) -> DataFrame:
-        """Every reply that the store holds, once."""
-        if not journal.exists(self.spark, self.folder):
-            return self.spark.createDataFrame([], REPLY)
-        return self.spark.read.schema(REPLY).json(f"{self.folder}/*/*.json").dropDuplicates(["digest"])
+        """Every reply of whole runs, once; what journals of failed runs hold is taken in first."""
+        for run in journal.names(self.spark, self.folder, "journal-"):
+            rest = self.spark.read.schema(REPLY).json(f"{self.folder}/journal-{run}/*").dropDuplicates(["digest"]).join(self._told().select("digest"), "digest", "left_anti")
+            rest.write.mode("overwrite").parquet(f"{self.folder}/told-{run}-saved")
+            journal.remove(self.spark, f"{self.folder}/journal-{run}")
+        return self._told()
+
+    def _told(self) -> DataFrame:
+        runs = [n for n in journal.names(self.spark, self.folder, "told-") if journal.names(self.spark, f"{self.folder}/told-{n}", "_SUCCESS")]
+        return self.spark.read.schema(REPLY).parquet(*(f"{self.folder}/told-{n}" for n in runs)) if runs else self.spark.createDataFrame([], REPLY)
 
     def of(self, prompts: DataFrame) -> DataFrame:
         """(digest, text, input_tokens, output_tokens, cost_usd) of each distinct ``prompt``, asking for those not held."""
         wanted = prompts.select(F.sha2("prompt", 256).alias("digest"), "prompt").where("prompt IS NOT NULL")
-        missing = wanted.join(self.known().select("digest"), "digest", "left_anti").withColumn("shelf", F.substring("digest", 1, 2))
-        folder, ask, flush = self.folder, self.ask, self.flush
+        known, run = self.known(), uuid.uuid4().hex
+        missing = wanted.join(known.select("digest"), "digest", "left_anti").withColumn("shelf", F.substring("digest", 1, 2))
+        folder, ask, flush = f"{self.folder}/journal-{run}", self.ask, self.flush
+        columns = [field.split()[0] for field in REPLY.split(", ")]
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             again = TaskContext.get().attemptNumber() > 0
-            held: dict[str, set[str]] = {}
-            out: dict[str, list[dict]] = {}
-
-            def put(shelf: str) -> None:
-                lines = out.pop(shelf, [])
-                if lines:
-                    journal.write(f"{folder}/{shelf}/{uuid.uuid4().hex}.json", "".join(json.dumps(line) + "\n" for line in lines).encode())
+            earlier: dict[str, dict[str, dict]] = {}
+            told: set[str] = set()
+            held: list[dict] = []
+
+            def put() -> pd.DataFrame:
+                by_shelf: dict[str, list[dict]] = {}
+                for row in held:
+                    by_shelf.setdefault(row["digest"][:2], []).append(row)
+                for shelf, rows in by_shelf.items():
+                    journal.write(f"{folder}/{shelf}/{uuid.uuid4().hex}.json.gz", gzip.compress("".join(json.dumps(r) + "\n" for r in rows).encode(), 1))
+                out = pd.DataFrame(held, columns=columns)
+                held.clear()
+                return out
 
             for own in batches:
                 for digest, prompt, shelf in zip(own.digest, own.prompt, own.shelf, strict=True):
+                    if digest in told:
+                        continue
+                    told.add(digest)
                     # What an earlier attempt of this task was told before it was lost.
-                    if shelf not in held:
-                        held[shelf] = {json.loads(line)["digest"] for line in journal.lines(f"{folder}/{shelf}")} if again else set()
-                    if digest in held[shelf]:
+                    if shelf not in earlier:
+                        earlier[shelf] = {r["digest"]: r for r in map(json.loads, journal.lines(f"{folder}/{shelf}"))} if again else {}
+                    if digest in earlier[shelf]:
+                        yield pd.DataFrame([earlier[shelf][digest]], columns=columns)
                         continue
-                    held[shelf].add(digest)
                     reply = ask(prompt)
-                    out.setdefault(shelf, []).append({"digest": digest, "text": reply.text, "input_tokens": reply.input_tokens, "output_tokens": reply.output_tokens, "cost_usd": reply.cost_usd})
-                    if sum(map(len, out.values())) >= flush:
-                        for name in list(out):
-                            put(name)
-            for name in list(out):
-                put(name)
-            yield own.iloc[:0][["digest"]] if held else pd.DataFrame({"digest": []}, dtype="object")
+                    held.append({"digest": digest, "text": reply.text, "input_tokens": reply.input_tokens, "output_tokens": reply.output_tokens, "cost_usd": reply.cost_usd})
+                    if len(held) >= flush:
+                        yield put()
+            yield put()
 
         # Equal prompts meet in one task, on one of 256 shelves.
-        missing.repartition(self.tasks, "shelf").mapInPandas(work, "digest string").write.format("noop").mode("overwrite").save()
-        return self.known().join(wanted.select("digest").distinct(), "digest", "left_semi")
+        missing.repartition(self.tasks, "shelf").mapInPandas(work, REPLY).write.parquet(f"{self.folder}/told-{run}")
+        journal.remove(self.spark, folder)
+        new = self.spark.read.schema(REPLY).parquet(f"{self.folder}/told-{run}")
+        return new.unionByName(known.join(wanted.select("digest").distinct(), "digest", "left_semi"))
 
 
 def repair_prompt(prompt: Column, reason: Column, previous: Column) -> Column:
@@ -121,22 +140,26 @@ def complete(prompts: DataFrame, contexts: DataFrame, replies: Replies) -> DataF
     asked = prompts.join(known, "answer_id", "left_semi").select("answer_id", "prompt")
 
     def judged(asking: DataFrame, name: str) -> DataFrame:
+        """Each answer with its verdict; its prompt and pages meet the reply by digest, so texts move once."""
         replied = replies.of(asking).withColumnRenamed("text", "answer")
-        own = asking.withColumn("digest", F.sha2("prompt", 256)).join(replied, "digest")
-        own = own.join(citations.validate(own.select("answer_id", "answer"), contexts), "answer_id")
-        return written(own.select("answer_id", "prompt", "answer", "refused", "refusal_reason", "served", *numbers), name)
+        own = asking.select("answer_id", F.sha2("prompt", 256).alias("digest")).join(citations.shown_pages(contexts), "answer_id").join(replied, "digest")
+        return written(citations.judge(own).select("answer_id", "answer", "refusal_reason", *numbers), name)
 
     first = judged(asked, "first")
-    again = first.where(F.col("refusal_reason").isin(*REPAIRABLE))
-    second = judged(again.select("answer_id", repair_prompt(F.col("prompt"), F.col("refusal_reason"), F.col("answer")).alias("prompt")), "second")
-    once = first.where(~F.coalesce(F.col("refusal_reason").isin(*REPAIRABLE), F.lit(False))).select("answer_id", "refused", "refusal_reason", "served", F.col("answer").alias("raw"), F.lit(False).alias("repaired"), F.lit(1).alias("calls"), *numbers)
-    sums = [(F.col(f"s.{n}") + F.col(f"f.{n}")).alias(n) for n in numbers]
-    twice = second.alias("s").join(again.alias("f"), "answer_id").select("answer_id", "s.refused", "s.refusal_reason", "s.served", F.col("s.answer").alias("raw"), F.lit(True).alias("repaired"), F.lit(2).alias("calls"), *sums)
+    repairable = F.coalesce(F.col("refusal_reason").isin(*REPAIRABLE), F.lit(False))
+    again = first.where(repairable)
+    prompt = repair_prompt(F.col("prompt"), F.col("refusal_reason"), F.col("answer"))
+    second = judged(asked.join(again.select("answer_id", "refusal_reason", "answer"), "answer_id").select("answer_id", prompt.alias("prompt")), "second")
+    sums = [(F.col(n) + F.col(f"_{n}")).alias(n) for n in numbers]
+    twice = second.join(again.select("answer_id", *(F.col(n).alias(f"_{n}") for n in numbers)), "answer_id").select("answer_id", "answer", "refusal_reason", F.lit(2).alias("calls"), *sums)
+    every = first.where(~repairable).select("answer_id", "answer", "refusal_reason", F.lit(1).alias("calls"), *numbers).unionByName(twice)
+    refused = F.col("refusal_reason").isNotNull()
+    out = every.select("answer_id", refused.alias("refused"), "refusal_reason", F.when(refused, F.lit(REFUSAL)).otherwise(strip(F.col("answer"))).alias("served"), F.col("answer").alias("raw"), (F.col("calls") == 2).alias("repaired"), "calls", *numbers)
     none = prompts.join(known, "answer_id", "left_anti").select(
         "answer_id", F.lit(True).alias("refused"), F.lit("no_context").alias("refusal_reason"), F.lit(REFUSAL).alias("served"), F.lit(None).cast("string").alias("raw"), F.lit(False).alias("repaired"), F.lit(0).alias("calls"),
         F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"), F.lit(0.0).alias("cost_usd"),
     )
-    return once.unionByName(twice).unionByName(none)
+    return out.unionByName(none)
 
 
 def requery(questions: DataFrame, search: Callable[[DataFrame], DataFrame], decide: Callable[[DataFrame], DataFrame], most: int = MAX_REQUERIES) -> tuple[DataFrame, DataFrame]:

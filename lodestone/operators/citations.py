@@ -65,11 +65,21 @@ def _covers(ranges: Column, first: Column, last: Column) -> Column:
 def validate(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     """(answer_id, refused, refusal_reason, served): the first rule that fails."""
     # An answer is read once and carried along: a model behind it may not give the same reply twice.
-    pages = contexts.groupBy("answer_id").agg(F.collect_set(F.struct("doc_id", "page_start", "page_end")).alias("_pages"))
-    own = answers.join(pages, "answer_id", "left").withColumn("_t", T.strip(F.col("answer")))
-    cited = F.filter(T.citations(F.col("answer")), lambda c: c["last"] >= c["first"])
-    own = own.withColumn("_cited", cited)
-    seen = lambda c: F.filter(F.coalesce("_pages", F.array().cast(pages.schema["_pages"].dataType)), lambda p: (p["doc_id"] == c["doc_id"]) & (p["page_start"] <= c["last"]) & (p["page_end"] >= c["first"]))
+    own = judge(answers.join(shown_pages(contexts), "answer_id", "left"))
+    served = F.when(F.col("refusal_reason").isNull(), T.strip(F.col("answer"))).otherwise(F.lit(T.REFUSAL))
+    return own.select("answer_id", F.col("refusal_reason").isNotNull().alias("refused"), "refusal_reason", served.alias("served"))
+
+
+def shown_pages(contexts: DataFrame) -> DataFrame:
+    """(answer_id, pages): the ranges of pages that each answer was written from."""
+    return contexts.groupBy("answer_id").agg(F.collect_set(F.struct("doc_id", "page_start", "page_end")).alias("pages"))
+
+
+def judge(answers: DataFrame) -> DataFrame:
+    """Rows with ``answer`` and ``pages`` and, new, ``refusal_reason``, null where every rule holds."""
+    own = answers.withColumn("_t", T.strip(F.col("answer")))
+    own = own.withColumn("_cited", F.filter(T.citations(F.col("answer")), lambda c: c["last"] >= c["first"]))
+    seen = lambda c: F.filter(F.coalesce("pages", F.array().cast(answers.schema["pages"].dataType)), lambda p: (p["doc_id"] == c["doc_id"]) & (p["page_start"] <= c["last"]) & (p["page_end"] >= c["first"]))
     own = own.withColumn("_n", F.size("_cited")).withColumn("_all", F.forall("_cited", lambda c: _covers(seen(c), c["first"], c["last"])))
     text: Column = F.col("_t")
     uncited = F.exists(F.split(text, "\n"), lambda line: (T.strip(line) != "") & ~F.regexp_replace(line, rf"{T.SPACE}$", "").rlike(T.ENDS_IN_CITATION))
@@ -81,9 +91,7 @@ def validate(answers: DataFrame, contexts: DataFrame) -> DataFrame:
         .when(uncited, F.lit("uncited_line"))
         .when(~F.col("_all"), F.lit("unverified_citation"))
     )
-    out = own.withColumn("refusal_reason", reason)
-    served = F.when(F.col("refusal_reason").isNull(), F.col("_t")).otherwise(F.lit(T.REFUSAL))
-    return out.select("answer_id", F.col("refusal_reason").isNotNull().alias("refused"), "refusal_reason", served.alias("served"))
+    return own.withColumn("refusal_reason", reason).drop("_t", "_cited", "_n", "_all")
 
 
 def enrich(cites: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import uuid
 from collections.abc import Iterator
@@ -32,11 +33,20 @@ def lines(folder: str) -> Iterator[str]:
     store, path = _store(folder)
     for info in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
         if info.is_file and not info.base_name.startswith((".", "_")):
-            with store.open_input_stream(info.path) as file:
-                yield from file.read().decode().splitlines()
+            # Compressed bytes as they are: the stream must not unpack them by the name.
+            with store.open_input_stream(info.path, compression=None) as file:
+                content = file.read()
+            yield from (gzip.decompress(content) if info.path.endswith(".gz") else content).decode().split("\n")[:-1]
 
 
-def exists(spark: SparkSession, folder: str) -> bool:
+def names(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """What follows ``prefix`` in a folder's names, from the driver."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return store.exists(where) and len(store.listStatus(where)) > 0
+    found = [status.getPath().getName() for status in store.listStatus(where)] if store.exists(where) else []
+    return sorted(name[len(prefix) :] for name in found if name.startswith(prefix))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

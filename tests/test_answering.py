@@ -1,5 +1,6 @@
 """Batches of questions through a model: replies asked once, one repair, requeries."""
 
+import gzip
 import uuid
 from pathlib import Path
 
@@ -58,7 +59,8 @@ def test_no_prompt_is_asked_again_after_a_loss(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         answering.complete(prompts, contexts, replies)
     before = len(calls(notes))
-    assert replies.known().count() >= before - 3
+    assert journal.names(spark, replies.folder, "journal-") and replies.known().count() >= before - 3
+    assert not journal.names(spark, replies.folder, "journal-")
     assert answering.complete(prompts, contexts, replies).where("NOT refused").count() == 80
     twice = [p for p in set(calls(notes)) if calls(notes).count(p) > 1]
     # The prompt that the lost call was for, and no other, but for calls in hand elsewhere.
@@ -69,10 +71,13 @@ def test_no_prompt_is_asked_again_after_a_loss(spark, tmp_path):
 
 def test_journal(spark, tmp_path):
     folder = f"file://{tmp_path}/j"
-    assert not journal.exists(spark, folder) and list(journal.lines(folder)) == []
+    assert journal.names(spark, folder, "a") == [] == list(journal.lines(folder))
     journal.write(f"{folder}/a.json", b"1\n2\n")
     (tmp_path / "j" / ".b.json.part").write_text("3\n")
-    assert journal.exists(spark, folder) and list(journal.lines(folder)) == ["1", "2"]
+    journal.write(f"{folder}/c.json.gz", gzip.compress("x\u2028y\n".encode()))
+    assert journal.names(spark, folder, "a.") == ["json"] and sorted(journal.lines(folder)) == ["1", "2", "x\u2028y"]
+    journal.remove(spark, folder)
+    assert not (tmp_path / "j").exists()
 
 
 def test_requery_equals_a_loop_over_questions(spark):
