@@ -24,7 +24,6 @@ Other columns don't matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,10 +44,14 @@ MARGIN = 0.05
 #: Below this score a text's language isn't told.
 LEAST_SCORE = 0.3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTERS = bytes(32 if not (chr(b).isalpha() and b < 128 or b >= 128) else ord(chr(b).lower()) if b < 128 else b for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter: fractions, raised and circled digits, Roman numerals and marks aren't."""
+    return any(map(str.isalpha, text))
+
+
 def histogram(text: str) -> np.ndarray:
     """Counts of the hashed byte 2- and 3-grams of a text's letters."""
     raw = np.frombuffer(b" " + text.encode().translate(_NOT_LETTERS) + b" ", np.uint8).astype(np.uint32)
@@ -95,7 +98,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, ambiguous) of each text."""
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, False)] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        at = [i for i, t in enumerate(texts) if t and self.languages and has_letter(t)]
         for low in range(0, len(at), 256):
             own = at[low : low + 256]
             bits = features([texts[i] for i in own]) @ self.weights + self.bias
@@ -113,7 +116,7 @@ class Model:
 
 def fit(samples: list[tuple[str, str]]) -> Model:
     """A model of (text, language) pairs."""
-    samples = [(t, lang) for t, lang in samples if t and lang is not None and _LETTER.search(t)]
+    samples = [(t, lang) for t, lang in samples if t and lang is not None and has_letter(t)]
     return fit_features(features([t for t, _ in samples]) if samples else np.zeros((0, BUCKETS), np.float32), [lang for _, lang in samples])
 
 
@@ -170,7 +173,7 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, mo
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            rows = [(lang, h, histogram(x)) for lang, h, x in zip(batch["lang"], batch["_h"], batch["text"], strict=True) if _LETTER.search(x)]
+            rows = [(lang, h, histogram(x)) for lang, h, x in zip(batch["lang"], batch["_h"], batch["text"], strict=True) if has_letter(x)]
             used = [np.flatnonzero(found) for *_, found in rows]
             yield {
                 "lang": [r[0] for r in rows], "h": [r[1] for r in rows],
@@ -215,7 +218,7 @@ def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def told(texts: pd.Series) -> pd.Series:
         rows = [t if isinstance(t, str) else None for t in texts]
         if not shared.value.languages:
-            return pd.Series([bool(t and _LETTER.search(t)) for t in rows], dtype=bool)
+            return pd.Series([bool(t and has_letter(t)) for t in rows], dtype=bool)
         return pd.Series([is_told(*found, keep) for found in shared.value.predict(rows)], dtype=bool)
 
     return docs.where(told(F.col(text_col)))

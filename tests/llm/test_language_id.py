@@ -139,3 +139,10 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss) >> 10)
 """
     out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, check=True).stdout
     assert int(out) < 1000
+
+
+def test_letters_are_those_of_unicode():
+    for text in ("½", "² 12", "①", "Ⅷ", "٣٤", "́", "12 _ !", ""):
+        assert not L.has_letter(text) and not any(c.isalpha() for c in text)
+    for text in ("12 é", "字", "ª", "1ǅ"):
+        assert L.has_letter(text)
