@@ -89,15 +89,16 @@ def _resolved(spark, sf_dir):
 RESOLVED = "SELECT DISTINCT question_id, unnest([question_id % 10, (question_id * 3 + 1) % 10]) AS doc_id FROM (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 50 = 0)"
 CANDIDATES = f"""SELECT question_id, chunk_id, doc_id, score, named, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY round(score, 9) DESC, chunk_id) AS nth FROM
     (SELECT c.*, n.doc_id IS NOT NULL AS named, row_number() OVER (PARTITION BY c.question_id, n.doc_id IS NOT NULL ORDER BY round(score, 9) DESC, chunk_id) AS among
-     FROM cosine_ranked c LEFT JOIN ({RESOLVED}) n USING (question_id, doc_id)) WHERE rank <= 20 OR (named AND among <= 20)"""
+     FROM cosine_ranked c LEFT JOIN ({RESOLVED}) n USING (question_id, doc_id)) WHERE rank <= 5 OR (named AND among <= 5)"""
 BALANCED = f"""SELECT *, named AND nth = 1 AS reserved, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN named AND nth = 1 THEN 0 ELSE 1 END, CASE WHEN named AND nth = 1 THEN doc_id END NULLS LAST, round(score, 9) DESC, chunk_id) AS rank
     FROM ({CANDIDATES})"""
 
 
 def _balanced(spark, sf_dir):
     asked, vectors, resolved = inputs.vector_questions(spark, sf_dir), inputs.vectors(spark, sf_dir), _resolved(spark, sf_dir)
-    pool = R.cosine_top(asked, vectors, R.POOL).drop("rank")
-    named = R.top(R.named_scores(asked, vectors, resolved), R.POOL).drop("rank").select(pool.columns)
+    # Without a scorer the pools are as large as the result.
+    pool = R.cosine_top(asked, vectors, 5).drop("rank")
+    named = R.top(R.named_scores(asked, vectors, resolved), 5).drop("rank").select(pool.columns)
     return R.named_balanced(pool, named.select(pool.columns), resolved, 5), pool.unionByName(named), resolved
 
 

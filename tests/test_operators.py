@@ -92,7 +92,7 @@ def test_fusion(spark):
 
 def test_names(spark):
     manifest = [{"id": "d1", "title": "Directive 3/2020: Liquidity"}, {"id": "d2", "title": "Directive 3/2021: Liquidity"}, {"id": "i9", "title": "IFRS 9 (2014): Issued text"}]
-    names = retrieval.alias_table(spark, manifest)
+    names = retrieval.alias_table(spark.createDataFrame([(e["id"], e.get("title"), i) for i, e in enumerate(manifest)], "id string, title string, manifest_ord int"))
     questions = spark.createDataFrame([(1, "What does directive 3/2021 need?"), (2, "and 3/2020?"), (3, "the IFRS 9 issued text and D3/2020"), (4, "")], "question_id int, question string")
     assert rows(retrieval.resolve_names(questions, names).select("question_id", "doc_id"), "question_id", "doc_id") == [(1, "d2"), (3, "d1"), (3, "i9")]
 
@@ -245,3 +245,23 @@ def test_small_readers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "items")).count() == 3
     labels = spark.createDataFrame([(1, " good "), (2, "refused"), (3, None), (4, ""), (5, "unparsed")], "id int, label string")
     assert rows(evaluation.clean_labels(labels, "label"), "id") == [(1, "good")]
+
+
+def test_aliases(spark):
+    titles = {
+        "a": "Guidance  note 4 of 2019 (draft): Over-the-counter trades 2018",
+        "b": "IFRS 9 (2014): issued text",
+        "c": None,
+        "d": "Circular D7/2020 and guideline 12/2021: notes",
+    }
+    table = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(titles.items())], "id string, title string, manifest_ord int")
+    got = {i: {r.alias for r in retrieval.alias_table(table).where(F.col("doc_id") == i).collect()} for i in titles}
+    assert got["a"] == {
+        "a", "guidance note 4 of 2019 draft over the counter trades 2018", "guidance note 4 of 2019 draft", "guidance note 4 of 2019 over the counter trades 2018",
+        "guidance note 4 of over the counter trades", "over the counter trades 2018", "over the counter trades", "guidance note 4 of otc trades", "guidance note 4 2019", "g4 2019",
+    }
+    assert {"b", "2014 issued ifrs 9 text", "ifrs 9 2014", "ifrs 9 issued text", "issued text"} <= got["b"] and got["c"] == {"c"}
+    assert {"circular 7 2020", "circular d7 2020", "d7 2020", "guideline 12 2021", "g12 2021"} <= got["d"]
+    # A name of two entries is nobody's.
+    both = table.unionByName(spark.createDataFrame([("e", "Other: issued text", 9)], table.schema))
+    assert retrieval.alias_table(both).where("alias = 'issued text'").count() == 0
