@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, sign_test
+from ..session import written
 from . import citations
 
+#: Rows of a range whose running sums one task forms.
+ROWS_A_RANGE = 100_000
+
 
 def _count(when: Column) -> Column:
     return F.coalesce(F.sum(F.coalesce(when, F.lit(False)).cast("long")), F.lit(0).cast("long"))
@@ -132,11 +139,23 @@ def paired_compare(before: DataFrame, after: DataFrame, key: str, value: str) ->
 
 
 def budget_prefix(items: DataFrame, keys: list[str], order: str, cost: str, cap: float) -> DataFrame:
-    """Items in order up to and with the first whose running cost exceeds the cap."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    total = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return items.withColumn("running", total).withColumn("_before", before).where(F.col("_before") <= cap).drop("_before")
+    """Items in order up to and with the first whose running cost exceeds the cap; costs aren't negative.
+
+    Rows are dealt over ranges of key and order, ranges totalled, and only
+    those that begin within the cap are summed row by row, so a key that holds
+    all rows runs in many tasks. The ranges are written, as each pass reads them.
+    """
+    dealt = written(items.repartitionByRange(1 + items.count() // ROWS_A_RANGE, *keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    total = dealt.groupBy(*keys, "_range").agg(F.sum(cost).alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast(total.schema["_total"].dataType)
+    begun = total.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), F.col("_range").alias("_of"), F.coalesce(F.sum("_total").over(earlier), none).alias("_base")).where(F.col("_base") <= cap)
+    same = (F.col("_range") == F.col("_of")) & reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)), F.lit(True))
+    w = Window.partitionBy(*keys, "_range").orderBy(order)
+    own = dealt.join(begun, same)
+    running = F.col("_base") + F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)), none)
+    before = F.col("_base") + F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), none)
+    return own.withColumn("running", running).withColumn("_before", before).where(F.col("_before") <= cap).select(*items.columns, "running")
 
 
 def hash_sample(items: DataFrame, seed: str, n: int, key: str = "id") -> DataFrame:

@@ -265,3 +265,19 @@ def test_aliases(spark):
     # A name of two entries is nobody's.
     both = table.unionByName(spark.createDataFrame([("e", "Other: issued text", 9)], table.schema))
     assert retrieval.alias_table(both).where("alias = 'issued text'").count() == 0
+
+
+def test_budget_prefix_of_one_hot_key_runs_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "ROWS_A_RANGE", 50)
+    items = spark.range(1000).select(F.lit("hot").alias("key"), F.col("id").alias("n"), (F.col("id") % 7).alias("cost")).unionByName(spark.createDataFrame([(None, 1, 5), (None, 2, 5), ("small", 1, 9000), ("small", 2, 1)], "key string, n long, cost long")).repartition(5)
+    for cap in (0, 400, 1500, 10_000):
+        want = set()
+        for key, rows_ in (("hot", [(i, i % 7) for i in range(1000)]), (None, [(1, 5), (2, 5)]), ("small", [(1, 9000), (2, 1)])):
+            total = 0
+            for n, cost in rows_:
+                if total > cap:
+                    break
+                total += cost
+                want.add((key, n, cost, total))
+        assert {tuple(r) for r in evaluation.budget_prefix(items, ["key"], "n", "cost", cap).collect()} == want, cap
+    assert evaluation.budget_prefix(items.limit(0), ["key"], "n", "cost", 5).count() == 0
