@@ -20,8 +20,12 @@ Defined results: null or empty texts have no spans; ids, repeated rows and
 other columns don't matter.  Of several definitions of a name the last one
 before a use counts, else the first after it.  Texts, names, blanks and values
 have no greatest length: the time is linear, as joined values are shared, not
-copied, and a literal is judged by its length and ``ENDS`` characters at each
-end (a placeholder by its beginning).
+copied, each with counts of all its characters, its beginning and its end, and
+an expression in a skipped comment ends with the comment's line.
+
+Further targets: all of ``a, b = x, y``, arrays (``name[] =``), the first
+argument of a call that is a value, setters (``setName(x)``), ``value`` after
+``name`` or ``key``, and passwords of addresses (``scheme://user:x@host``).
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,7 +67,10 @@ THRESHOLD = 0.6
 _SEPARATOR = re.compile(r"(?<![=!<>:+\-*/])(?::=|=>|=(?![=>])|:(?![:/]))")
 #: Statements that name a value without a separator.
 _DEFINE = re.compile(r"(?m)^[\x20\t]*(?:\#[\x20\t]*define|setenv|ENV|ARG)[\x20\t]+([A-Za-z_][A-Za-z0-9_.\-]*)[\x20\t]+")
-_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*)(?:\s[^<>]*)?>\s*(?:<!\[CDATA\[)?([^<>]*)(?:\]\]>)?\s*</")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*)(?:\s[^<>]*)?>(?:\s*<!\[CDATA\[)?([^<>]*)(?:\]\]>\s*)?</")
+_SETTER = re.compile(r"(?<![A-Za-z0-9])(?:set|with)_?([A-Za-z][A-Za-z0-9_]*)[\x20\t]*\([\x20\t]*")
+_ADDRESS = re.compile(r"""://[^\s:/@"'<>]*:([^\s@/"'<>]+)@""")
+_ARRAY = re.compile(r"\[[0-9]*\]")
 _QUOTED = re.compile(r"""(?s)"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'""")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=\-$@!%^&*~]+")
 _LONG_QUOTES = ('"""', "'''", "`")
@@ -80,10 +88,19 @@ _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 _TYPE_WORDS = frozenset("str string text char varchar nvarchar byte bytes rune int int32 int64 long float double bool boolean any object".split())
 #: Keys that stand for the key that they are under.
 _NEUTRAL = frozenset("value values data default plain raw content text literal current string stringdata".split())
-_PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|-+|_+|change.?me.*|your.*|example.*|placeholder.*|none|null|true|false|todo.*|dummy.*|<.*>|\$\{.*\}|\{\{.*\}\})\Z")
-_PHRASE = re.compile(r"[^\W\d_]{2,}(?:[ \-_][^\W\d_]{2,}){3,}\Z")
-#: A literal's strength is judged by so many characters at each of its ends.
-ENDS = 256
+#: Keys whose value names what a following ``value`` holds.
+_NAMING = frozenset(("name", "key"))
+_PLACEHOLDER = re.compile(r"(?i)(?:change.?me|your|example|placeholder|todo|dummy|(?:none|null|true|false)\Z)")
+_BRACED = (("<", ">"), ("${", "}"), ("{{", "}}"))
+_FILLERS = tuple(map(frozenset, ("xX", "*", ".", "-", "_")))
+_PHRASE_PART = re.compile(r"([^\W\d_]*)((?:[ \-_][^\W\d_]{2,})*)(?:[ \-_]([^\W\d_]?))?\Z")
+#: Padding, which counts as one character, so a key can't hide in it.
+_PADDING = re.compile(r"(?s)(.)\1{3,}")
+#: What placeholders begin with is no longer than this.
+HEAD = 16
+#: Counts are scaled by this where they might lose digits; only shares matter.
+_GREAT = 2.0**50
+
 
 def base_matches(text: str) -> list[tuple[Span, int]]:
     """Matches of the fixed patterns that pass their length rules, and where the secret itself begins."""
@@ -108,14 +125,76 @@ def name_weight(name: str) -> float:
     return max((NAME_WEIGHTS.get(w, 0.0) for w in words + pairs), default=0.0)
 
 
+class Phrase(NamedTuple):
+    """Words and single gaps between them: letters (two for more) before the first gap and after the last, and gaps."""
+
+    lead: int
+    trail: int
+    gaps: int
+
+    @classmethod
+    def of(cls, text: str) -> Phrase | None:
+        """None where the text can't be part of a phrase."""
+        if (found := _PHRASE_PART.match(text)) is None:
+            return None
+        lead, gaps = min(len(found[1]), 2), sum(map(text.count, " -_"))
+        return cls(lead, lead if not gaps else 2 if found[3] is None else len(found[3]), gaps)
+
+    def __add__(self, other: Phrase) -> Phrase | None:
+        middle = min(self.trail + other.lead, 2)
+        if self.gaps and other.gaps and middle < 2:
+            return None
+        return Phrase(self.lead if self.gaps else middle, other.trail if other.gaps else middle, self.gaps + other.gaps)
+
+
+class Stats(NamedTuple):
+    """What a value is judged by; the stats of joined values follow from theirs."""
+
+    counts: dict[str, float]
+    kinds: int
+    head: str
+    tail: str
+    spaced: bool
+    phrase: Phrase | None
+
+    @classmethod
+    def of(cls, counts: Counter, head: str, tail: str, phrase: Phrase | None) -> Stats:
+        kinds = sum(1 << i for i, test in enumerate((str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())) if any(map(test, counts)))
+        return cls(_folded(counts), kinds, head, tail, any(map(str.isspace, counts)), phrase)
+
+    @classmethod
+    def joined(cls, parts: list[Stats]) -> Stats:
+        counts: dict[str, float] = {}
+        phrase: Phrase | None = Phrase(0, 0, 0)
+        for part in parts:
+            for c, n in part.counts.items():
+                counts[c] = counts.get(c, 0.0) + n
+            phrase = phrase + part.phrase if phrase is not None and part.phrase is not None else None
+        if sum(counts.values()) > _GREAT:
+            counts = {c: n / _GREAT for c, n in counts.items()}
+        head = tail = ""
+        kinds, spaced = 0, False
+        for part in parts:
+            head = head if len(head) >= HEAD else (head + part.head)[:HEAD]
+            tail = (tail + part.tail)[-2:]
+            kinds |= part.kinds
+            spaced |= part.spaced
+        return cls(counts, kinds, head, tail, spaced, phrase)
+
+    def placeholder(self) -> bool:
+        if any(self.counts.keys() <= filler for filler in _FILLERS):
+            return True
+        return "\n" not in self.counts and (_PLACEHOLDER.match(self.head) is not None or any(self.head.startswith(a) and self.tail.endswith(b) for a, b in _BRACED))
+
+
 class Value:
     """A literal, or literals and other values joined; joins share what they join."""
 
     __slots__ = ("start", "end", "quoted", "parts", "length", "_text", "_stats")
 
-    def __init__(self, start: int, end: int, quoted: bool, text: str):
+    def __init__(self, start: int, end: int, quoted: bool, text: str, stats: Stats | None = None):
         self.start, self.end, self.quoted, self.parts = start, end, quoted, ()
-        self.length, self._text, self._stats = len(text), text, None
+        self.length, self._text, self._stats = end - start, text, stats
 
     @classmethod
     def joined(cls, parts: list[Value]) -> Value:
@@ -125,37 +204,30 @@ class Value:
         out = cls.__new__(cls)
         out.start = out.end = -1
         out.parts, out.quoted = tuple(parts), any(p.quoted for p in parts)
-        out.length = min(sum(p.length for p in parts), 1 << 30)
-        counts: Counter = Counter()
-        for part in parts:
-            counts.update(part.stats[0])
-        if (total := counts.total()) > 1 << 20:  # only shares matter
-            counts = Counter({c: -(-n * (1 << 19) // total) for c, n in counts.items()})
-        out._stats = counts, "".join(p.stats[1] for p in parts[:ENDS])[:ENDS], any(p.stats[2] for p in parts)
+        out.length = min(sum(p.length for p in parts), 1 << 30)  # lengths over 40 are judged alike
+        out._text, out._stats = "", Stats.joined([p.stats for p in parts])
         return out
 
     @property
-    def stats(self) -> tuple[Counter, str, bool]:
-        """Counts of characters, the beginning, and whether there is white space."""
+    def stats(self) -> Stats:
         if self._stats is None:
             text = self._text
-            ends = text if len(text) <= 2 * ENDS else text[:ENDS] + text[-ENDS:]
-            self._stats = _folded(Counter(ends)), ends[:ENDS], any(map(str.isspace, text))
+            self._stats = Stats.of(Counter(_PADDING.sub(r"\1", text)), text[:HEAD], text[-2:], Phrase.of(text))
         return self._stats
 
     def strength(self, phrase: bool = False) -> float:
         """0 to 1: how much this looks like generated key material or, for names that may hold one, a phrase."""
         if self.length < (8 if self.quoted else 12):
             return 0.0
-        counts, head, spaced = self.stats
-        if phrase and self.quoted and self.length <= ENDS and _PHRASE.match(head):
+        stats = self.stats
+        if phrase and self.quoted and stats.phrase is not None and stats.phrase.gaps >= 3 and stats.phrase.lead == stats.phrase.trail == 2:
             return 1.0
-        if spaced or _PLACEHOLDER.match(head):
+        if stats.spaced or stats.placeholder():
             return 0.0
-        total = counts.total()
-        entropy = -sum(n / total * math.log2(n / total) for n in counts.values())
-        kinds = sum(any(map(test, counts)) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-        if kinds < 2 or not any(map(str.isdigit, counts)) or entropy < 2.5:
+        total = sum(stats.counts.values())
+        entropy = -sum(n / total * math.log2(n / total) for n in stats.counts.values() if n)
+        kinds = stats.kinds.bit_count()
+        if kinds < 2 or not stats.kinds & 4 or entropy < 2.5:
             return 0.0
         return min(1.0, 0.25 * (kinds - 1) + entropy / 5 + min(self.length, 40) / 100)
 
@@ -171,13 +243,12 @@ class Value:
                     yield value.start, value.end
 
 
-def _folded(counts: Counter) -> Counter:
+def _folded(counts: Counter) -> dict[str, float]:
     """Characters above Latin-1 as 64 of them, so joins cost the same whatever they join."""
-    if len(counts) <= 128:
-        return counts
-    out: Counter = Counter()
+    out: dict[str, float] = {}
     for c, n in counts.items():
-        out[c if c < "Ā" else chr(0x400 + ord(c) % 64)] += n
+        own = c if c < "Ā" else chr(0x400 + ord(c) % 64)
+        out[own] = out.get(own, 0.0) + n
     return out
 
 
@@ -193,6 +264,8 @@ def _before_blanks(text: str, at: int, low: int) -> int:
 
 def _name_before(text: str, at: int, low: int) -> tuple[str, int] | None:
     """The name that ends at ``at``, but for a quote and a bracket, and its start."""
+    if at > low and text[at - 1] == "]" and (opened := text.rfind("[", max(low, at - 12), at)) > low and _ARRAY.fullmatch(text, opened, at):
+        at = opened
     for _ in range(2):
         if at > low and text[at - 1] in "\"']":
             at -= 1
@@ -204,6 +277,25 @@ def _name_before(text: str, at: int, low: int) -> tuple[str, int] | None:
     return (text[at:end], at) if at < end else None
 
 
+def _names_before(text: str, at: int, low: int) -> list[str]:
+    """Names that commas separate from the one that begins at ``at``, in order."""
+    names: list[str] = []
+    while True:
+        at = _before_blanks(text, at, low)
+        if at <= low or text[at - 1] != ",":
+            return names[::-1]
+        at = _before_blanks(text, at - 1, low)
+        if at <= low or text[at - 1] not in _NAME_CHARS or (found := _name_before(text, at, low)) is None:
+            return names[::-1]
+        names.append(found[0])
+        at = found[1]
+
+
+def _stripped(text: str, start: int, end: int) -> tuple[int, int]:
+    own = text[start:end]
+    return (start + len(own) - len(own.lstrip()), end - len(own) + len(own.rstrip())) if own.strip() else (start, start)
+
+
 def _is_type(text: str) -> bool:
     """One type, or several joined by | or &, with marks and bracketed arguments."""
     flat, depth = [], 0
@@ -258,7 +350,10 @@ class Lexer:
     def __init__(self, text: str):
         self.text = text
         self.inside: list[int] = []  # ends of the literals that enclose the place
-        self.bare_end = 0
+        self.bare = (0, 0)  # the last run of bare characters
+        self.counted = (0, 0)  # the last one with separators, and what is in it
+        self.counts: Counter = Counter()
+        self.skipped = self.line_end = 0  # up to where comments were skipped, and the line end there
         self.statements: list[tuple[list[str], float, bool, list]] = []
         self.keys: list[tuple[int, str]] = []  # keys of the lines that enclose this one, by indentation
         self.last_name = ""
@@ -268,27 +363,46 @@ class Lexer:
         if "=" in text or ":" in text:
             self._separators()
         if "define" in text or "setenv" in text or "ENV" in text or "ARG" in text:
+            self.skipped = self.line_end = 0
             for found in _DEFINE.finditer(text):
                 self.inside.clear()
-                self._note([found[1]], "", self._terms(found.end(), len(text)))
+                self._note([found[1]], "", self._terms(found.end(), self._limit(found.end(), len(text))))
         if "</" in text:
             for found in _ELEMENT.finditer(text):
-                start, end = found.span(2)
-                end -= len(found[2]) - len(found[2].rstrip())
-                if start < end:
-                    self._note([found[1]], "", [Value(start, end, True, text[start:end])])
+                self._literal_of([found[1]], *_stripped(text, *found.span(2)))
+        if "set" in text or "with" in text:
+            for found in _SETTER.finditer(text):
+                if (term := self._literal(found.end(), len(text))) is not None:
+                    self._literal_of([found[1]], *term[:2])
+        if "://" in text:
+            for found in _ADDRESS.finditer(text):
+                self._literal_of(["password"], *found.span(1))
         return self.statements
 
+    def _literal_of(self, names: list[str], start: int, end: int) -> None:
+        if start < end:
+            self._note(names, "", [Value(start, end, True, self.text[start:end])])
+
+    def _limit(self, at: int, limit: int) -> int:
+        """Where an expression at ``at`` must end: in comments that were skipped, with the line."""
+        if at >= self.skipped:
+            return limit
+        if at > self.line_end:
+            end = self.text.find("\n", at)
+            self.line_end = end if end >= 0 else len(self.text)
+        return min(limit, self.line_end)
+
     def _separators(self) -> None:
         text = self.text
         colon: tuple[str, int] | None = None
         low = 0
         seen: set[str] = set()
+        naming = ""  # what the statement before this one names
         for separator in _SEPARATOR.finditer(text):
             last, low = low, separator.end()
             while self.inside and self.inside[-1] <= separator.start():
                 self.inside.pop()
-            limit = self.inside[-1] if self.inside else len(text)
+            limit = self._limit(low, self.inside[-1] if self.inside else len(text))
             typed, colon = colon, None
             stop = _before_blanks(text, separator.start(), last)
             target = _name_before(text, stop, last)
@@ -305,9 +419,36 @@ class Lexer:
                 if name and (sure or name not in seen):
                     names.append(name)
             self.last_name = names[0] if names else ""
+            named, naming = naming, ""
             if names and (terms := self._terms(separator.end(), limit)):
                 seen.update(names)
-                self._note(names, under, terms)
+                key = names[0].lower()
+                self._note(names, named if named and key == "value" else under, terms)
+                if target and separator[0] in ("=", ":="):
+                    self._others(_names_before(text, target[1], last), names[:1], terms, limit)
+                if key in _NAMING and len(terms) == 1:
+                    naming = terms[0][0] if isinstance(terms[0], tuple) else text[terms[0].start : terms[0].end]
+
+    def _others(self, names: list[str], name: list[str], terms: list, limit: int) -> None:
+        """Pairs of ``a, b = x, y``, if there are as many values as names."""
+        if not names:
+            return
+        values = [terms]
+        text = self.text
+        outer = len(self.inside) - sum(isinstance(t, Value) and t.quoted for t in terms)
+        while len(values) <= len(names):
+            at = _BLANKS.match(text, self.expression_end, limit).end()
+            if text[at : at + 1] != "," or at >= limit:
+                break
+            values.append(self._terms(at + 1, limit))
+        self.inside[outer:] = sorted(self.inside[outer:], reverse=True)
+        if len(values) != len(names) + 1:
+            return
+        at = _BLANKS.match(text, self.expression_end, limit).end()
+        if at >= limit or text[at] in "\r\n;#/":
+            for own, value in zip(names + name, values, strict=True):
+                if value:
+                    self._note([own], "", value)
 
     def _under(self, name: str, start: int, last: int) -> str:
         """The key that this one is under, by indentation or as the first in its braces."""
@@ -335,20 +476,24 @@ class Lexer:
     def _terms(self, at: int, limit: int) -> list:
         """The literals and words of the expression at ``at``."""
         text = self.text
+        self.expression_end = at
         if text[at - 1 : at] == ":" and (block := _BLOCK.match(text, at, limit)) is not None:
             return self._block(at, block.end(), limit)
         out: list = []
-        self._expression(at, limit, out)
+        self.expression_end = self._expression(at, limit, out)
         # The nearest end comes off the list first.
         self.inside += [t.end for t in reversed(out) if isinstance(t, Value) and t.quoted]
         return out
 
-    def _expression(self, at: int, limit: int, out: list) -> None:
+    def _expression(self, at: int, limit: int, out: list) -> int:
+        """Adds the terms; where they end."""
         text = self.text
         depth = 0
         quoted = joined = False
         while True:
             at = (_BLANKS_LINES if depth else _BLANKS).match(text, at, limit).end()
+            if depth:
+                self.skipped = max(self.skipped, at)
             c = text[at : at + 1] if at < limit else ""
             if c == "(" and not (out and not joined):
                 depth += 1
@@ -365,7 +510,7 @@ class Lexer:
                     at, joined = join.end(), True
                     continue
                 if not (quoted and c and c in "\"'`"):
-                    return
+                    return at
             term = self._literal(at, limit)
             if term is not None:
                 start, end, after = term
@@ -377,19 +522,37 @@ class Lexer:
                 at, quoted, joined = variable.end(), True, False
                 continue
             # A run that began earlier ends where that one did.
-            end = self.bare_end if at < self.bare_end <= limit else bare.end() if (bare := _BARE.match(text, at, limit)) else at
+            end = self.bare[1] if self.bare[0] <= at < self.bare[1] <= limit else bare.end() if (bare := _BARE.match(text, at, limit)) else at
             if end == at:
-                return
-            self.bare_end = end
+                return at
+            if text[end : end + 1] == "(" and end < limit and _REFERENCE.match(word := text[at:end]) and not word.startswith("$"):
+                at = end  # a call: of its arguments the first
+                joined = True
+                continue
+            if not self.bare[0] <= at < self.bare[1]:
+                self.bare = at, end
             out += self._words(at, end)
             at, quoted, joined = end, False, False
 
     def _words(self, start: int, end: int) -> list:
-        text = self.text[start:end] if end - start <= 2 * ENDS else ""
-        if "+" in text and all(map(_REFERENCE.match, text.split("+"))):
-            return [(name.lstrip("$"), None) for name in text.split("+")]
-        literal = Value(start, end, False, self.text[start:end] if text else self.text[start : start + ENDS] + self.text[end - ENDS : end])
-        return [(text.lstrip("$"), literal)] if _REFERENCE.match(text) else [literal]
+        text = self.text
+        if "=" in text[start : start + 1] or text.find("=", start, end) >= 0:
+            return [Value(start, end, False, "", self._bare_stats(start, end))]
+        own = text[start:end]
+        if "+" in own and all(map(_REFERENCE.match, own.split("+"))):
+            return [(name.lstrip("$"), None) for name in own.split("+")]
+        literal = Value(start, end, False, own)
+        return [(own.lstrip("$"), literal)] if _REFERENCE.match(own) else [literal]
+
+    def _bare_stats(self, start: int, end: int) -> Stats:
+        """Stats of a run with separators: runs that end alike are counted once and shortened."""
+        text = self.text
+        if end == self.counted[1] and self.counted[0] <= start:
+            self.counts = self.counts - Counter(text[self.counted[0] : start])
+        else:
+            self.counts = Counter(text[start:end])
+        self.counted = start, end
+        return Stats.of(self.counts, text[start : min(end, start + HEAD)], text[max(start, end - 2) : end], None)
 
     def _literal(self, at: int, limit: int) -> tuple[int, int, int] | None:
         """Start and end of the quoted literal here, and where it is over."""
@@ -477,10 +640,17 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     return base, sorted(base + extra, key=_order) if extra else base
 
 
+def _quote_end(text: str, begin: int, end: int) -> int:
+    """The end of the literal that begins with a secret, else the secret's."""
+    if begin and text[begin - 1] in "\"'" and (found := _QUOTED.match(text, begin - 1)) is not None:
+        return max(end, found.end() - 1)
+    return end
+
+
 def redact(text: str, mask: str = "[SECRET]") -> str:
     """The text with every secret (overlapping ones as one) replaced; names and quotes around it stay."""
     base = base_matches(text)
-    spans = [(begin, span[2]) for span, begin in base] + [span[1:] for span in _extra(text, [span for span, _ in base])]
+    spans = [(begin, _quote_end(text, begin, span[2])) for span, begin in base] + [span[1:] for span in _extra(text, [span for span, _ in base])]
     out, done, end = [], 0, 0
     for a, b in sorted(spans):
         if a >= end:

@@ -93,6 +93,49 @@ def test_forms_of_assignment():
         assert found(clean) == [], clean
 
 
+def test_further_targets():
+    v = "k9#Lm2!pQz7Wd4s"
+    for text in (
+        f'char pw_token[] = "{v}";', f'char pw_token[64] = "{v}";', f'a, passphrase = "u", "{v}"', f'passphrase, a = "{v}", "u"', f'passphrase = wrap("{v}")', f'passphrase = a.b(c("{v}"))', f'x.setPassphrase("{v}")', f'set_passphrase("{v}")',
+        f'<property name="passphrase" value="{v}"/>', f'{{"name": "DB_PWD", "value": "{v}"}}', f"- name: DB_PWD\n  value: '{v}'",
+    ):
+        assert found(text) == [v], text
+    assert found("DATABASE_URL=postgres://user:k9Lm2pQz7Wd4s@host/db") == ["k9Lm2pQz7Wd4s"]
+    for clean in (f'passphrase, a = "u", "{v}"', f'f(passphrase, a, b="{v}")', f'<property name="title" value="{v}"/>', "http://host:8080/a@b", 'token = re.compile("[a-z]+")', f'x.setTitle("{v}")', f'a[0], b = "{v}", 1'):
+        assert found(clean) == [], clean
+
+
+def test_no_size_changes_what_is_found():
+    for n in (4, 40, 400):
+        words = " ".join(["correct horse battery staple"] * n)
+        assert found(f'wallet_passphrase = "{words}"') == [words]
+        assert found(f'wallet_passphrase = "{words}" + " and more"') == [words, " and more"]
+        assert found(f'passphrase = "{"x" * n}k9#Lm2!pQz7Wd4sTz8"') == [f"{'x' * n}k9#Lm2!pQz7Wd4sTz8"]
+        assert found(f'passphrase = "{"x" * n}"') == []
+        name = "k" * n * 10
+        assert found(f'{name} = "k9#Lm2!pQz7"\nauthPassword = {name}') == ["k9#Lm2!pQz7"]
+    assert found('passphrase = "correct horse" + "  battery staple now"') == [] == found('passphrase = "correct horse a" + " battery staple"')
+
+
+def test_a_literal_is_masked_to_its_quote():
+    assert redact('password = "qwertyuiopasdf!"') == 'password = "[SECRET]"'
+    assert redact("password = 'qwertyuiopasdf! x' y") == "password = '[SECRET]' y"
+    assert redact('password = "qwertyuiopasdf! x\n y') == 'password = "[SECRET]! x\n y'
+
+
+def test_time_of_elements_comments_and_runs():
+    def seconds(text):
+        began = time.process_time()
+        all_spans(text)
+        return time.process_time() - began
+
+    for own in (lambda n: "<a>" + " " * 10 * n + "x</b>", lambda n: "<a>" + " " * 10 * n + "x", lambda n: "# a = (\n" * n, lambda n: "// a: (\n" * n + '"x"', lambda n: "#define A (\n" * n, lambda n: "setA(" * n, lambda n: "a=b(" * n,
+                lambda n: "a, " * n + "b = x", lambda n: "a, b = " * n, lambda n: "password=a9" * n, lambda n: "x = 'a, b = \"u\", \"v\"' + " * n, lambda n: "://a:b" * n, lambda n: "name = x value = " * n, lambda n: "a] = " * n):
+        # Four times the text: a quadratic rule would take sixteen times as long.
+        assert seconds(own(16_000)) < 8 * seconds(own(4_000)) + 0.5, own(2)
+    assert seconds("<a>" + " " * 100_000 + "x</b>") < 1 and seconds("# a = (\n" * 100_000) < 12
+
+
 def test_time_is_linear():
     began = time.process_time()
     text = '\n'.join(f'password = password + "a1b2C3d4{i}"' for i in range(30_000))
