@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 import unicodedata
 
 import pandas as pd
@@ -36,6 +37,8 @@ REFUSAL = "I don't have a source for that."
 NAMED_INSTRUMENT = r"(?i)(directive|guidance note|guideline|circular|conduct standard)\s+\d|\b[a-z]\d{1,2}/20\d\d\b|\b\d{1,3}/20\d\d\b|\bper the\b"
 
 SPACE = r"[\x09-\x0D ]+"
+#: White space of Unicode, a class that Java's and RE2's patterns both take.
+BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def strip(text: Column) -> Column:
@@ -43,6 +46,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
 
 
+def phrase_pattern(phrase: str) -> str:
+    """A pattern of the phrase in any case, literally but for its spaces, each of which is any white space."""
+    literal = (re.sub(r"([^\w])", r"\\\1", part, flags=re.ASCII) if part.isascii() else "".join(c if c.isalnum() else f"\\x{{{ord(c):X}}}" for c in part) for part in phrase.split(" "))
+    return f"{BLANK}+".join(literal)
+
+
 def normal_question(text: Column) -> Column:
     """Lower case, runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(text), SPACE, " "))

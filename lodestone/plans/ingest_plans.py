@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as T
-from ..operators import chunking, indexing, ingest
+from ..operators import chunking, indexing, ingest, search
 from ..session import run_folder, table
 from ..sources import index
+from ..sources import pages as page_files
 from . import inputs
 from .registry import query
 
@@ -203,6 +204,29 @@ def corpus_grep(spark, sf_dir):
     return found.select("doc_id", "page", snippet.alias("snippet")).orderBy("doc_id", "page").limit(30)
 
 
+#: Metacharacters, a space over a line end, any case, letters beyond ASCII, a phrase that is nowhere.
+PHRASES = ["the OF", "de la", "Licensed under the", "(c)", "für", "a.b*c", "no such phrase"]
+ORDER = "CAST(doc_id % 97 * 100000000 + doc_id AS BIGINT)"
+
+
+def _first_hits_sql() -> str:
+    one = r"""SELECT doc_id, page, '{phrase}' AS phrase, trim(regexp_replace(substr(t, greatest(b - 80, 0) + 1, least(b, 80) + h + 80), '{blank}+', ' ', 'g')) AS snippet FROM
+        (SELECT doc_id, page, t, length(regexp_extract(t, '(?s)\A(.*?)((?i:{pattern}))', 1)) AS b, length(regexp_extract(t, '(?i){pattern}')) AS h FROM cut WHERE regexp_matches(t, '(?i){pattern}') ORDER BY manifest_ord, page LIMIT 30)"""
+    return f"""WITH cut AS (SELECT doc_id, {ORDER} AS manifest_ord, CAST(i + 1 AS INT) AS page, array_to_string(w[i * 5 + 1 : i * 5 + 5], chr(10)) AS t FROM
+        (SELECT doc_id, w, unnest(generate_series(0, CAST(floor((len(w) - 1) / 5) AS INT))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents)))
+        """ + " UNION ALL ".join(f"SELECT * FROM ({one.format(phrase=p, pattern=T.phrase_pattern(p), blank=T.BLANK)})" for p in PHRASES)
+
+
+@query(_first_hits_sql())
+def phrase_search(spark, sf_dir):
+    """Several phrases over whole documents in pages of five lines, in an order that isn't that of ids."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.expr(ORDER).alias("manifest_ord"), F.split("text", "\n").alias("w"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 5).cast("int"))
+    cut = lines.where("w IS NOT NULL").select("manifest_ord", "doc_id", F.posexplode(F.transform(numbers, lambda i: F.array_join(F.slice("w", i * 5 + 1, 5), "\n"))).alias("n", "text"))
+    pages = page_files.write_pages(cut.select("manifest_ord", "doc_id", (F.col("n") + 1).alias("page"), "text"), run_folder(spark, "pages"))
+    return search.first_hits(pages, PHRASES).drop("manifest_ord")
+
+
 @query("""SELECT h AS chunk_hash, CASE WHEN NOT bool_or(old) THEN 'add' WHEN NOT bool_or(new) THEN 'delete' ELSE 'keep' END AS action FROM
     (SELECT sha256(text) AS h, true AS new, false AS old FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT sha256(text), false, true FROM documents WHERE doc_id % 4 > 0) GROUP BY h""")
 def index_diff(spark, sf_dir):

@@ -28,6 +28,13 @@ def write(uri: str, content: bytes) -> None:
     store.move(hidden, path)
 
 
+def content(uri: str) -> bytes:
+    """A whole file."""
+    store, path = _store(uri)
+    with store.open_input_stream(path, compression=None) as file:
+        return file.read()
+
+
 def lines(folder: str) -> Iterator[str]:
     """The lines of a folder's files, in any order; none where there is no folder."""
     store, path = _store(folder)
