@@ -18,9 +18,9 @@ DOT_LEADER = r"\.{4,}\s*\d{1,4}\s*$"
 ENDS_IN_HYPHEN = r"[\p{L}\p{N}_]-$"
 SENTENCE_GAP = r"(?<=[.!?])\s+"
 TERM = r"[a-z0-9]+(?:[/.][a-z0-9]+)*"
-CITATION = r"\[[\w\-\.]+,\s*p\.\d+(?:-\d+)?(?:,[^\]]*)?\]"
-CITATION_PARTS = r"\[([\w\-\.]+),\s*p\.(\d+)(?:-(\d+))?(?:,[^\]]*)?\]"
-ENDS_IN_CITATION = r"(?:\[[\w\-\.]+,\s*p\.\d+(?:-\d+)?(?:,[^\]]*)?\]\s*)+$"
+CITATION = r"\[[\p{L}\p{N}_\-\.]+,\s*p\.\d+(?:-\d+)?(?:,[^\]]*)?\]"
+CITATION_PARTS = r"\[([\p{L}\p{N}_\-\.]+),\s*p\.(\d+)(?:-(\d+))?(?:,[^\]]*)?\]"
+ENDS_IN_CITATION = r"(?:\[[\p{L}\p{N}_\-\.]+,\s*p\.\d+(?:-\d+)?(?:,[^\]]*)?\]\s*)+$"
 CITATION_SHAPED = r"(?i)[\[(][^\])\n]{0,160}?p+[\s.]{0,3}\d"
 SECTION_NUMBER = r"(?i)^\s*(?:section\s+|regulation\s+|reg\.\s*|paragraph\s+|para\.?\s*)?(\d{1,3}[A-Z]?(?:\.\d{1,3}){0,3})\b"
 INJECTION = (
@@ -53,8 +53,8 @@ def phrase_pattern(phrase: str) -> str:
 
 
 def normal_question(text: Column) -> Column:
-    """Lower case, runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), SPACE, " "))
+    """Lower case, runs of white space (Unicode's) as one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(text), f"{BLANK}+", " "))
 
 
 def question_key(fingerprint: Column, question: Column) -> Column:

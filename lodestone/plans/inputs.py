@@ -30,7 +30,7 @@ ANSWERS = """SELECT doc_id AS answer_id, CASE doc_id % 9
     WHEN 5 THEN concat(t, ' [d', doc_id, ', p.1-4]')
     WHEN 6 THEN concat('  ', t, ' [d', doc_id, ', p.1-2]', {nl}, {nl}, 'B ', t, ' [d', doc_id, ', p.2] [d', doc_id, ',p.3, 3.1] ')
     WHEN 7 THEN concat(t, ' [d', doc_id, ', p.2-1]')
-    ELSE concat(t, ' [d', doc_id, ', p.3]') END AS answer
+    ELSE concat(t, CASE WHEN doc_id % 4 = 1 THEN ' [loi-é, p.1]' ELSE '' END, ' [d', doc_id, ', p.3]') END AS answer
     FROM (SELECT doc_id, {words} AS t FROM documents)"""
 CONTEXTS = """SELECT doc_id AS answer_id, r AS rank, concat('c', doc_id, '-', r) AS chunk_id, concat('d', doc_id) AS doc_id, CAST(r AS INT) AS page_start,
     CAST(r + 1 AS INT) AS page_end, CASE WHEN r = 2 THEN CAST(NULL AS {string}) WHEN doc_id % 3 = 0 THEN concat('Section ', doc_id % 40 + 1, 'A. Scope') WHEN doc_id % 3 = 1 THEN '8.1.2 Terms' ELSE '2023 Notes' END AS section,
@@ -65,8 +65,8 @@ SQL = {
     "items": ITEMS,
     "log": LOG.format(epoch="epoch(ts)"),
     # Pages of citations, one row each: array positions by unnesting both.
-    "tokens": r"SELECT answer_id, generate_subscripts(t, 1) AS k, unnest(t) AS token FROM (SELECT answer_id, regexp_extract_all(answer, '\[[\w\-\.]+,\s*p\.\d+(?:-\d+)?(?:,[^\]]*)?\]') AS t FROM answers)",
-    "spans": r"SELECT answer_id, k, regexp_extract(token, '\[([\w\-\.]+),', 1) AS doc_id, a, CASE WHEN regexp_matches(token, 'p\.\d+-\d') THEN TRY_CAST(regexp_extract(token, 'p\.\d+-(\d+)', 1) AS INT) ELSE a END AS b FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(token, 'p\.(\d+)', 1) AS INT), 2147483647) AS a FROM tokens)",
+    "tokens": r"SELECT answer_id, generate_subscripts(t, 1) AS k, unnest(t) AS token FROM (SELECT answer_id, regexp_extract_all(answer, '\[[\p{L}\p{N}_\-\.]+,\s*p\.\d+(?:-\d+)?(?:,[^\]]*)?\]') AS t FROM answers)",
+    "spans": r"SELECT answer_id, k, regexp_extract(token, '\[([\p{L}\p{N}_\-\.]+),', 1) AS doc_id, a, CASE WHEN regexp_matches(token, 'p\.\d+-\d') THEN TRY_CAST(regexp_extract(token, 'p\.\d+-(\d+)', 1) AS INT) ELSE a END AS b FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(token, 'p\.(\d+)', 1) AS INT), 2147483647) AS a FROM tokens)",
     "cites": "SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY k, page) AS cite_no, doc_id, page FROM (SELECT answer_id, k, doc_id, CAST(unnest(generate_series(a, b)) AS INT) AS page FROM spans WHERE b >= a)",
     "verified": """SELECT c.*, EXISTS (SELECT 1 FROM contexts x WHERE x.answer_id = c.answer_id AND x.doc_id = c.doc_id AND c.page BETWEEN x.page_start AND x.page_end) AS verified,
         (SELECT x.section FROM contexts x WHERE x.answer_id = c.answer_id AND x.doc_id = c.doc_id AND c.page BETWEEN x.page_start AND x.page_end ORDER BY x.page_start, x.chunk_id LIMIT 1) AS section FROM cites c""",

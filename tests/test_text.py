@@ -49,11 +49,16 @@ def test_terms_keep_identifiers(spark):
 
 def test_quotes_and_keys(spark):
     assert one(spark, T.normal_quote(F.col("t")), t="ﬁnan-\n cial 10%  Ⅳ!") == "financial 10% iv"
-    assert one(spark, T.normal_question(F.col("t")), t=" \tWhat  Is\nIt ") == "what is it"
+    assert one(spark, T.normal_question(F.col("t")), t="\u00a0 \tWhat  Is\u2003\u00a0\nIt\u3000 ") == "what is it"
     assert one(spark, T.keyed_digest(F.col("t"), ""), t="q") is None
     assert len(one(spark, T.keyed_digest(F.col("t"), "k"), t="q")) == 64
 
 
+def test_citations_of_any_letters(spark):
+    got = one(spark, T.citations(F.col("t")), t="A [loi-é, p.1] b [指令_2.1, p.2-3] c [a b, p.4]")
+    assert [(c.doc_id, c.first, c.last) for c in got] == [("loi-é", 1, 1), ("指令_2.1", 2, 3)]
+
+
 def test_hash_ignores_missing_section(spark):
     frame = spark.createDataFrame([("d", 1, 2, None, "t"), ("d", 1, 2, "", "t"), ("d", 1, 3, None, "t")], "d string, a int, b int, s string, t string")
     got = [r.x for r in frame.select(T.chunk_hash(*(F.col(c) for c in "dabst")).alias("x")).collect()]
