@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import question_key
 from ..operators import usage
-from ..session import table
+from ..session import run_folder, table
+from ..sources import cache as cache_tables
+from ..sources import log as log_table
 from . import inputs
 from .registry import query
 
@@ -66,6 +68,18 @@ def log_project(spark, sf_dir):
     return usage.log_rows(rows, content=True).select(*names)
 
 
+@query(f"""SELECT n AS id, timestamp, refused, latency_ms, CASE WHEN NOT {HELD} THEN answer END AS answer, CASE WHEN {HELD} THEN 0 ELSE content_logged END AS content_logged
+    FROM (SELECT *, row_number() OVER (ORDER BY id % 3, timestamp, id) AS n FROM log) WHERE timestamp >= {NOW} - 7 * 86400""")
+def log_appended(spark, sf_dir):
+    """The log in three batches, each tried twice, then past its retention and scrubbed."""
+    rows, folder = inputs.log(spark, sf_dir), run_folder(spark, "log")
+    for batch in (0, 0, 1, 1, 2, 2, 0):
+        log_table.append(rows.where(F.col("id") % 3 == batch), folder, "query", batch)
+    log_table.purge_expired(spark, folder, _now(spark, sf_dir), 7)
+    log_table.scrub_content(spark, folder)
+    return log_table.read_log(spark, folder).select("id", "timestamp", "refused", "latency_ms", "answer", "content_logged")
+
+
 ENTRIES = "SELECT concat(question, '/', answer) AS question_hash, id, timestamp AS created_at, timestamp + 86400e0 * (id % 9) AS expires_at FROM log WHERE answer IS NOT NULL"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.usage import log_rows
+from ..sources import log as log_table
 
 
 def append_log(results: DataFrame, folder: str, checkpoint: str, **privacy) -> StreamingQuery:
@@ -18,6 +19,19 @@ def append_log(results: DataFrame, folder: str, checkpoint: str, **privacy) -> S
     return log_rows(results, **privacy).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_once(results: DataFrame, folder: str, checkpoint: str, writer: str, **privacy) -> StreamingQuery:
+    """Results into the log table of ``sources.log``, as batches of this writer.
+
+    A micro-batch that is run again after a failure has its old number, which
+    the table's record knows, so its rows are there once and keep their ids.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        log_table.append(log_rows(batch, **privacy), folder, writer, number)
+
+    return results.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def over_limit(requests: DataFrame, client: str, at: str, per_minute: int = 10, late: str = "2 minutes") -> DataFrame:
     """Clients over their limit, a row a client and minute once it is closed."""
     counted = requests.withWatermark(at, late).groupBy(F.window(at, "1 minute"), client).agg(F.count(F.lit(1)).alias("n"))
