@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions.stats import ratio, sign_test
 from ..session import written
 from . import citations
@@ -103,6 +104,33 @@ def retrieval_table(results: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def run_results(ranked: DataFrame, relevant: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """What ``retrieval_table`` takes, of a run's best k: question_id, type, any_hit, all_hit, reciprocal.
+
+    ``ranked`` is (question_id, chunk_id, rank), ``relevant`` (question_id,
+    chunk_id). A question with several relevant chunks is of type multi, one
+    with none unanswerable.
+    """
+    wanted = relevant.distinct()
+    found = wanted.join(ranked.where(F.col("rank") <= k), ["question_id", "chunk_id"], "left").groupBy("question_id")
+    found = found.agg(F.count(F.lit(1)).alias("_wanted"), F.count("rank").alias("_found"), F.min("rank").alias("_first"))
+    n = F.coalesce("_wanted", F.lit(0))
+    return questions.join(found, "question_id", "left").select(
+        "question_id",
+        F.when(n == 0, "unanswerable").when(n == 1, "single").otherwise("multi").alias("type"),
+        F.coalesce(F.col("_found") > 0, F.lit(False)).alias("any_hit"),
+        (F.coalesce(F.col("_found") == F.col("_wanted"), F.lit(False))).alias("all_hit"),
+        F.coalesce(1.0 / F.col("_first"), F.lit(0.0)).alias("reciprocal"),
+    )
+
+
+def median_latency(results: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:
+    """(keys, p50_ms): the median of each configuration's latencies, the mean of two middle ones, to a whole number."""
+    places = {"_low": F.expr("(_n - 1) div 2"), "_high": F.expr("_n div 2")}
+    found = stats.at_places(results.where("type <> 'unanswerable'"), keys, value, places)
+    return found.select(*keys, F.bround((F.col("_low") + F.col("_high")) / 2).cast("long").alias("p50_ms"))
+
+
 def judge_summary(labels: DataFrame) -> DataFrame:
     """One row of label counts: ``type, correctness, support``."""
     answerable = F.col("type") != "unanswerable"

@@ -8,7 +8,7 @@ from ..functions import stats
 from ..functions.text import NAMED_INSTRUMENT
 from ..operators import evaluation as E
 from ..operators import usage
-from ..session import table
+from ..session import table, written
 from . import inputs, retrieval_plans
 from .registry import query
 
@@ -101,6 +101,23 @@ def retrieval_bench(spark, sf_dir):
     return E.retrieval_table(results, ["config", "strategy", "rerank"])
 
 
+BENCH = """SELECT k, question_id, CASE WHEN count(chunk_id) = 0 THEN 'unanswerable' WHEN count(chunk_id) = 1 THEN 'single' ELSE 'multi' END AS type, count(chunk_id) AS wanted,
+    count(rank) FILTER (rank <= k) AS found, min(rank) FILTER (rank <= k) AS first FROM (SELECT 5 AS k UNION ALL SELECT 20) CROSS JOIN (SELECT item_id AS question_id FROM benchmark)
+    LEFT JOIN ({holds}) USING (question_id) LEFT JOIN (SELECT question_id, chunk_id, rank FROM bm25_ranked WHERE rank <= 20) USING (question_id, chunk_id) GROUP BY ALL"""
+
+
+@query(f"""SELECT k, count(*) AS n, count(*) FILTER (found > 0) AS any_hit, count(*) FILTER (found = wanted) AS all_hit, count(*) FILTER (found = wanted AND type = 'multi') AS multi_all_hit, count(*) FILTER (type = 'multi') AS multi_n,
+    round_even(avg(coalesce(1e0 / first, 0)), 3) AS mrr FROM ({BENCH.format(holds=HOLDS)}) WHERE type <> 'unanswerable' GROUP BY k""")
+def bench_run(spark, sf_dir):
+    """The figures of a real run over the tables: BM25's best five and twenty, relevant is what holds the question."""
+    from ..operators import retrieval as R
+
+    ranked = written(R.top(retrieval_plans._bm25(spark, sf_dir), 20).select("question_id", "chunk_id", "rank"), "ranked")
+    relevant = written(_relevant(spark, sf_dir), "relevant")
+    runs = [E.run_results(ranked, relevant, inputs.questions(spark, sf_dir), k).withColumn("k", F.lit(k)) for k in (5, 20)]
+    return E.retrieval_table(runs[0].unionByName(runs[1]), ["k"])
+
+
 #: Two judges' labels of the same texts: the second one judged some others, too.
 JUDGES = ("SELECT doc_id, quality AS label FROM labels", "SELECT doc_id, CASE WHEN length(text) % 3 = 0 THEN 1 ELSE 0 END AS label FROM documents")
 

@@ -145,6 +145,19 @@ def chunks_pack(spark, sf_dir):
     return chunking.pack_chunks(elements(spark, sf_dir))
 
 
+def _two_counts() -> chunking.Packer:
+    import public_tokenizers
+
+    model = chunking.FileTokenizer(public_tokenizers.path("byte_bpe_50k.json"), special=1)
+    return chunking.Packer(model, target=240, overlap=32, exact=True, sizes=chunking.WordCounter())
+
+
+@query()
+def chunks_by_model(spark, sf_dir):
+    """Chunks that fit a model, with its token counts and the plain ones; tests hold it against a second implementation over whole tables."""
+    return chunking.pack_chunks(elements(spark, sf_dir), _two_counts)
+
+
 GARBAGE = r"(len(w) < 40 OR length(text) = 0 OR length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) / length(text) < 0.5)"
 
 
@@ -175,6 +188,17 @@ def chunk_quality(spark, sf_dir):
     return figures.join(stats.upper_median(docs, ["source"], "tokens", "middle"), "source")
 
 
+QUALITY = f"""count(*) AS chunks, coalesce(CAST(min(len(w)) AS BIGINT), 0) AS least, coalesce(CAST(list_sort(list(len(w)))[count(*) // 2 + 1] AS BIGINT), 0) AS middle, coalesce(CAST(max(len(w)) AS BIGINT), 0) AS most,
+    CAST(count(*) FILTER (length(text) = 0) AS BIGINT) AS empty, CAST(count(*) FILTER ({GARBAGE}) AS BIGINT) AS garbage FROM word_lists"""
+
+
+@query(f"SELECT false AS whole, source, {QUALITY} GROUP BY source UNION ALL SELECT true, NULL, {QUALITY}")
+def quality_report(spark, sf_dir):
+    """Chunk quality by source and in all, from one scan."""
+    docs = table(spark, sf_dir, "documents").withColumn("token_count", T.token_count(F.col("text")))
+    return chunking.quality(docs, "source")
+
+
 @query(f"SELECT doc_id, replace(substr(text, 1, 120), chr(10), ' ') AS preview FROM word_lists WHERE {GARBAGE} ORDER BY doc_id LIMIT 15")
 def garbage_previews(spark, sf_dir):
     """A report of the first fifteen; the limit is the feature."""
