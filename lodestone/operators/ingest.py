@@ -67,11 +67,29 @@ def assemble(flagged: DataFrame) -> DataFrame:
 
 
 def elements(lines: DataFrame, page_counts: DataFrame, share: float = REPEATED_SHARE) -> DataFrame:
-    """All steps on lines with sizes: (doc_id, elem_no, kind, text, page)."""
-    sizes = body_sizes(lines)
-    kept = strip_boilerplate(lines, boilerplate_lines(lines, "doc_id", "page", page_counts, share), "doc_id")
-    kept = kept.join(contents_pages(kept), ["doc_id", "page"], "left_anti")
-    return numbered(assemble(heading_flags(kept, sizes)))
+    """All steps on lines with sizes: (doc_id, elem_no, kind, text, page).
+
+    The lines are dealt by document once; each step is a window within a
+    document, so whole lines cross the network no more than that. Lines without
+    a document are left out; ones without a text repeat none.
+    """
+    known = page_counts.groupBy("doc_id").agg(F.max("n").alias("_n"))
+    dealt = lines.where("doc_id is not null").repartition("doc_id").join(known, "doc_id", "left")
+    doc, text, page = (Window.partitionBy("doc_id", *keys) for keys in ((), ("text",), ("page",)))
+    # Body size: the upper median of positive sizes.
+    sized = dealt.withColumn("_size", F.when(F.col("size") > 0, F.col("size")))
+    sized = sized.withColumns({"_at": F.row_number().over(doc.orderBy(F.col("_size").asc_nulls_last())) - 1, "_sizes": F.count("_size").over(doc)})
+    sized = sized.withColumn("body", F.coalesce(F.max(F.when(F.expr("_at = _sizes div 2"), F.col("_size"))).over(doc), F.lit(DEFAULT_SIZE)))
+    # Pages that a text is on, a page's first occurrence counting.
+    met = sized.withColumn("_first", F.row_number().over(Window.partitionBy("doc_id", "text", "page").orderBy("line_no")) == 1)
+    met = met.withColumn("_pages", F.sum(F.col("_first").cast("int")).over(text))
+    least = F.greatest(F.lit(2), F.floor(F.col("_n") * F.lit(share)))
+    kept = met.where(F.col("text").isNull() | F.col("_n").isNull() | (F.col("_pages") < least))
+    # Contents pages, judged by what is left of them.
+    leaders = F.avg(F.col("text").rlike(DOT_LEADER).cast("int")).over(page)
+    kept = kept.withColumn("_leaders", leaders).where(F.col("page").isNull() | F.col("_leaders").isNull() | (F.col("_leaders") < CONTENTS_SHARE))
+    heading = is_heading(F.col("text"), F.col("size"), F.col("body"))
+    return numbered(assemble(kept.select("doc_id", "page", "line_no", "text", heading.alias("heading"))))
 
 
 def ocr_elements(pages: DataFrame) -> DataFrame:
