@@ -85,7 +85,7 @@ def _relevant(spark, sf_dir):
 def retrieval_mrr(spark, sf_dir):
     from ..operators import retrieval as R
 
-    ranked = R.top(retrieval_plans._bm25(spark, sf_dir), 10)
+    ranked = R.top(retrieval_plans._bm25(spark, sf_dir, 10), 10)
     found = E.first_hits(ranked, _relevant(spark, sf_dir), inputs.questions(spark, sf_dir))
     return found.select("question_id", F.col("first_rank").cast("long").alias("first_rank"), F.round("reciprocal", 6).alias("reciprocal"))
 
@@ -112,7 +112,7 @@ def bench_run(spark, sf_dir):
     """The figures of a real run over the tables: BM25's best five and twenty, relevant is what holds the question."""
     from ..operators import retrieval as R
 
-    ranked = written(R.top(retrieval_plans._bm25(spark, sf_dir), 20).select("question_id", "chunk_id", "rank"), "ranked")
+    ranked = written(R.top(retrieval_plans._bm25(spark, sf_dir, 20), 20).select("question_id", "chunk_id", "rank"), "ranked")
     relevant = written(_relevant(spark, sf_dir), "relevant")
     runs = [E.run_results(ranked, relevant, inputs.questions(spark, sf_dir), k).withColumn("k", F.lit(k)) for k in (5, 20)]
     return E.retrieval_table(runs[0].unionByName(runs[1]), ["k"])
