@@ -77,21 +77,28 @@ def _blocks(chunks: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             keys = batch.column("chunk_id").to_pylist()
-            found = [find(text) if text else [] for text in batch.column("text").to_pylist()]
-            order = sorted(range(len(keys)), key=lambda i: len(found[i]))
+            # A chunk's words become numbers and counts at once; a batch's text is unpacked a range at a time.
+            every: dict[str, int] = {}
+            sizes: list[int] = []
+            counted: list[tuple[np.ndarray, np.ndarray]] = []
+            for low in range(0, len(keys), RANGE):
+                for text in batch.column("text").slice(low, RANGE).to_pylist():
+                    count = Counter(find(text) if text else [])
+                    sizes.append(count.total())
+                    counted.append((np.fromiter((every.setdefault(word, len(every)) for word in count), np.int32, len(count)), np.fromiter(count.values(), np.int32, len(count))))
+            names = pa.array(list(every), pa.string())
+            order = sorted(range(len(keys)), key=sizes.__getitem__)
             for low in range(0, len(order), RANGE):
                 own = order[low : low + RANGE]
-                counts = [Counter(found[i]) for i in own]
-                held: dict[str, int] = {}
-                term = np.array([held.setdefault(word, len(held)) for count in counts for word in count], np.int64)
-                tf = np.array([n for count in counts for n in count.values()], np.int32)
-                place = np.repeat(np.arange(len(own)), [len(count) for count in counts])
+                used, term = np.unique(np.concatenate([counted[i][0] for i in own]), return_inverse=True)
+                tf = np.concatenate([counted[i][1] for i in own])
+                place = np.repeat(np.arange(len(own)), [len(counted[i][0]) for i in own])
                 by_term = np.argsort(term, kind="stable")
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(held)))]).astype(np.int32))
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(used)))]).astype(np.int32))
                 place = place[by_term]
-                values = (pa.array([keys[i] for i in own], arrow.field("ids").type.value_type).take(pa.array(place)), pa.array(tf[by_term]), pa.array(np.array([len(found[i]) for i in own], np.int32)[place]))
+                values = (pa.array([keys[i] for i in own], arrow.field("ids").type.value_type).take(pa.array(place)), pa.array(tf[by_term]), pa.array(np.array([sizes[i] for i in own], np.int32)[place]))
                 lists = [pa.ListArray.from_arrays(ends, v).cast(arrow.field(name).type) for name, v in zip(("ids", "tfs", "lens"), values, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(np.full(len(held), number, np.int64)), *lists], schema=arrow)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(used)), pa.array(np.full(len(used), number, np.int64)), *lists], schema=arrow)
                 number += 1
 
     return chunks.select("chunk_id", F.lower("text").alias("text")).mapInArrow(work, schema)
