@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NAMED_INSTRUMENT, normal_quote
@@ -75,8 +75,9 @@ def quote_hits(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     The next page is the one with the next number, not the next row.
     """
     own = pages.select("doc_id", "page", normal_quote(F.col("text")).alias("_here"))
-    after = own.select("doc_id", (F.col("page") - 1).alias("page"), F.col("_here").alias("_next"))
-    both = own.join(after, ["doc_id", "page"], "left")
+    # A frame of the next number, so that pages are normalised once and not joined with themselves.
+    after = Window.partitionBy("doc_id").orderBy("page").rangeBetween(1, 1)
+    both = own.withColumn("_next", F.first("_here").over(after))
     # Both are normalised before the join, each once.
     asked = quotes.withColumn("_quote", normal_quote(F.col("quote")))
     out = asked.join(both, ["doc_id", "page"], "left")
@@ -91,7 +92,6 @@ def question_errors(questions: DataFrame, known: DataFrame | None = None, pages:
     doc_id, page, quote), why_unanswerable. Documents and quotes are checked
     where ``known`` (doc_id) and ``pages`` are given.
     """
-    from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("id").orderBy("question"))
     twice = F.row_number().over(Window.partitionBy(F.lower("question")).orderBy("id"))
