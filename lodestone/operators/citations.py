@@ -82,7 +82,7 @@ def judge(answers: DataFrame) -> DataFrame:
     seen = lambda c: F.filter(F.coalesce("pages", F.array().cast(answers.schema["pages"].dataType)), lambda p: (p["doc_id"] == c["doc_id"]) & (p["page_start"] <= c["last"]) & (p["page_end"] >= c["first"]))
     own = own.withColumn("_n", F.size("_cited")).withColumn("_all", F.forall("_cited", lambda c: _covers(seen(c), c["first"], c["last"])))
     text: Column = F.col("_t")
-    uncited = F.exists(F.split(text, "\n"), lambda line: (T.strip(line) != "") & ~F.regexp_replace(line, rf"{T.SPACE}$", "").rlike(T.ENDS_IN_CITATION))
+    uncited = F.exists(F.split(text, "\n"), lambda line: (T.strip(line) != "") & ~F.rtrim(line, F.lit(T.SPACES)).rlike(T.ENDS_IN_CITATION))
     reason = (
         F.when(text == T.REFUSAL, F.lit("model_refusal"))
         .when(F.lower(text).contains(T.REFUSAL.lower()), F.lit("malformed_refusal"))
