@@ -15,6 +15,8 @@ from ..functions.text import DOT_LEADER, HEADING_NUMBER, dehyphenated, is_headin
 REPEATED_SHARE = 0.4
 CONTENTS_SHARE = 0.3
 DEFAULT_SIZE = 10.0
+#: Characters of lines that a task holds, about; what a line takes besides its text.
+CHARS_A_TASK, LINE_ROOM = 1 << 23, 16
 
 
 def extract_lines(docs: DataFrame, lines_per_page: int = 5) -> DataFrame:
@@ -73,8 +75,13 @@ def elements(lines: DataFrame, page_counts: DataFrame, share: float = REPEATED_S
     document, so whole lines cross the network no more than that. Lines without
     a document are left out; ones without a text repeat none.
     """
-    known = page_counts.groupBy("doc_id").agg(F.max("n").alias("_n"))
-    dealt = lines.where("doc_id is not null").repartition("doc_id").join(known, "doc_id", "left")
+    own = lines.where("doc_id is not null")
+    # So many parts that a task sorts about as much at any size; without a number, small ones are put together.
+    size = own.agg(F.coalesce(F.sum(F.coalesce(F.length("text"), F.lit(0)) + LINE_ROOM), F.lit(0)).alias("n")).first().n
+    parts = max(lines.sparkSession.sparkContext.defaultParallelism, -(-size // CHARS_A_TASK))
+    # Both sides, or the join would deal the lines as the other one is.
+    known = page_counts.repartition(parts, "doc_id").groupBy("doc_id").agg(F.max("n").alias("_n"))
+    dealt = own.repartition(parts, "doc_id").join(known, "doc_id", "left")
     doc, text, page = (Window.partitionBy("doc_id", *keys) for keys in ((), ("text",), ("page",)))
     # Body size: the upper median of positive sizes.
     sized = dealt.withColumn("_size", F.when(F.col("size") > 0, F.col("size")))
