@@ -30,6 +30,8 @@ RECORD = r"build-\d+\.json"
 GONE_SHARE, MOST_PARTS = 0.25, 16
 #: Rows that are written as one file, whatever tasks they came from.
 ROWS_A_FILE = 100_000
+#: Words of 64 cells that are broadcast at most, to tell rows to be added where they lie.
+MOST_WORDS = 1 << 19
 
 
 def canonical(value: object) -> str:
@@ -114,6 +116,27 @@ def _write(rows: DataFrame, n: int, folder: str, name: str) -> None:
     (rows.repartition(1) if n <= ROWS_A_FILE else rows).write.parquet(f"{folder}/{name}")
 
 
+def _rows_of(chunks: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of ``chunks`` that ``ids`` (chunk_hash, position) names, all of which are there; ``n`` is about how many hashes there are.
+
+    Rows fall into cells by a digest of hash and position. A cell with as many
+    rows as ids holds no other rows, and one without ids none that are named, so
+    both are settled where rows lie, by bits that are broadcast. Only rows of
+    cells that hold named rows and others are shuffled, to be joined to the ids.
+    """
+    cell = F.pmod(F.xxhash64("chunk_hash", "position"), F.lit(64 * min(n // 4 + 1, MOST_WORDS))).alias("_cell")
+    rows, ids = chunks.select("*", cell), ids.select("*", cell)
+    cells = rows.select("_cell", F.lit(0).alias("_id")).unionAll(ids.select("_cell", F.lit(1))).groupBy("_cell").agg(F.sum("_id").alias("_ids"), F.sum(1 - F.col("_id")).alias("_rows"))
+    one, word = "shiftleft(1L, CAST(_cell % 64 AS INT))", F.expr("_cell DIV 64").alias("_word")
+    bits = cells.where("_ids > 0").groupBy(word).agg(F.expr(f"bit_or({one})").alias("_named"), F.expr(f"bit_or(IF(_rows > _ids, {one}, 0L))").alias("_mixed"))
+    # 1: all rows of the cell are named, 2: some are. Every use reads the same columns, so bits are made once.
+    state = F.expr("getbit(_named, CAST(_cell % 64 AS INT)) + getbit(_mixed, CAST(_cell % 64 AS INT))")
+    of = lambda side, k: side.join(F.broadcast(bits), F.expr("_cell DIV 64 = _word")).where(state == k)
+    # Ids are distinct. A semi join would be moved below the bits, to where all rows are.
+    mixed = of(rows, 2).select(chunks.columns).join(of(ids, 2).select("chunk_hash", "position"), ["chunk_hash", "position"])
+    return of(rows, 1).select(chunks.columns).unionAll(mixed.select(chunks.columns))
+
+
 def rebuild(chunks: DataFrame, folder: str, embed: Callable[[DataFrame], DataFrame], mark: str | dict) -> dict:
     """Bring the index up to ``chunks`` (chunk_hash, position, ...); returns its record.
 
@@ -121,8 +144,8 @@ def rebuild(chunks: DataFrame, folder: str, embed: Callable[[DataFrame], DataFra
     ids that are no longer wanted are noted; under another one all are. Of the
     rows of one hash the last by ``position`` counts, which tells them apart.
     What is to do is settled on ids and positions and written first, so its
-    size is known when whole rows are joined to it, and one table decides what
-    is embedded, written and checked.
+    size is known when whole rows meet it, mostly where they lie, and one table
+    decides what is embedded, written and checked.
     """
     spark = chunks.sparkSession
     before, fields = read_record(spark, folder), fields_of(mark)
@@ -138,7 +161,7 @@ def rebuild(chunks: DataFrame, folder: str, embed: Callable[[DataFrame], DataFra
     add, delete, keep = (n.get(action, 0) for action in ("add", "delete", "keep"))
     parts, gone = (list(before["parts"]), list(before["gone"])) if same else ([], [])
     if add or not parts:
-        new = embed(chunks.join(plan.where("action = 'add'").select("chunk_hash", "position"), ["chunk_hash", "position"], "left_semi").select(chunks.columns))
+        new = embed(_rows_of(chunks, plan.where("action = 'add'").select("chunk_hash", "position"), add + keep))
         _write(new.withColumn("_part", F.lit(number)), add, folder, part("added"))
         parts.append({"name": part("added"), "rows": add})
     if delete:
